@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def text_chunks(batches, max_bytes: int = 4 << 20, max_rows: int = 1 << 12):
         n, start, size = len(texts), 0, 0
         if n == 0:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         for i in range(n):
             if i > start and (size + lengths[i] > max_bytes or i - start >= max_rows):
                 yield ids.slice(start, i - start), _bytes(texts.slice(start, i - start))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import exact_dedup, sharding
+from tensorloom.llm import bpe, exact_dedup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_bpe": bpe.op3_bpe,
     }
 
 
