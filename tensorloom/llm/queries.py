@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import bpe, exact_dedup, sharding
+from tensorloom.llm import bpe, exact_dedup, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_bpe": bpe.op3_bpe,
+        "op4_simhash": simhash.op4_simhash,
     }
 
 
