@@ -51,7 +51,8 @@ def exact_dedup(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
     maybe = looked.where("maybe").select("doc_id", "row", "digest")
-    groups = maybe.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size"))
+    # Written, so that the join below deals both sides itself and Spark can split a hot group.
+    groups = stored(maybe.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")))
     grouped = maybe.join(groups, "digest").select(
         "doc_id",
         F.col("top.doc_id").alias("keep_id"),
