@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import bpe, exact_dedup, secrets, sharding, simhash, substring_dedup
+from tensorloom.llm import bpe, exact_dedup, language, secrets, sharding, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_simhash": simhash.op4_simhash,
+        "op5_language": language.op5_language,
         "op7_secrets": secrets.op7_secrets,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     }
