@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import bpe, exact_dedup, language, secrets, sharding, simhash, substring_dedup
+from tensorloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, sharding, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op4_simhash": simhash.op4_simhash,
         "op5_language": language.op5_language,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_secrets": secrets.op7_secrets,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
