@@ -119,6 +119,8 @@ class QGramIndex:
 
     def _verify(self, i: int, text: bytes, low: int, high: int, offset: int, hits: list[tuple]) -> None:
         item, budget = self.items[i], int(self.budget[i])
+        if high <= low - budget:  # all of the band lies before the text
+            return
         region = text[low : high + len(item)]
         exact = region.find(item)
         if exact >= 0:
@@ -131,13 +133,13 @@ class QGramIndex:
             hits.append((i, offset + low + max(0, end - length), offset + low + end, min(edits, back)))
 
     def _merge(self, hits: list[tuple]) -> list[tuple]:
-        """Hits of one item that overlap are one region, with the fewest edits of them."""
-        out: list[list] = []
-        for i, start, end, edits in sorted(hits):
-            if out and out[-1][0] == i and start < out[-1][2]:
-                out[-1][2], out[-1][3] = max(out[-1][2], end), min(out[-1][3], edits)
-            else:
-                out.append([i, start, end, edits])
+        """Of hits of one item that overlap, the first with the fewest edits."""
+        out: list[tuple] = []
+        for hit in sorted(hits):
+            if not out or out[-1][0] != hit[0] or hit[1] >= out[-1][2]:
+                out.append(hit)
+            elif hit[3] < out[-1][3]:
+                out[-1] = hit
         return [(self.ids[i], start, end, edits) for i, start, end, edits in out]
 
 

@@ -170,9 +170,10 @@ def training_sample(docs: DataFrame, for_each: int, most_chars: int, most_labels
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))]
 
 
-def label_texts(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, n_words): the language with most posterior weight over the words of each whole text."""
-    labels = np.array([*field.labels, UNKNOWN], dtype=object)
+class Labeller:
+    """Labels texts by a field in one task, remembering the emissions of words it has seen."""
+
+    CACHE = 150_000
 
     class Numbers(dict):
         """Word to a number; the first sight of a word gives the next one."""
@@ -181,42 +182,69 @@ def label_texts(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_
             n = self[word] = len(self)
             return n
 
+    def __init__(self, field: WordField):
+        self.field, self.known = field, self.Numbers()
+        self.emit = np.zeros((0, len(field.labels)))
+        self.names = np.array([*field.labels, UNKNOWN], dtype=object)
+
+    def __call__(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, words) of each text."""
+        if len(self.known) > self.CACHE:
+            self.known, self.emit = self.Numbers(), self.emit[:0]
+        before = len(self.known)
+        numbers = [np.fromiter(map(self.known.__getitem__, WORD.findall(t.decode().lower())), np.int64) for t in texts]
+        if len(self.known) > before:
+            self.emit = np.concatenate([self.emit, self.field.emissions(list(self.known)[before:])])
+        sizes = np.array([len(x) for x in numbers])
+        flat = np.concatenate(numbers) if len(numbers) else np.zeros(0, np.int64)
+        # Sequences of SPAN words; the last of a text may be shorter.
+        parts = -(-sizes // SPAN)
+        owner = np.repeat(np.arange(len(sizes)), parts)
+        first = (np.arange(len(owner)) - offsets_of(parts)[:-1][owner]) * SPAN if len(owner) else np.zeros(0, np.int64)
+        length = np.minimum(SPAN, sizes[owner] - first)
+        total = np.zeros((len(sizes), len(self.field.labels)))
+        begin = offsets_of(sizes)[:-1][owner] + first
+        for low in range(0, len(owner), 4096):
+            b, n = begin[low : low + 4096], length[low : low + 4096]
+            cols = np.arange(int(n.max()))
+            real = cols < n[:, None]
+            at = np.minimum(b[:, None] + cols, len(flat) - 1)
+            marginal, _, _ = forward_backward(self.emit[flat[at]], self.field.trans, real)
+            np.add.at(total, owner[low : low + 4096], (marginal * real[:, :, None]).sum(1))
+        best = total.argmax(1)
+        none = sizes == 0
+        score = np.clip(np.where(none, 0.0, total[np.arange(len(sizes)), best] / np.maximum(sizes, 1)), 0, 1)
+        return self.names[np.where(none, len(self.field.labels), best)].tolist(), score, sizes
+
+
+def label_texts(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, n_words): the language with most posterior weight over the words of each whole text."""
+
     def run(batches):
-        known, emit = Numbers(), np.zeros((0, len(field.labels)))
+        label = Labeller(field)
         for ids, texts in text_chunks(batches, max_bytes=2 << 20):
-            if len(known) > 150_000:
-                known, emit = Numbers(), emit[:0]
-            before = len(known)
-            numbers = [np.fromiter(map(known.__getitem__, WORD.findall(t.decode().lower())), np.int64) for t in texts]
-            if len(known) > before:
-                emit = np.concatenate([emit, field.emissions(list(known)[before:])])
-            sizes = np.array([len(x) for x in numbers])
-            flat = np.concatenate(numbers) if len(numbers) else np.zeros(0, np.int64)
-            # Sequences of SPAN words; the last of a text may be shorter.
-            parts = -(-sizes // SPAN)
-            owner = np.repeat(np.arange(len(sizes)), parts)
-            first = (np.arange(len(owner)) - offsets_of(parts)[:-1][owner]) * SPAN if len(owner) else np.zeros(0, np.int64)
-            length = np.minimum(SPAN, sizes[owner] - first)
-            total = np.zeros((len(sizes), max(1, len(field.labels))))
-            begin = offsets_of(sizes)[:-1][owner] + first
-            for low in range(0, len(owner), 4096):
-                b, n = begin[low : low + 4096], length[low : low + 4096]
-                cols = np.arange(int(n.max()))
-                real = cols < n[:, None]
-                at = np.minimum(b[:, None] + cols, len(flat) - 1)
-                marginal, _, _ = forward_backward(emit[flat[at]], field.trans, real)
-                np.add.at(total, owner[low : low + 4096], (marginal * real[:, :, None]).sum(1))
-            best = total.argmax(1)
-            score = total[np.arange(len(sizes)), best] / np.maximum(sizes, 1)
-            none = sizes == 0
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(labels[np.where(none, len(field.labels), best)].tolist(), pa.string()), pa.array(np.clip(np.where(none, 0.0, score), 0, 1)), pa.array(sizes)],
-                ["doc_id", "lang_pred", "score", "n_words"],
-            )
+            names, score, sizes = label(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(score), pa.array(sizes)], ["doc_id", "lang_pred", "score", "n_words"])
 
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
 
 
+def with_known_language(docs: DataFrame, field: WordField, least_score: float = 0.35, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text has no letter or whose best language scores less; all columns, no shuffle."""
+    number = docs.columns.index(text_col)
+
+    def run(batches):
+        label = Labeller(field)
+        for batch in batches:
+            keep = []
+            for _, texts in text_chunks([pa.RecordBatch.from_arrays([batch.column(number)] * 2, ["a", "b"])], max_bytes=2 << 20):
+                names, score, _ = label(texts)
+                keep += [n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
     """Whether crc32 of the id as text is a multiple of folds; rows without an id are not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))

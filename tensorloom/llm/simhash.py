@@ -90,6 +90,15 @@ def near_links(points: DataFrame, most_bits: int = 3, bands: int = 6) -> DataFra
     ).select("a", "b")
 
 
+def _components(prints: DataFrame, least, most_bits: int, bands: int) -> DataFrame:
+    """(fp, component): the smallest of ``least`` over the rows of prints(fp, ...) that a fingerprint's links reach."""
+    nodes = stored(prints.groupBy("fp").agg(F.min(least).alias("least")))
+    roots = connected_components(near_links(nodes.select("fp"), most_bits, bands))
+    rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return stored(rooted.join(named, "root").select("fp", "component"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, most_bits: int = 3, bands: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose fingerprints are linked, directly or through others.
 
@@ -101,14 +110,36 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, most_bits: int = 3, bands:
     Returns doc_id, fingerprint (16 hex digits), component_id.
     """
     rows = stored(fingerprints(docs, shingle, id_col, text_col))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(nodes.select("fp"), most_bits, bands))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stored(rooted.join(named, "root").select("fp", "component_id"))
+    of = _components(rows, F.col("doc_id"), most_bits, bands).withColumnRenamed("component", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each_group(docs: DataFrame, shingle: int = 3, most_bits: int = 3, bands: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the row of smallest id of each group (then of smallest text hash); all columns.
+
+    Rows without an id come after all others. Of rows equal in id and text, any one stays.
+    """
+    keyed = docs.withColumns({"_sh_doc": F.col(id_col).cast("long"), "_sh_body": F.xxhash64(F.col(text_col))})
+
+    def run(batches):
+        for batch in batches:
+            # The hash travels with the id, to tell rows of one id apart.
+            seen = 0
+            for ids, texts in text_chunks([batch.select([0, 2])]):
+                fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(seen, len(texts)), pa.array(fps)], ["doc", "body", "fp"])
+                seen += len(texts)
+
+    rows = stored(keyed.select("_sh_doc", "_sh_body", F.col(text_col).cast("string")).mapInArrow(run, "doc long, body long, fp long"))
+    rank = F.struct(F.col("doc").isNull().alias("none"), "doc", "body")
+    of = _components(rows, rank, most_bits, bands)
+    kept = of.select(F.col("component.doc").alias("doc"), F.col("component.body").alias("body")).distinct()
+    on = F.col("_sh_doc").eqNullSafe(F.col("doc")) & F.col("_sh_body").eqNullSafe(F.col("body"))
+    stay = keyed.join(stored(kept), on, "left_semi")
+    if rows.groupBy("doc", "body").count().where("count > 1").limit(1).count():
+        stay = stay.dropDuplicates(["_sh_doc", "_sh_body"])
+    return stay.select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

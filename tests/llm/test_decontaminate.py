@@ -43,6 +43,7 @@ def test_against_brute_force(spark):
         n = int(len(x) * 0.08)
         docs.append((k, f"{say(rng.randrange(30))} {edited(rng, x, rng.choice([0, 1, n // 2, n, n + 3, 2 * n]))} {say(rng.randrange(30))}"))
     docs += [(100, None), (101, ""), (102, items[0].upper().replace(" ", ",  ")), (103, say(3000) + " " + items[3] + " " + say(3000) + " " + items[3]), (None, items[1])]
+    docs += [(200 + k, items[k][-60:] + (" " + items[k][-60:]) * 3) for k in range(6)]
     want = set()
     for i, t in docs:
         for k, x in enumerate(items):
