@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, sharding, simhash, substring_dedup
+from tensorloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, sharding, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_secrets": secrets.op7_secrets,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
