@@ -69,3 +69,29 @@ def offsets_of(lengths) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def bit_filter(ids: DataFrame, col: str, rows: int, bits_per_row: int = 32, broadcast_bytes: int = 32 << 20):
+    """A function that drops most rows of a DataFrame whose hash ``col`` is none of ids, and no other.
+
+    The hashes set one bit each in a filter sized for ``rows`` hashes. It is broadcast if what is
+    set takes no more than ``broadcast_bytes``; else nothing is dropped and the caller's exact
+    join moves all rows. With ``invert`` the function returns the rows that are surely none.
+    """
+    words = 1 << max(6, (rows * bits_per_row // 64).bit_length())
+
+    def word(c):
+        return F.pmod(F.col(c), F.lit(words))
+
+    bit = F.shiftrightunsigned(col, 58).cast("int")
+    bits = stored(ids.select(word(col).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
+    fits = bits.count() * 16 <= broadcast_bytes
+
+    def keep(df: DataFrame, c: str = col, invert: bool = False) -> DataFrame:
+        if not fits:
+            return df.limit(0) if invert else df
+        joined = df.withColumn("_word", word(c)).join(F.broadcast(bits), "_word", "left")
+        found = F.coalesce(F.expr(f"_bits & shiftleft(1L, cast(shiftrightunsigned({c}, 58) AS INT)) != 0"), F.lit(False))
+        return joined.where(~found if invert else found).select(*df.columns)
+
+    return keep

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import stored, table
+from tensorloom.llm.common import bit_filter, stored, table
 
 #: Characters whose counts bound the edit distance of two lines from below.
-COUNTED = "eanitros"
+COUNTED = "eant"
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,49 +24,57 @@ def _lines(keyed: DataFrame, text_col: str, least_chars: int) -> DataFrame:
     )
 
 
-def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
-    """(start from 0, size) of segment i of an even partition; the last ones take what is over."""
-    whole, over = f"({length} DIV {parts})", f"({length} % {parts})"
-    wider = f"greatest(0, {i} - ({parts} - {over}))"
-    size = f"({whole} + CASE WHEN {i} >= {parts} - {over} THEN 1 ELSE 0 END)"
-    return f"({i} * {whole} + {wider})", size
-
-
-def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b, first_a, first_b) for distinct lines (h1, line, first) within ``edits`` edits of each other.
+def _candidates(lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b), the first hashes of distinct lines (h1, line) that may be within ``edits`` edits of each other.
 
     Each line is cut into edits + 1 segments, one of which any line within the bound holds
     unchanged, at a place that the two lengths confine. Segments are indexed by length and number,
     and each line probes the index for its own length and those up to ``edits`` shorter.
     Candidates whose character counts differ by more than two for each edit are left out as the
-    index is probed; the rest are verified by a banded edit distance.
+    index is probed.
     """
     parts = edits + 1
-    count = "shiftleft(CAST(least(127, char_length(line) - char_length(replace(line, '{c}', ''))) AS BIGINT), {at})"
-    counts = " | ".join(count.format(c=c, at=8 * k) for k, c in enumerate(COUNTED))
+    count = "shiftleft(CAST(least(127, char_length(line) - char_length(replace(line, '{c}', ''))) AS INT), {at})"
+    counts = " | ".join(count.format(c=c, at=7 * k) for k, c in enumerate(COUNTED))
     sized = lines.select("h1", "line", F.char_length("line").alias("n"), F.expr(counts).alias("counts"))
-
-    def key(length: str, i: int, start: str, size: str) -> str:
-        return f"xxhash64({length}, {i}, substring(line, {start} + 1, {size}))"
-
-    index = [key("n", i, *_segment("n", i, parts)) for i in range(parts)]
-    probes = []
-    for shorter in range(edits + 1):
-        length = f"(n - {shorter})"
-        for i in range(parts):
-            start, size = _segment(length, i, parts)
-            for off in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                inside = f"{start} + {off} >= 0 AND {start} + {off} + {size} <= n"
-                probes.append(f"CASE WHEN {inside} THEN struct({key(length, i, f'{start} + {off}', size)} AS key, {shorter} = 0 AS same) END")
-    left = sized.select(F.col("h1").alias("a"), F.col("counts").alias("ca"), F.explode(F.expr(f"array({', '.join(probes)})")).alias("p")).where("p IS NOT NULL")
-    left = left.select("a", "ca", F.col("p.key").alias("key"), F.col("p.same").alias("same"))
-    right = sized.select(F.col("h1").alias("b"), F.col("counts").alias("cb"), F.explode(F.expr(f"array({', '.join(index)})")).alias("key2"))
-    apart = " + ".join(f"abs((shiftright(ca, {8 * k}) & 255) - (shiftright(cb, {8 * k}) & 255))" for k in range(8))
-    pairs = left.join(right, (F.col("key") == F.col("key2")) & F.expr("a < b OR (NOT same AND a > b)") & F.expr(f"{apart} <= {2 * edits}"))
-    pairs = pairs.select("a", "b").distinct()
-    one = lines.select(F.col("h1").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"), F.col("h2").alias("ha"))
-    two = lines.select(F.col("h1").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"), F.col("h2").alias("hb"))
-    return pairs.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b", "ha", "hb", "first_a", "first_b")
+    # Segment i of an even partition; the last ones take what is over.
+    whole, over = f"(length DIV {parts})", f"(length % {parts})"
+    start = f"(i * {whole} + greatest(0, i - ({parts} - {over})))"
+    size = f"({whole} + CASE WHEN i >= {parts} - {over} THEN 1 ELSE 0 END)"
+
+    def keys(choices: list[tuple[int, int, int]]) -> DataFrame:
+        rows = ", ".join(f"struct({shorter} AS shorter, {i} AS i, {off} AS off)" for shorter, i, off in choices)
+        each = sized.select("*", F.explode(F.expr(f"array({rows})")).alias("p")).selectExpr("h1", "line", "n", "counts", "n - p.shorter AS length", "p.i AS i", "p.off AS off", "p.shorter = 0 AS same")
+        each = each.selectExpr("*", f"{start} + off AS start", f"{size} AS size").where("start >= 0 AND start + size <= n AND length > 0")
+        return each.selectExpr("h1", "counts | CASE WHEN same THEN 0 ELSE 1 << 28 END AS counts", "xxhash64(length, i, substring(line, start + 1, size)) AS key")
+
+    index = keys([(0, i, 0) for i in range(parts)])
+    shifts = [(d, i, off) for d in range(edits + 1) for i in range(parts) for off in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+    left = keys(shifts).selectExpr("h1 AS a", "counts AS ca", "key")
+    right = index.selectExpr("h1 AS b", "counts AS cb", "key AS key2")
+    apart = " + ".join(f"abs((shiftright(ca, {7 * k}) & 127) - (shiftright(cb, {7 * k}) & 127))" for k in range(len(COUNTED)))
+    pairs = left.join(right, (F.col("key") == F.col("key2")) & F.expr("a < b OR (ca >= 1 << 28 AND a > b)") & F.expr(f"{apart} <= {2 * edits}"))
+    return pairs.select("a", "b").distinct()
+
+
+def _near(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
+    """(h1, h2) of distinct lines that have one within ``edits`` edits which first stands earlier."""
+    total = distinct.count()
+    repeated = distinct.where("n > 1")
+    maybe = bit_filter(repeated, "h1", total)
+    # Lines that surely stand once need no shuffle; of the others one copy is taken.
+    once = maybe(lines.select("h1", "h2", "line"), invert=True)
+    copies = maybe(lines.select("h1", "h2", "line")).groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
+    pairs = stored(_candidates(once.unionByName(copies).select("h1", "line"), edits))
+    named = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
+    wanted = bit_filter(named, "h1", total)
+    texts = wanted(lines.select("h1", "h2", "line")).groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
+    texts = stored(texts.join(wanted(distinct.select("h1", "h2", "first")), ["h1", "h2"]))
+    one = texts.select(F.col("h1").alias("a"), F.col("h2").alias("ha"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
+    two = texts.select(F.col("h1").alias("b"), F.col("h2").alias("hb"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
+    links = pairs.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
+    later = F.col("first_a") > F.col("first_b")
+    return links.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(later, F.col("ha")).otherwise(F.col("hb")).alias("h2")).distinct()
 
 
 def _deduped(docs: DataFrame, edits: int, least_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -74,14 +82,12 @@ def _deduped(docs: DataFrame, edits: int, least_chars: int, id_col: str, text_co
     keyed = _keys(docs, id_col, text_col)
     lines = _lines(keyed.select("_ln_doc", "_ln_body", text_col), text_col, least_chars)
     place = F.struct("doc", "body", "pos")
-    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.any_value("line").alias("line"), F.count("*").alias("n")))
-    links = stored(near_lines(distinct, edits))
-    later = F.col("first_a") > F.col("first_b")
-    near = links.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(later, F.col("ha")).otherwise(F.col("hb")).alias("h2")).distinct()
+    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    near = _near(lines, distinct, edits).withColumn("near", F.lit(True))
     exact = distinct.where("n > 1").select("h1", "h2", "first")
-    marked = exact.withColumn("near", F.lit(False)).unionByName(near.select("h1", "h2", F.lit(None).cast(exact.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
-    marked = stored(marked.groupBy("h1", "h2").agg(F.max("first").alias("first"), F.max("near").alias("near")))
-    gone = lines.select("doc", "body", "pos", "h1", "h2").join(marked, ["h1", "h2"]).where(F.col("near") | (place > F.col("first")))
+    marked = stored(exact.join(near, ["h1", "h2"], "full"))
+    narrow = bit_filter(marked, "h1", distinct.count())
+    gone = narrow(lines.select("doc", "body", "pos", "h1", "h2")).join(marked, ["h1", "h2"]).where(F.col("near") | (place > F.col("first")))
     lists = gone.select("doc", "body", "pos").distinct().groupBy("doc", "body").agg(F.array_sort(F.collect_list("pos")).alias("_ln_gone"))
     on = F.col("_ln_doc").eqNullSafe(F.col("doc_2")) & F.col("_ln_body").eqNullSafe(F.col("body_2"))
     lists = stored(lists.select(F.col("doc").alias("doc_2"), F.col("body").alias("body_2"), "_ln_gone"))
