@@ -90,3 +90,17 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 6, id_col: st
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 19, 0) + 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM k) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, i + unnest(range(0, 20)) AS j FROM r)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) FILTER (g.j IS NULL) AS kept, count(g.j) AS n
+      FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.j = g.j GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN y ON w.doc_id = y.doc_id
+"""
