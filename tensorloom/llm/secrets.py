@@ -81,9 +81,9 @@ def secret_spans(
     """Spans of secrets in every whole text: those of the fixed patterns, and further random strings.
 
     Two character Markov models are trained: one from the values that the patterns found (labelled
-    random) in all documents, one from identifiers of six letters or more in the ``ordinary_docs``
-    documents whose ids hash lowest (labelled ordinary; the values found there have digits or
-    stand in no such run often enough to matter). A string of ``least_length`` or more that
+    random) in all documents, one from identifiers of six letters or more in some
+    ``ordinary_docs`` documents, those whose ids hash lowest (labelled ordinary; the values found
+    there have digits or stand in no such run often enough to matter). A string of ``least_length`` or more that
     overlaps no fixed span becomes one of kind "random" if its mean log-likelihood ratio for each
     transition is ``least_ratio`` nats or more. If there is no value to learn from, none does.
 
@@ -102,7 +102,8 @@ def secret_spans(
     scanned = stored(rows.select("doc_id", base.alias("base"), found[-1].alias("other")))
 
     random = _bigrams(scanned.select(F.explode("base").alias("x")).select("x.value"))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("id"), "id").limit(ordinary_docs)
+    share = ordinary_docs / max(1, scanned.count())
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     ordinary = _bigrams(sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]{6,}"), F.lit(0))).alias("value")))
     if not random:
         return scanned.select("doc_id", "base", F.col("base").alias("spans"))
