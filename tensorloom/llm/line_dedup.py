@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import bit_filter, stored, table
 
-#: Characters whose counts bound the edit distance of two lines from below.
-COUNTED = "eant"
+#: Characters whose counts, modulo 32, bound the edit distance of two lines from below.
+COUNTED = "eantiorshd"
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,9 +34,10 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     index is probed.
     """
     parts = edits + 1
-    count = "shiftleft(CAST(least(127, char_length(line) - char_length(replace(line, '{c}', ''))) AS INT), {at})"
-    counts = " | ".join(count.format(c=c, at=7 * k) for k, c in enumerate(COUNTED))
-    sized = lines.select("h1", "line", F.char_length("line").alias("n"), F.expr(counts).alias("counts"))
+    count = "shiftleft(CAST((n - char_length(replace(line, '{c}', ''))) & 31 AS BIGINT), {at})"
+    counts = " | ".join(count.format(c=c, at=5 * k) for k, c in enumerate(COUNTED))
+    # Written, so that lines are split and counted once for both sides of the join.
+    sized = stored(lines.select("h1", "line", F.char_length("line").alias("n")).select("*", F.expr(counts).alias("counts")))
     # Segment i of an even partition; the last ones take what is over.
     whole, over = f"(length DIV {parts})", f"(length % {parts})"
     start = f"(i * {whole} + greatest(0, i - ({parts} - {over})))"
@@ -46,14 +47,15 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         rows = ", ".join(f"struct({shorter} AS shorter, {i} AS i, {off} AS off)" for shorter, i, off in choices)
         each = sized.select("*", F.explode(F.expr(f"array({rows})")).alias("p")).selectExpr("h1", "line", "n", "counts", "n - p.shorter AS length", "p.i AS i", "p.off AS off", "p.shorter = 0 AS same")
         each = each.selectExpr("*", f"{start} + off AS start", f"{size} AS size").where("start >= 0 AND start + size <= n AND length > 0")
-        return each.selectExpr("h1", "counts | CASE WHEN same THEN 0 ELSE 1 << 28 END AS counts", "xxhash64(length, i, substring(line, start + 1, size)) AS key")
+        return each.selectExpr("h1", "counts | CASE WHEN same THEN 0L ELSE 1L << 60 END AS counts", "xxhash64(length, i, substring(line, start + 1, size)) AS key")
 
     index = keys([(0, i, 0) for i in range(parts)])
     shifts = [(d, i, off) for d in range(edits + 1) for i in range(parts) for off in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
     left = keys(shifts).selectExpr("h1 AS a", "counts AS ca", "key")
     right = index.selectExpr("h1 AS b", "counts AS cb", "key AS key2")
-    apart = " + ".join(f"abs((shiftright(ca, {7 * k}) & 127) - (shiftright(cb, {7 * k}) & 127))" for k in range(len(COUNTED)))
-    pairs = left.join(right, (F.col("key") == F.col("key2")) & F.expr("a < b OR (ca >= 1 << 28 AND a > b)") & F.expr(f"{apart} <= {2 * edits}"))
+    # Per character the distance around the circle of 32, which is no more than the true one.
+    apart = " + ".join(f"16 - abs(16 - abs((shiftright(ca, {5 * k}) & 31) - (shiftright(cb, {5 * k}) & 31)))" for k in range(len(COUNTED)))
+    pairs = left.join(right, (F.col("key") == F.col("key2")) & F.expr("a < b OR (ca >= 1L << 60 AND a > b)") & F.expr(f"{apart} <= {2 * edits}"))
     return pairs.select("a", "b").distinct()
 
 
