@@ -121,10 +121,9 @@ def sort_bucket(data: np.ndarray, sample: CoverSample, at: np.ndarray) -> np.nda
             sub[rest] = np.where(level, sub[heads[here]], after)
         new = _dense_rank(group, sub)
         # What is level with a pivot is ordered; only gaps (even numbers) hold ties still.
-        order = order * 2  # room is made below by ranking all anew
         full = np.zeros(len(at), np.int64)
         full[live] = new + 1
-        order = _dense_rank(order // 2, full)
+        order = _dense_rank(order, full)
         live = live[sub % 2 == 0]
     return np.argsort(order, kind="stable")
 

@@ -44,6 +44,41 @@ def _contexts(asked: DataFrame, length: int) -> DataFrame:
     return asked.mapInArrow(run, "doc long, body long, start long, count int, anchor long, span binary")
 
 
+#: Windows that start in one stretch of so many places before an anchor share the rest of their bytes.
+STRETCH = 16
+
+
+def _cores(asked: DataFrame, length: int) -> DataFrame:
+    """(doc, body, place, anchor): each listed anchor's windows by stretch of starts, each under the hash of what a stretch's windows share.
+
+    The stretches lie at the same places before every copy of an anchor, so equal windows come
+    under equal hashes.
+    """
+
+    def run(batches):
+        symbols = byte_symbols()
+        for batch in batches:
+            for k, (text, asks) in enumerate(winnow.lists_of(batch, ["place", "anchor"])):
+                pos, left, count = winnow.unpack(asks["place"])
+                least = left - count + 1
+                parts = left // STRETCH - least // STRETCH + 1
+                owner = np.repeat(np.arange(len(pos)), parts)
+                stretch = least[owner] // STRETCH + np.arange(len(owner)) - offsets_of(parts)[:-1][owner]
+                high = np.minimum(left[owner], STRETCH * stretch + STRETCH - 1)
+                low = np.maximum(least[owner], STRETCH * stretch)
+                at = pos[owner]
+                first = at - STRETCH * stretch
+                begin, end = int(first.min()), int(first.max()) + length
+                core = winnow.Rolling(symbols([text[begin:end]])[0]).of(first - begin, first - begin + length - STRETCH + 1)
+                key = winnow.mix(core ^ winnow.mix(asks["anchor"][owner].view(np.uint64) + stretch.astype(np.uint64)))
+                take = pa.array(np.full(len(owner), k))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(winnow.pack(at, high, high - low + 1)), pa.array(key.view(np.int64))], ["doc", "body", "place", "anchor"]
+                )
+
+    return asked.mapInArrow(run, "doc long, body long, place long, anchor long")
+
+
 def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) -> DataFrame:
     """(doc, body, start, stop) of the runs of windows that stand in another context of their anchor too.
 
@@ -114,8 +149,9 @@ def suffix_dedup(
     each different context of an anchor one copy goes to the suffix sort: blocks of whole anchors
     are sorted one at a time, long ties by ranks of a difference-cover sample of the block, and
     neighbours with ``length`` common bytes mark each other. Anchors with more than
-    ``most_contexts`` different contexts are dealt out by the hash of each string instead, so that
-    no task holds an unbounded group.
+    ``most_contexts`` different contexts are first told apart by a longer part of their windows,
+    and what is still as frequent is dealt out by the hash of each string instead, so that no task
+    holds an unbounded group.
 
     Strings never cross documents. Repeated rows are places of their own, so each repeats the
     other. A null text is empty. An empty table gives an empty result.
@@ -133,10 +169,16 @@ def suffix_dedup(
     whole = ranked.where("n > 1").select("doc", "body", start.alias("start"), (start + F.expr("cast(place & 1023 as int)") + (length - 1)).alias("stop"))
 
     asks = ranked.where("is_first and classes > 1").select("doc", "body", "place", "anchor", "classes").distinct()
-    few = winnow.per_doc(asks.where(F.col("classes") <= most_contexts), "place", "anchor")
-    partly = _sorted_blocks(_contexts(winnow.with_lists(texts, few, "inner"), length), length, block, bucket)
+    few, many = asks.where(F.col("classes") <= most_contexts), asks.where(F.col("classes") > most_contexts)
+    if many.limit(1).count():
+        # Frequent anchors are told apart by more of their windows' bytes.
+        cores = stored(_cores(winnow.with_lists(texts, winnow.per_doc(many, "place", "anchor"), "inner"), length))
+        counts = stored(cores.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
+        asks = stored(cores.join(counts, "anchor").select("doc", "body", "place", "anchor", "classes"))
+        few = few.unionByName(asks.where(F.col("classes") <= most_contexts))
+        many = asks.where(F.col("classes") > most_contexts)
+    partly = _sorted_blocks(_contexts(winnow.with_lists(texts, winnow.per_doc(few, "place", "anchor"), "inner"), length), length, block, bucket)
     covered = whole.unionByName(partly)
-    many = asks.where(F.col("classes") > most_contexts)
     if many.limit(1).count():
         windows = stored(winnow.windows_of(winnow.with_lists(texts, winnow.per_doc(many, "place", "anchor"), "inner"), byte_symbols, length))
         key = ["anchor", "offset", "window"]
