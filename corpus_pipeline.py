@@ -14,10 +14,11 @@ from tensorloom.llm.common import stored, table
 from tensorloom.llm.decontaminate import without_contaminated
 from tensorloom.llm.language import fit_language, with_known_language
 from tensorloom.llm.line_dedup import line_dedup
-from tensorloom.llm.simhash import one_of_each_group
+from tensorloom.llm.near_copies import one_of_each_similar
 
-#: Shingles of near duplicates here: five words.
+#: Shingles of near duplicates here: five words; near copies share this Jaccard similarity, in percent.
 SHINGLE = 5
+SIMILAR = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id."""
-    return one_of_each_group(docs, shingle=SHINGLE)
+    return one_of_each_similar(docs, shingle=SHINGLE, percent=SIMILAR)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

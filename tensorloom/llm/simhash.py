@@ -25,17 +25,24 @@ def _bit_counts(hashes: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included; 0 for no word."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; all words are one shingle of a shorter text."""
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """64-bit SimHash of the word shingles of a text, repeats included; 0 for no word."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     bits = _bit_counts(hashes) * 2 > len(hashes)
     return int(np.packbits(bits).view(np.uint64)[0])
 
@@ -132,13 +139,17 @@ def one_of_each_group(docs: DataFrame, shingle: int = 3, most_bits: int = 3, ban
 
     rows = stored(keyed.select("_sh_doc", "_sh_body", F.col(text_col).cast("string")).mapInArrow(run, "doc long, body long, fp long"))
     rank = F.struct(F.col("doc").isNull().alias("none"), "doc", "body")
-    of = _components(rows, rank, most_bits, bands)
+    return first_of_each(keyed, rows, _components(rows, rank, most_bits, bands)).select(*docs.columns)
+
+
+def first_of_each(keyed: DataFrame, rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of keyed that a component (none, doc, body) of ``of`` names; rows has each (doc, body)."""
     kept = of.select(F.col("component.doc").alias("doc"), F.col("component.body").alias("body")).distinct()
     on = F.col("_sh_doc").eqNullSafe(F.col("doc")) & F.col("_sh_body").eqNullSafe(F.col("body"))
     stay = keyed.join(stored(kept), on, "left_semi")
     if rows.groupBy("doc", "body").count().where("count > 1").limit(1).count():
         stay = stay.dropDuplicates(["_sh_doc", "_sh_body"])
-    return stay.select(*docs.columns)
+    return stay
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
