@@ -16,10 +16,11 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_ln_doc": F.col(id_col).cast("long"), "_ln_body": F.xxhash64(F.col(text_col))})
 
 
-def _lines(keyed: DataFrame, text_col: str, least_chars: int) -> DataFrame:
-    """(doc, body, pos, line, h1, h2) for lines of least_chars or more; two hashes tell lines apart."""
+def _lines(keyed: DataFrame, text_col: str, least_chars: int, short: bool) -> DataFrame:
+    """(doc, body, pos, line, h1, h2) for lines of least_chars or more, and for all that aren't blank if short; two hashes tell lines apart."""
     split = keyed.select("_ln_doc", "_ln_body", F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return split.where(F.char_length("line") >= least_chars).select(
+    taken = F.char_length("line") >= least_chars
+    return split.where(taken | F.col("line").rlike(r"\S") if short else taken).select(
         F.col("_ln_doc").alias("doc"), F.col("_ln_body").alias("body"), "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
     )
 
@@ -79,13 +80,13 @@ def _near(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     return links.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(later, F.col("ha")).otherwise(F.col("hb")).alias("h2")).distinct()
 
 
-def _deduped(docs: DataFrame, edits: int, least_chars: int, id_col: str, text_col: str) -> DataFrame:
+def _deduped(docs: DataFrame, edits: int, least_chars: int, id_col: str, text_col: str, short: bool) -> DataFrame:
     """docs with ``_ln_lines``, ``_ln_gone`` (places of lines to drop, in order) and the two keys."""
     keyed = _keys(docs, id_col, text_col)
-    lines = _lines(keyed.select("_ln_doc", "_ln_body", text_col), text_col, least_chars)
+    lines = _lines(keyed.select("_ln_doc", "_ln_body", text_col), text_col, least_chars, short)
     place = F.struct("doc", "body", "pos")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    near = _near(lines, distinct, edits).withColumn("near", F.lit(True))
+    near = _near(lines.where(F.char_length("line") >= least_chars) if short else lines, distinct, edits).withColumn("near", F.lit(True))
     exact = distinct.where("n > 1").select("h1", "h2", "first")
     marked = stored(exact.join(near, ["h1", "h2"], "full"))
     narrow = bit_filter(marked, "h1", distinct.count())
@@ -102,10 +103,11 @@ CASE WHEN _ln_gone IS NULL THEN _ln_lines ELSE flatten(zip_with(
     concat(array(-1), _ln_gone), concat(_ln_gone, array(size(_ln_lines))), (a, b) -> slice(_ln_lines, a + 2, b - a - 1))) END"""
 
 
-def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """Drop lines that stand earlier already, exactly or within ``edits`` edits.
 
-    Lines are what newlines separate. A line shorter than ``least_chars`` always stays. Of equal
+    Lines are what newlines separate. A line shorter than ``least_chars`` always stays, or, with
+    ``short``, stays unless it is an exact repeat; a short blank one stays in any case. Of equal
     lines only the first stays (in order of id, hash of the text and place; a missing id comes
     first), and it goes too if a line within the bound first stands still earlier. Distinct lines
     are compared once, however often they occur. Rows equal in id and text are one place, so both
@@ -114,14 +116,14 @@ def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: s
 
     Verification uses Spark's banded edit distance; its bit-parallel form has no native function.
     """
-    out = _deduped(docs, edits, least_chars, id_col, text_col)
+    out = _deduped(docs, edits, least_chars, id_col, text_col, short)
     text = F.when(F.col("_ln_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.expr(KEPT), "\n"))
     return out.withColumn(text_col, text).select(*docs.columns)
 
 
-def line_report(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the text that line_dedup leaves; null counts as empty)."""
-    out = _deduped(docs.select(id_col, text_col), edits, least_chars, id_col, text_col)
+    out = _deduped(docs.select(id_col, text_col), edits, least_chars, id_col, text_col, short)
     return out.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.size("_ln_lines"), F.lit(0)).cast("long").alias("n_lines"),
@@ -131,4 +133,4 @@ def line_report(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), short=True)

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from tensorloom.llm.line_dedup import line_dedup, line_report
+from tensorloom.llm.line_dedup import line_dedup, line_report, op10_line_dedup
 
 
 def distance(a, b):
@@ -54,3 +54,12 @@ def test_edge_rows(spark):
     got = sorted((str(r.doc_id), r.text) for r in line_dedup(df).collect())
     assert got == [("1", ""), ("1", ""), ("2", ""), ("None", line + "\nmore")]
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_op10_drops_exact_repeats_of_short_lines(spark, tmp_path):
+    long = "a line of more than twenty characters"
+    docs = [(1, "Les.\nabcd\n\n" + long), (2, "Les.\nLes!\n \n\nabcd"), (3, "x\nLes.\n \n" + long + "s\nx")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: docs[0][1], 2: "Les!\n \n", 3: "x\n "}
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (dict(docs)[i].count("\n") - t.count("\n"), hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
