@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import offsets_of, table, text_chunks
@@ -102,19 +103,19 @@ def train_field(samples: list[tuple[str, str]], buckets: int = 1 << 16, rounds:
     rng = np.random.default_rng(seed)
     labels = sorted({lang for _, lang in samples})
     index = {x: k for k, x in enumerate(labels)}
-    seen: dict[str, np.ndarray] = {}
+    seen: dict[str, Counter] = {}
     sequences = []
     for text, lang in samples:
         words = WORD.findall(text.lower())
         for w in words:
-            seen.setdefault(w, np.zeros(len(labels), np.int64))[index[lang]] += 1
+            seen.setdefault(w, Counter())[index[lang]] += 1
         sequences += [(words[k : k + SPAN], index[lang]) for k in range(0, len(words), SPAN)]
     # A word's entry tells in which languages it is common: its code is that set of languages.
-    masks: dict[tuple, int] = {}
+    masks: dict[frozenset, int] = {}
     lexicon = {}
     for w, c in seen.items():
-        if c.sum() > 1:
-            lexicon[w] = 1 + masks.setdefault(tuple(c * 4 > c.sum()), len(masks))
+        if (total := c.total()) > 1:
+            lexicon[w] = 1 + masks.setdefault(frozenset(k for k, x in c.items() if x * 4 > total), len(masks))
     types = list(seen)
     number = {w: k for k, w in enumerate(types)}
     features = np.concatenate([np.pad(f, ((0, 0), (0, 6 + 2 * WIDTH + 1 - f.shape[1]))) for f in (word_features(types[k : k + 8192], lexicon, buckets) for k in range(0, len(types), 8192))]) if types else np.zeros((0, 1), np.int64)
@@ -144,11 +145,13 @@ def train_field(samples: list[tuple[str, str]], buckets: int = 1 << 16, rounds:
             wrong[np.arange(len(want)), want] -= 1
             slope = np.zeros((len(kinds), len(labels)))
             np.add.at(slope, of, wrong)
-            full = np.zeros(weights.shape)
-            np.add.at(full, features[kinds], slope[:, None, :])
-            full[0] = 0
-            square += full * full
-            weights -= rate * full / np.sqrt(square)
+            # Only the rows of features that the batch has; 0 pads.
+            rows, place = np.unique(features[kinds], return_inverse=True)
+            full = np.zeros((len(rows), len(labels)))
+            np.add.at(full, place.reshape(len(kinds), -1), slope[:, None, :])
+            full[rows == 0] = 0
+            square[rows] += full * full
+            weights[rows] -= rate * full / np.sqrt(square[rows])
             tags = np.zeros(real.shape, np.int64)
             tags[real] = want
             both = real[:, 1:]
@@ -158,15 +161,37 @@ def train_field(samples: list[tuple[str, str]], buckets: int = 1 << 16, rounds:
     return WordField(labels, weights.astype(np.float32), trans, lexicon)
 
 
-def training_sample(docs: DataFrame, for_each: int, most_chars: int, most_labels: int) -> list[tuple[str, str]]:
-    """Whole texts of up to most_chars characters: about for_each of each language, chosen by a hash of id."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.char_length("text") <= most_chars)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()}
+def thinned(text: str, most_chars: int) -> str:
+    """Runs of SPAN words at even steps over the whole text, of some most_chars characters in all."""
+    words = WORD.findall(text)
+    runs = [" ".join(words[k : k + SPAN]) for k in range(0, len(words), SPAN)]
+    return " ".join(runs[:: -(-sum(map(len, runs)) // most_chars) or 1])
+
+
+def training_sample(docs: DataFrame, for_each: int, most_chars: int) -> list[tuple[str, str]]:
+    """About for_each texts of each language, chosen by a hash of id; fewer with over 64 languages, so that their sum stays.
+
+    Texts are whole and of up to most_chars characters. A language that has none so short gives
+    words from all over longer ones.
+    """
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_long", F.char_length("text") > most_chars)
+    sizes = known.groupBy("lang").agg(F.count_if(~F.col("_long")).alias("_short"), F.count("*").alias("_all")).collect()
     if not sizes:
         return []
-    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(for_each / n)) for x, n in sizes.items()))
+    each = max(1, min(for_each, 64 * for_each // len(sizes)))
+    shares = [(r["lang"], each / (r["_short"] or r["_all"]), r["_short"] == 0) for r in sizes]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, _share double, _none boolean")
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(point < share).select("text", "lang", "doc_id").limit(4 * for_each * len(sizes)).collect()
+    chosen = known.join(F.broadcast(shares), "lang").where((point < F.col("_share")) & (F.col("_long") == F.col("_none")))
+    first = Window.partitionBy("lang").orderBy(point, "doc_id", F.xxhash64("text"))
+    chosen = chosen.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= 4 * each).select("text", "lang", "doc_id")
+
+    def run(batches):
+        for batch in batches:
+            texts = [t if len(t) <= most_chars else thinned(t, most_chars) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1), batch.column(2)], ["text", "lang", "doc_id"])
+
+    rows = chosen.mapInArrow(run, chosen.schema).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))]
 
 
@@ -250,9 +275,9 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
-def fit_language(docs: DataFrame, for_each: int = 300, most_chars: int = 20_000, most_labels: int = 64) -> WordField:
-    """Train on documents that are not held out: about ``for_each`` of each of the ``most_labels`` commonest languages."""
-    return train_field(training_sample(docs.select("doc_id", "text", "lang").where(~held_out()), for_each, most_chars, most_labels))
+def fit_language(docs: DataFrame, for_each: int = 300, most_chars: int = 20_000) -> WordField:
+    """Train on documents that are not held out: about ``for_each`` of each language."""
+    return train_field(training_sample(docs.select("doc_id", "text", "lang").where(~held_out()), for_each, most_chars))
 
 
 def identify_language(docs: DataFrame, for_each: int = 300, most_chars: int = 20_000) -> DataFrame:
@@ -262,8 +287,8 @@ def identify_language(docs: DataFrame, for_each: int = 300, most_chars: int = 20
     hashed affixes, letter n-grams and lexicon entries, its transitions are learned, and
     forward-backward over sequences of 64 words gives each word's posterior. Their mean over a
     text is its score. Training sees about ``for_each`` whole texts of each language, of up to
-    ``most_chars`` characters, and only their text and language; a quarter of its sequences switch
-    language. A text that is null, empty or without a letter is "und" with score 0, and so is
+    ``most_chars`` characters (of longer ones only words, if a language has no shorter text), and
+    only their text and language; a quarter of its sequences switch language. A text that is null, empty or without a letter is "und" with score 0, and so is
     each text if there is nothing to learn from. Repeated rows get equal predictions; an empty
     table gives an empty result; further columns are not read.
 

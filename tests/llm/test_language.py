@@ -51,3 +51,15 @@ def test_edge_rows_and_switching(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "CAST(NULL AS STRING) AS lang", "1 AS score")
     assert {(r.lang_pred, r.score) for r in identify_language(docs).collect()} == {("und", 0.0)}
     assert identify_language(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """70 languages, of which one has long texts only: each gets its own documents."""
+    rng = np.random.default_rng(3)
+    letters = [chr(0x0531 + k) for k in range(38)] + [chr(0x10D0 + k) for k in range(33)]
+    words = {f"l{k}": ["".join(rng.choice(letters, 5)) for _ in range(6)] for k in range(70)}
+    rows = [(100 * k + n, " ".join(rng.choice(w, 4000 if k == 69 else 12)), lang) for k, (lang, w) in enumerate(words.items()) for n in range(12)]
+    out = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), for_each=10).collect()
+    right = [r.lang_pred == f"l{r.doc_id // 100}" for r in out]
+    assert {r.lang_pred for r in out} == set(words) and sum(right) > 0.95 * len(right)
+    assert all(r.lang_pred == "l69" for r in out if r.doc_id >= 6900)
