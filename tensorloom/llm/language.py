@@ -13,20 +13,19 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import offsets_of, table, text_chunks
 
-WORD = re.compile(r"[^\W\d_]+")
-UNKNOWN = "und"
-#: Letters of a word that features see: all of a shorter one, both ends of a longer one.
+#: Most letters of a word; a longer run of letters is cut into words of so many.
 WIDTH = 24
+WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
+UNKNOWN = "und"
 #: Words in one sequence of the field.
 SPAN = 64
 
 
 def word_features(words: list[str], lexicon: dict[str, int], buckets: int) -> np.ndarray:
     """Hashed features of each word, one row: affixes of 1-3 letters, 2- and 3-grams, lexicon entry. 0 pads."""
-    cut = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-(WIDTH // 2) :] for w in words]
-    n = len(cut)
-    letters = np.array(cut, dtype=f"<U{WIDTH}").view(np.uint32).reshape(n, WIDTH).astype(np.uint64)
-    size = np.fromiter(map(len, cut), np.int64, n)
+    n = len(words)
+    letters = np.array(words, dtype=f"<U{WIDTH}").view(np.uint32).reshape(n, WIDTH).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, n)
     framed = np.zeros((n, WIDTH + 2), np.uint64)  # 1 before a word, 2 after it
     framed[:, 0] = 1
     framed[:, 1:-1] = letters

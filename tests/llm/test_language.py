@@ -63,3 +63,11 @@ def test_every_language_is_learned(spark):
     right = [r.lang_pred == f"l{r.doc_id // 100}" for r in out]
     assert {r.lang_pred for r in out} == set(words) and sum(right) > 0.95 * len(right)
     assert all(r.lang_pred == "l69" for r in out if r.doc_id >= 6900)
+
+
+def test_every_letter_of_a_long_run_counts(spark):
+    field = train_field([("undder dasund derdas undundund", "de"), ("theof ofthe thethe oftheof", "en")] * 50)
+    rows = [(1, "und" * 8 + "the" * 6000 + "und" * 8), (2, "the" * 8 + "und" * 6000 + "the" * 8)]
+    out = {r.doc_id: r for r in label_texts(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert out[1].lang_pred == "en" and out[2].lang_pred == "de"
+    assert out[1].n_words == out[2].n_words == 752
