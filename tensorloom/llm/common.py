@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in local mode where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame, **columns) -> DataFrame:
+    """Whole rows as one column ``_row`` beside the given ones, so that no name of docs can clash; ``_row.*`` unpacks."""
+    return docs.select(F.struct("*").alias("_row"), *(c.alias(k) for k, c in columns.items()))
+
+
 def ascii_lower(text) -> F.Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)

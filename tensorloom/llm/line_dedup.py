@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import bit_filter, stored, table
+from tensorloom.llm.common import bit_filter, boxed, stored, table
 
 #: Characters whose counts, modulo 32, bound the edit distance of two lines from below.
 COUNTED = "eantiorshd"
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with a row's id and a hash of its text, which tell rows apart; text as it is."""
-    return docs.withColumns({"_ln_doc": F.col(id_col).cast("long"), "_ln_body": F.xxhash64(F.col(text_col))})
+    """(_row, doc, body, text): whole rows, and their id and a hash of their text, which tell them apart."""
+    return boxed(docs, doc=F.col(id_col).cast("long"), body=F.xxhash64(F.col(text_col)), text=F.col(text_col))
 
 
-def _lines(keyed: DataFrame, text_col: str, least_chars: int, short: bool) -> DataFrame:
+def _lines(keyed: DataFrame, least_chars: int, short: bool) -> DataFrame:
     """(doc, body, pos, line, h1, h2) for lines of least_chars or more, and for all that aren't blank if short; two hashes tell lines apart."""
-    split = keyed.select("_ln_doc", "_ln_body", F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    split = keyed.select("doc", "body", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     taken = F.char_length("line") >= least_chars
     return split.where(taken | F.col("line").rlike(r"\S") if short else taken).select(
-        F.col("_ln_doc").alias("doc"), F.col("_ln_body").alias("body"), "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
+        "doc", "body", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
     )
 
 
@@ -81,9 +81,9 @@ def _near(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
 
 
 def _deduped(docs: DataFrame, edits: int, least_chars: int, id_col: str, text_col: str, short: bool) -> DataFrame:
-    """docs with ``_ln_lines``, ``_ln_gone`` (places of lines to drop, in order) and the two keys."""
+    """(_row, lines, gone) of docs; gone has the places of lines to drop, in order, or is null."""
     keyed = _keys(docs, id_col, text_col)
-    lines = _lines(keyed.select("_ln_doc", "_ln_body", text_col), text_col, least_chars, short)
+    lines = _lines(keyed.select("doc", "body", "text"), least_chars, short)
     place = F.struct("doc", "body", "pos")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     near = _near(lines.where(F.char_length("line") >= least_chars) if short else lines, distinct, edits).withColumn("near", F.lit(True))
@@ -91,16 +91,16 @@ def _deduped(docs: DataFrame, edits: int, least_chars: int, id_col: str, text_co
     marked = stored(exact.join(near, ["h1", "h2"], "full"))
     narrow = bit_filter(marked, "h1", distinct.count())
     gone = narrow(lines.select("doc", "body", "pos", "h1", "h2")).join(marked, ["h1", "h2"]).where(F.col("near") | (place > F.col("first")))
-    lists = gone.select("doc", "body", "pos").distinct().groupBy("doc", "body").agg(F.array_sort(F.collect_list("pos")).alias("_ln_gone"))
-    on = F.col("_ln_doc").eqNullSafe(F.col("doc_2")) & F.col("_ln_body").eqNullSafe(F.col("body_2"))
-    lists = stored(lists.select(F.col("doc").alias("doc_2"), F.col("body").alias("body_2"), "_ln_gone"))
-    return keyed.join(lists, on, "left").drop("doc_2", "body_2").withColumn("_ln_lines", F.split(text_col, "\n"))
+    lists = gone.select("doc", "body", "pos").distinct().groupBy("doc", "body").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
+    on = F.col("doc").eqNullSafe(F.col("doc2")) & F.col("body").eqNullSafe(F.col("body2"))
+    lists = stored(lists.select(F.col("doc").alias("doc2"), F.col("body").alias("body2"), "gone"))
+    return keyed.drop("text").join(lists, on, "left").select("_row", F.split(F.col("_row")[text_col], "\n").alias("lines"), "gone")
 
 
 #: The lines that stay: what lies between the places of dropped ones.
 KEPT = """
-CASE WHEN _ln_gone IS NULL THEN _ln_lines ELSE flatten(zip_with(
-    concat(array(-1), _ln_gone), concat(_ln_gone, array(size(_ln_lines))), (a, b) -> slice(_ln_lines, a + 2, b - a - 1))) END"""
+CASE WHEN gone IS NULL THEN lines ELSE flatten(zip_with(
+    concat(array(-1), gone), concat(gone, array(size(lines))), (a, b) -> slice(lines, a + 2, b - a - 1))) END"""
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
@@ -117,17 +117,17 @@ def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: s
     Verification uses Spark's banded edit distance; its bit-parallel form has no native function.
     """
     out = _deduped(docs, edits, least_chars, id_col, text_col, short)
-    text = F.when(F.col("_ln_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.expr(KEPT), "\n"))
-    return out.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col("gone").isNull(), F.col("_row")[text_col]).otherwise(F.array_join(F.expr(KEPT), "\n"))
+    return out.select(F.col("_row").withField(f"`{text_col}`", text).alias("_row")).select("_row.*")
 
 
 def line_report(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the text that line_dedup leaves; null counts as empty)."""
     out = _deduped(docs.select(id_col, text_col), edits, least_chars, id_col, text_col, short)
     return out.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.size("_ln_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_ln_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.col("_row")[id_col].alias("doc_id"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(F.coalesce(F.array_join(F.expr(KEPT), "\n"), F.lit("")), 256).alias("kept_sha256"),
     ).withColumns({c: F.greatest(c, F.lit(0).cast("long")) for c in ("n_lines", "n_removed")})
 

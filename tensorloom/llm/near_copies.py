@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import bit_filter, stored, text_chunks
 from tensorloom.llm.components import connected_components
-from tensorloom.llm.simhash import SEED, first_of_each, shingle_hashes
+from tensorloom.llm.simhash import SEED, first_of_each, marked_rows, shingle_hashes
 
 #: A pair of similarity s shares no band with a chance of (1 - s ** ROWS) ** BANDS: 7e-7 at 0.8.
 ROWS, BANDS = 4, 27
@@ -38,7 +38,7 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _sketches(keyed: DataFrame, shingle: int, text_col: str) -> DataFrame:
+def _sketches(keyed: DataFrame, shingle: int) -> DataFrame:
     """(doc, body, node, n, bands): node is a hash of the whole shingle set, n its size."""
 
     def run(batches):
@@ -51,15 +51,17 @@ def _sketches(keyed: DataFrame, shingle: int, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "body", "node", "n", "bands"])
                 seen += len(texts)
 
-    return keyed.select("_sh_doc", "_sh_body", F.col(text_col).cast("string")).mapInArrow(run, "doc long, body long, node long, n long, bands array<long>")
+    return keyed.select("doc", "body", "text").mapInArrow(run, "doc long, body long, node long, n long, bands array<long>")
 
 
-def _sets(keyed: DataFrame, wanted: DataFrame, rows: int, shingle: int, text_col: str) -> DataFrame:
+def _sets(keyed: DataFrame, wanted: DataFrame, rows: int, shingle: int) -> DataFrame:
     """(node, hashes) of the wanted (node, least), computed again from the text of the least row."""
-    wanted = stored(wanted.select("node", F.col("least.doc").alias("doc"), F.col("least.body").alias("body"), F.xxhash64("least.doc", "least.body").alias("key")))
-    few = bit_filter(wanted, "key", rows)(keyed.select("_sh_doc", "_sh_body", F.xxhash64("_sh_doc", "_sh_body").alias("_sh_key"), F.col(text_col).cast("string").alias("_sh_text")), "_sh_key")
-    on = F.col("_sh_doc").eqNullSafe(F.col("doc")) & F.col("_sh_body").eqNullSafe(F.col("body"))
-    texts = few.join(wanted, on).select("node", "_sh_text")
+    key = F.xxhash64("doc", "body").alias("key")
+    wanted = stored(wanted.select("node", F.col("least.doc").alias("doc"), F.col("least.body").alias("body")).select("*", key))
+    few = bit_filter(wanted, "key", rows)(keyed.select("doc", "body", "text", key))
+    other = wanted.select("node", F.col("doc").alias("doc2"), F.col("body").alias("body2"))
+    on = F.col("doc").eqNullSafe(F.col("doc2")) & F.col("body").eqNullSafe(F.col("body2"))
+    texts = few.join(other, on).select("node", "text")
 
     def run(batches):
         for ids, texts in text_chunks(batches):
@@ -69,7 +71,7 @@ def _sets(keyed: DataFrame, wanted: DataFrame, rows: int, shingle: int, text_col
     return texts.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
-def similar_links(keyed: DataFrame, nodes: DataFrame, shingle: int, percent: int, text_col: str) -> DataFrame:
+def similar_links(keyed: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between the nodes (node, n, least, bands) that join what pairs of a common band join.
 
     A pair is linked if the Jaccard similarity of its shingle sets is at least ``percent``. In each
@@ -83,7 +85,7 @@ def similar_links(keyed: DataFrame, nodes: DataFrame, shingle: int, percent: int
     members = stored(cells.join(heads, "cell").select("cell", "head", "node", "n"))
     total = nodes.count()
     involved = members.select("node").distinct().join(nodes.select("node", "least"), "node")
-    sets = stored(_sets(keyed, involved, total, shingle, text_col))
+    sets = stored(_sets(keyed, involved, total, shingle))
 
     def similar(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
@@ -118,11 +120,11 @@ def one_of_each_similar(docs: DataFrame, shingle: int = 5, percent: int = 80, id
     link, directly or through others. Texts without a word are one group. Rows without an id come
     after all others. Of rows equal in id and text, any one stays.
     """
-    keyed = docs.withColumns({"_sh_doc": F.col(id_col).cast("long"), "_sh_body": F.xxhash64(F.col(text_col))})
-    rows = stored(_sketches(keyed, shingle, text_col))
+    keyed = marked_rows(docs, id_col, text_col)
+    rows = stored(_sketches(keyed, shingle))
     rank = F.struct(F.col("doc").isNull().alias("none"), "doc", "body")
     nodes = stored(rows.groupBy("node", "n").agg(F.min(rank).alias("least"), F.first("bands").alias("bands")))
-    roots = connected_components(similar_links(keyed, nodes, shingle, percent, text_col))
+    roots = connected_components(similar_links(keyed, nodes, shingle, percent))
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return first_of_each(keyed, rows, kept).select(*docs.columns)
+    return first_of_each(keyed, rows, kept)

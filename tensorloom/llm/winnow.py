@@ -20,6 +20,10 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 #: Symbols hashed at a time; a longer text is taken in overlapping parts.
 PART = 1 << 20
+#: Bits for a place in a chunk of up to PART symbols and an overlap; the rest of a hash orders windows' grams.
+PLACE_BITS = 21
+#: Most windows that an anchor may own, so that ``pack`` has room for their number.
+MOST_WINDOWS = 1023
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +67,7 @@ def anchors_of(symbols: np.ndarray, lengths: np.ndarray, length: int, gram: int)
         return {k: np.zeros(0, np.int64) for k in ("text", "pos", "left", "count", "anchor", "context")}
     rolling = Rolling(symbols)
     grams = rolling.all(gram)
-    bits = max(1, int(n - 1).bit_length())
+    bits = PLACE_BITS  # the same for every chunk: equal windows must break ties alike
     low = (grams >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(grams), dtype=np.uint64)
     width, step = length - gram + 1, 1
     while step * 2 <= width:
@@ -82,7 +86,7 @@ def anchors_of(symbols: np.ndarray, lengths: np.ndarray, length: int, gram: int)
     at, begin = pos[first], start[first]
     text = np.searchsorted(np.cumsum(lengths), at, side="right")
     base = offsets_of(lengths)[text]
-    shape = ((at - begin) * 512 + count).astype(np.uint64)
+    shape = ((at - begin) * 1024 + count).astype(np.uint64)
     return {
         "text": text,
         "pos": at - base,
@@ -122,6 +126,8 @@ def anchor_table(docs: DataFrame, symbols_of, length: int, gram: int) -> DataFra
 
     ``symbols_of`` makes, in each task, a function from a list of texts to arrays of symbols.
     """
+    if length - gram + 1 > MOST_WINDOWS or gram > length:
+        raise ValueError(f"windows of {length} with grams of {gram}: an anchor would own more than {MOST_WINDOWS} windows, or there is no gram")
 
     def run(batches):
         from tensorloom.llm.common import text_chunks
