@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import offsets_of, table, text_chunks
+from tensorloom.llm.common import table, text_chunks
 
 #: Most letters of a word; a longer run of letters is cut into words of so many.
 WIDTH = 24
-WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
+#: A run of letters and the marks on them, with a letter at least.
+RUN = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
-#: Words in one sequence of the field.
+#: Words in one training sequence of the field.
 SPAN = 64
+#: Words of a text that are labelled at a time; messages of the chain pass from one such stretch to the next.
+STRETCH = 2048
+#: Words times labels of stretches that are labelled together.
+CELLS = 1 << 21
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased words of a text, in order."""
+    runs = RUN.findall(text.lower())
+    if max(map(len, runs), default=0) <= WIDTH:
+        return runs
+    return [r[k : k + WIDTH] for r in runs for k in range(0, len(r), WIDTH)]
 
 
 def word_features(words: list[str], lexicon: dict[str, int], buckets: int) -> np.ndarray:
@@ -56,8 +69,12 @@ def word_features(words: list[str], lexicon: dict[str, int], buckets: int) -> np
     return np.concatenate([fixed, two, three], 1).astype(np.int64)
 
 
-def forward_backward(emit: np.ndarray, trans: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(marginals, sums of pair marginals, log partition) of sequences: emit (n, t, labels), real (n, t) with padding last."""
+def forward_backward(emit: np.ndarray, trans: np.ndarray, real: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(marginals, sums of pair marginals, log partition) of sequences: emit (n, t, labels), real (n, t) with padding last.
+
+    Where sequences are stretches of a longer chain, ``before`` holds the forward message into
+    each one's first word and ``after`` the backward message at its last word, both up to a factor.
+    """
     n, t, k = emit.shape
     top = emit.max(2, keepdims=True)
     e = np.exp(emit - top)
@@ -65,22 +82,42 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, real: np.ndarray) -> t
     m = np.exp(trans)
     alpha, beta, scale = np.empty((n, t, k)), np.ones((n, t, k)), np.ones((n, t))
     for i in range(t):
-        a = e[:, i] if i == 0 else (alpha[:, i - 1] @ m) * e[:, i]
+        a = (alpha[:, i - 1] @ m) * e[:, i] if i else e[:, i] if before is None else before * e[:, i]
         s = a.sum(1)
         a = a / s[:, None]
         if i:
             a = np.where(real[:, i, None], a, alpha[:, i - 1])
             s = np.where(real[:, i], s, 1.0)
         alpha[:, i], scale[:, i] = a, s
+    last = np.ones((n, k)) if after is None else after
+    beta[:, t - 1] = last
     for i in range(t - 2, -1, -1):
         b = ((beta[:, i + 1] * e[:, i + 1]) @ m.T) / scale[:, i + 1, None]
-        beta[:, i] = np.where(real[:, i + 1, None], b, 1.0)
+        beta[:, i] = np.where(real[:, i + 1, None], b, last)
     marginal = alpha * beta
     marginal /= marginal.sum(2, keepdims=True)
     pairs = np.einsum("nta,ntb->ab", alpha[:, :-1] * real[:, 1:, None] / scale[:, 1:, None], beta[:, 1:] * e[:, 1:]) * m if t > 1 else np.zeros((k, k))
     return marginal, pairs, float((np.log(scale) + top[:, :, 0])[real].sum())
 
 
+def forward(emit: np.ndarray, trans: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """The forward message out of one stretch emit (t, labels) into the word after it, summing to 1."""
+    m, a = np.exp(trans), before
+    for e in np.exp(emit - emit.max(1, keepdims=True)):
+        a = e @ m if a is None else (a * e) @ m
+        a /= a.sum()
+    return a
+
+
+def backward(emit: np.ndarray, trans: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The backward message out of one stretch at the last word before it, summing to 1."""
+    m, b = np.exp(trans).T, after
+    for e in np.exp(emit - emit.max(1, keepdims=True))[::-1]:
+        b = (b * e) @ m
+        b /= b.sum()
+    return b
+
+
 @dataclass
 class WordField:
     """A trained field: labels, feature weights, transitions and lexicon (all of bounded size)."""
@@ -105,7 +142,7 @@ def train_field(samples: list[tuple[str, str]], buckets: int = 1 << 16, rounds:
     seen: dict[str, Counter] = {}
     sequences = []
     for text, lang in samples:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         for w in words:
             seen.setdefault(w, Counter())[index[lang]] += 1
         sequences += [(words[k : k + SPAN], index[lang]) for k in range(0, len(words), SPAN)]
@@ -161,33 +198,35 @@ def train_field(samples: list[tuple[str, str]], buckets: int = 1 << 16, rounds:
 
 
 def thinned(text: str, most_chars: int) -> str:
-    """Runs of SPAN words at even steps over the whole text, of some most_chars characters in all."""
-    words = WORD.findall(text)
+    """A text of up to most_chars characters as it is; of a longer one, runs of SPAN words at even steps over all of it, of so many in all."""
+    if len(text) <= most_chars:
+        return text
+    words = words_of(text)
     runs = [" ".join(words[k : k + SPAN]) for k in range(0, len(words), SPAN)]
     return " ".join(runs[:: -(-sum(map(len, runs)) // most_chars) or 1])
 
 
 def training_sample(docs: DataFrame, for_each: int, most_chars: int) -> list[tuple[str, str]]:
-    """About for_each texts of each language, chosen by a hash of id; fewer with over 64 languages, so that their sum stays.
+    """Up to for_each texts of each language, chosen by a hash of id; fewer with over 64 languages, so that their sum stays.
 
-    Texts are whole and of up to most_chars characters. A language that has none so short gives
-    words from all over longer ones.
+    At most 64 * for_each texts of some most_chars characters come to the driver; of a longer text
+    words from all over it do.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_long", F.char_length("text") > most_chars)
-    sizes = known.groupBy("lang").agg(F.count_if(~F.col("_long")).alias("_short"), F.count("*").alias("_all")).collect()
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_all")).collect()
     if not sizes:
         return []
     each = max(1, min(for_each, 64 * for_each // len(sizes)))
-    shares = [(r["lang"], each / (r["_short"] or r["_all"]), r["_short"] == 0) for r in sizes]
-    shares = docs.sparkSession.createDataFrame(shares, "lang string, _share double, _none boolean")
+    # Twice the share of ids, so that a language hardly ever gives less than it should.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], 2 * each / r["_all"] + 1e-6) for r in sizes], "lang string, _share double")
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(F.broadcast(shares), "lang").where((point < F.col("_share")) & (F.col("_long") == F.col("_none")))
+    chosen = known.join(F.broadcast(shares), "lang").where(point < F.col("_share"))
     first = Window.partitionBy("lang").orderBy(point, "doc_id", F.xxhash64("text"))
-    chosen = chosen.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= 4 * each).select("text", "lang", "doc_id")
+    chosen = chosen.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= each).select("text", "lang", "doc_id")
 
     def run(batches):
         for batch in batches:
-            texts = [t if len(t) <= most_chars else thinned(t, most_chars) for t in batch.column(0).to_pylist()]
+            texts = [thinned(t, most_chars) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1), batch.column(2)], ["text", "lang", "doc_id"])
 
     rows = chosen.mapInArrow(run, chosen.schema).collect()
@@ -216,30 +255,46 @@ class Labeller:
         if len(self.known) > self.CACHE:
             self.known, self.emit = self.Numbers(), self.emit[:0]
         before = len(self.known)
-        numbers = [np.fromiter(map(self.known.__getitem__, WORD.findall(t.decode().lower())), np.int64) for t in texts]
+        numbers = [np.fromiter(map(self.known.__getitem__, words_of(t.decode())), np.int64) for t in texts]
         if len(self.known) > before:
             self.emit = np.concatenate([self.emit, self.field.emissions(list(self.known)[before:])])
-        sizes = np.array([len(x) for x in numbers])
-        flat = np.concatenate(numbers) if len(numbers) else np.zeros(0, np.int64)
-        # Sequences of SPAN words; the last of a text may be shorter.
-        parts = -(-sizes // SPAN)
-        owner = np.repeat(np.arange(len(sizes)), parts)
-        first = (np.arange(len(owner)) - offsets_of(parts)[:-1][owner]) * SPAN if len(owner) else np.zeros(0, np.int64)
-        length = np.minimum(SPAN, sizes[owner] - first)
+        sizes = np.array([len(x) for x in numbers], np.int64)
         total = np.zeros((len(sizes), len(self.field.labels)))
-        begin = offsets_of(sizes)[:-1][owner] + first
-        for low in range(0, len(owner), 4096):
-            b, n = begin[low : low + 4096], length[low : low + 4096]
-            cols = np.arange(int(n.max()))
-            real = cols < n[:, None]
-            at = np.minimum(b[:, None] + cols, len(flat) - 1)
-            marginal, _, _ = forward_backward(self.emit[flat[at]], self.field.trans, real)
-            np.add.at(total, owner[low : low + 4096], (marginal * real[:, :, None]).sum(1))
+        long = np.flatnonzero(sizes > STRETCH)
+        for k in long:
+            total[k] = self._long(numbers[k])
+        order = np.argsort(sizes, kind="stable")
+        order = order[(sizes[order] > 0) & (sizes[order] <= STRETCH)]
+        low = 0
+        while low < len(order):
+            # Texts of like length together: the longest is at most half as long again as the shortest, or 16 words.
+            most = max(16, sizes[order[low]] * 3 // 2)
+            high = min(int(np.searchsorted(sizes[order], most, "right")), low + max(1, CELLS // (int(most) * len(self.field.labels))))
+            own = order[low:high]
+            real = np.arange(sizes[own].max()) < sizes[own][:, None]
+            emit = np.zeros((*real.shape, len(self.field.labels)))
+            emit[real] = self.emit[np.concatenate([numbers[k] for k in own])]
+            marginal, _, _ = forward_backward(emit, self.field.trans, real)
+            total[own] = (marginal * real[:, :, None]).sum(1)
+            low = high
         best = total.argmax(1)
         none = sizes == 0
         score = np.clip(np.where(none, 0.0, total[np.arange(len(sizes)), best] / np.maximum(sizes, 1)), 0, 1)
         return self.names[np.where(none, len(self.field.labels), best)].tolist(), score, sizes
 
+    def _long(self, words: np.ndarray) -> np.ndarray:
+        """Sums of the posteriors of a long text's words: messages first, then one stretch at a time."""
+        stretches = [words[k : k + STRETCH] for k in range(0, len(words), STRETCH)]
+        into = [None]
+        for own in stretches[:-1]:
+            into.append(forward(self.emit[own], self.field.trans, into[-1]))
+        after, total = np.ones(len(self.field.labels)), np.zeros(len(self.field.labels))
+        for own, before in zip(stretches[::-1], into[::-1], strict=True):
+            marginal, _, _ = forward_backward(self.emit[own][None], self.field.trans, np.ones((1, len(own)), bool), before, after)
+            total += marginal[0].sum(0)
+            after = backward(self.emit[own], self.field.trans, after)
+        return total
+
 
 def label_texts(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, n_words): the language with most posterior weight over the words of each whole text."""
@@ -274,22 +329,26 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
-def fit_language(docs: DataFrame, for_each: int = 300, most_chars: int = 20_000) -> WordField:
-    """Train on documents that are not held out: about ``for_each`` of each language."""
+def fit_language(docs: DataFrame, for_each: int = 300, most_chars: int = 4_000) -> WordField:
+    """Train on documents that are not held out: up to ``for_each`` of each language."""
     return train_field(training_sample(docs.select("doc_id", "text", "lang").where(~held_out()), for_each, most_chars))
 
 
-def identify_language(docs: DataFrame, for_each: int = 300, most_chars: int = 20_000) -> DataFrame:
+def identify_language(docs: DataFrame, for_each: int = 300, most_chars: int = 4_000) -> DataFrame:
     """Predict the language of each whole text, after training on those that are not held out.
 
-    A linear-chain conditional random field labels the words: its emissions sum weights of
-    hashed affixes, letter n-grams and lexicon entries, its transitions are learned, and
-    forward-backward over sequences of 64 words gives each word's posterior. Their mean over a
-    text is its score. Training sees about ``for_each`` whole texts of each language, of up to
-    ``most_chars`` characters (of longer ones only words, if a language has no shorter text), and
-    only their text and language; a quarter of its sequences switch language. A text that is null, empty or without a letter is "und" with score 0, and so is
-    each text if there is nothing to learn from. Repeated rows get equal predictions; an empty
-    table gives an empty result; further columns are not read.
+    A linear-chain conditional random field labels the words (runs of letters and marks, lower
+    case): its emissions sum weights of hashed affixes, letter n-grams and lexicon entries, its
+    transitions are learned, and forward-backward over the whole text gives each word's posterior;
+    a text of over 2048 words is worked through in stretches that pass their messages on. The mean
+    of the posteriors over a text is its score. Training sees up to ``for_each`` texts of each
+    language (64 times as many in all), and only their text and language; of a text of over
+    ``most_chars`` characters it sees words from all over it. A quarter of its sequences switch
+    language.
+
+    A text that is null, empty or without a letter is "und" with score 0, and so is each text if
+    there is nothing to learn from. Of equally good languages the first by name is taken. Repeated
+    rows get equal predictions; an empty table gives an empty result; further columns are not read.
 
     Returns doc_id, held_out, lang_pred, score.
     """
