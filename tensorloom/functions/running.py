@@ -1,17 +1,75 @@
-"""Running totals that no single task has to make."""
+"""Running totals, row numbers and runs of bounded weight that no single task has to make."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions.storage import stored
 
-def running_total(df: DataFrame, key: str, value: str, out: str, blocks: int = 64) -> DataFrame:
-    """Adds ``out``: the sum of value over rows of smaller key, by blocks of keys (key is unique)."""
-    cuts = df.approxQuantile(key, [k / blocks for k in range(1, blocks)], 0.001) if blocks > 1 else []
-    block = sum(((F.col(key) > F.lit(int(c))).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    rows = df.withColumn("_block", block)
-    totals = rows.groupBy("_block").agg(F.sum(value).alias("_t"))
-    bases = totals.select("_block", (F.sum("_t").over(Window.orderBy("_block")) - F.col("_t")).alias("_base"))  # at most ``blocks`` rows
-    within = F.sum(value).over(Window.partitionBy("_block").orderBy(key)) - F.col(value)
+
+def _with_bases(rows: DataFrame, amount, out: str, within) -> DataFrame:
+    """Adds ``out``: ``within`` plus the amounts of all blocks before a row's own (column _block, one for each task)."""
+    totals = rows.groupBy("_block").agg(amount.alias("_t"))
+    bases = totals.select("_block", (F.sum("_t").over(Window.orderBy("_block")) - F.col("_t")).alias("_base"))  # a row for each task
     return rows.withColumn("_within", within).join(F.broadcast(bases), "_block").withColumn(out, F.col("_base") + F.col("_within")).drop("_block", "_base", "_within")
+
+
+def running_total(df: DataFrame, key: str | list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of value over rows of smaller key (keys are unique).
+
+    Rows are dealt by ranges of keys and written once; each range is summed by itself.
+    """
+    keys = [key] if isinstance(key, str) else key
+    rows = stored(df.repartitionByRange(*keys).withColumn("_block", F.spark_partition_id()))
+    within = F.sum(value).over(Window.partitionBy("_block").orderBy(*keys)) - F.col(value)
+    return _with_bases(rows, F.sum(value), out, within)
+
+
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: the number of each row from 0, in the order that df has."""
+    rows = stored(df.withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_block": F.shiftrightunsigned("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+    return _with_bases(rows, F.count("*"), out, F.col("_place")).drop("_place")
+
+
+def runs(counts: DataFrame, key: str, weight: int, fill: bool) -> DataFrame:
+    """Adds ``run``: consecutive keys of a group in runs, closed one by one from the first key on.
+
+    counts has (group, key, n), a row for each key of a group. With ``fill`` a run closes at the
+    first key that brings it to ``weight`` entries; else it takes keys as long as it has no more
+    than ``weight``, and one key at least. Runs are numbered from 0 over all groups in order.
+
+    Where a run would end is found for every key at once: the places of the keys are dealt to
+    stretches as wide as the weight, and what a run from a place reaches lies in that stretch or
+    the next. Runs that really occur are then found by doubling: those a first key reaches in one
+    step, then in up to 2, 4, 8 steps.
+    """
+    weight = max(1, weight)
+    total = running_total(counts, ["group", key], "n", "before")
+    first = total.groupBy("group").agg(F.min("before").alias("base"), F.sum("n").alias("all"))
+    points = stored(total.join(first, "group").select("group", key, "n", (F.col("before") - F.col("base")).alias("at"), "all"))
+    reach = F.col("at") + (weight - 1 if fill else weight)
+    asks = points.select("group", F.floor(reach / weight).alias("stretch"), reach.alias("place"), F.lit(1).alias("kind"), F.col("at").alias("asked"), "n", "all")
+    there = points.select("group", F.floor(F.col("at") / weight).alias("stretch"), F.col("at").alias("place"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("asked"), "n", "all")
+    here = Window.partitionBy("group", "stretch").orderBy("place", "kind")
+    point = F.when(F.col("kind") == 0, F.struct("place", "n"))
+    seen = asks.unionByName(there).withColumn("last", F.last(point, ignorenulls=True).over(here)).where("kind = 1")
+    ends = there.groupBy("group", "stretch").agg(F.max(F.struct("place", "n")).alias("own"))
+    seen = seen.withColumn("asked_in", F.floor(F.col("asked") / weight))
+    seen = seen.join(ends.withColumnRenamed("stretch", "asked_in"), ["group", "asked_in"]).withColumn("last", F.coalesce("last", "own"))
+    if fill:
+        step = F.col("last.place") + F.col("last.n")
+    else:
+        step = F.when(F.col("asked") + weight >= F.col("all"), F.col("all")).when(F.col("last.place") > F.col("asked"), F.col("last.place")).otherwise(F.col("asked") + F.col("n"))
+    jumps = stored(seen.select("group", F.col("asked").alias("at"), step.alias("to"), "all").where("to < all").select("group", "at", "to"))
+    starts = stored(points.where("at = 0").select("group", "at"))
+    known = 0
+    while (n := starts.count()) > known:
+        known = n
+        further = starts.join(jumps, ["group", "at"]).select("group", F.col("to").alias("at"))
+        starts = stored(starts.unionByName(further).distinct())
+        later = jumps.select("group", F.col("at").alias("to"), F.col("to").alias("then"))
+        jumps = stored(jumps.join(later, ["group", "to"]).select("group", "at", F.col("then").alias("to")))
+    marked = points.join(starts.withColumn("begins", F.lit(1).cast("long")), ["group", "at"], "left").select("group", key, "n", F.coalesce("begins", F.lit(0)).alias("begins"))
+    return running_total(marked, ["group", key], "begins", "run").select("group", key, "n", (F.col("run") + F.col("begins") - 1).alias("run"))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tensorloom.tensor import SparseTensor, coords
 
 
-def _sides(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_modes: Sequence[int], strict: bool):
+def _sides(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_modes: Sequence[int], strict: bool | None):
     if len(x_modes) != len(y_modes):
         raise ValueError("each contract mode of one side pairs with one of the other")
     x.check_modes(*x_modes)
     y.check_modes(*y_modes)
+    if strict is None:
+        strict = bool(x.known_dims and y.known_dims)
     if strict and any(x.dims[a] != y.dims[b] for a, b in zip(x_modes, y_modes, strict=True)):
         raise ValueError("contract dimensions differ")
     fx = [m for m in range(x.order) if m not in x_modes]
@@ -31,13 +33,15 @@ def contract(
     y_modes: Sequence[int],
     drop_zeros: bool = False,
     pre_sum: bool = False,
-    strict: bool = False,
+    strict: bool | None = None,
 ) -> SparseTensor:
     """Z[free of x, free of y] = sum over the contract modes of x * y; the k-th modes pair.
 
     Keys are compared column by column, so widths never matter. ``pre_sum`` adds up repeated
     coordinates of both sides before the join, which pays where they abound. Sums of zero stay
-    unless ``drop_zeros``. With every mode contracted the result is one value, with none it is
+    unless ``drop_zeros``. Contract modes must have equal dimensions: ``strict`` always checks that,
+    by a pass over the data where they aren't known; by default it is checked where they are known
+    for both sides. With every mode contracted the result is one value, with none it is
     the outer product.
     """
     if pre_sum:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.storage import stored
 from tensorloom.operators import dense
 from tensorloom.operators.dense import Matrix
 from tensorloom.operators.elementwise import norm
@@ -27,15 +26,8 @@ class Kruskal:
 
 
 def _stored(a: Matrix) -> Matrix:
-    """A factor written to the shared checkpoint folder, so that sweeps don't pile up lineage."""
-    spark = a.df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/factor-{uuid.uuid4().hex}"
-    a.df.write.parquet(path)
-    return Matrix(spark.read.schema(a.df.schema).parquet(path), a.rows, a.rank)
+    """A factor written to the shared folder, so that sweeps don't pile up lineage."""
+    return Matrix(stored(a.df), a.rows, a.rank)
 
 
 def kruskal_norm2(weights: np.ndarray, grams: list[np.ndarray]) -> float:

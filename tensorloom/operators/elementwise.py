@@ -32,15 +32,16 @@ def _paired(x: SparseTensor, y: SparseTensor) -> DataFrame:
 
 def mul(x: SparseTensor, y: SparseTensor) -> SparseTensor:
     """Hadamard product over common coordinates; zeros go."""
-    return x.like(_paired(x, y).withColumn("v", F.col("a") * F.col("b"))).drop_zeros()
+    return x.like(_paired(x, y).withColumn("v", F.col("a") * F.col("b")), True).drop_zeros()
 
 
 def mul_same_pattern(x: SparseTensor, y: SparseTensor) -> SparseTensor:
-    """Hadamard product of tensors that must have the same coordinates."""
-    n = x.coalesce().nnz()
-    if not n == y.coalesce().nnz() == _paired(x, y).count():
-        raise ValueError("the patterns differ")
-    return mul(x, y)
+    """Hadamard product of tensors that must have the same coordinates; the job fails where they differ."""
+    same_shape(x, y)
+    both = x.coalesce().df.withColumnRenamed("v", "a").join(y.coalesce().df.withColumnRenamed("v", "b"), x.coords, "full")
+    alone = F.raise_error(F.lit("the patterns differ")).cast("double")
+    v = F.when(F.col("a").isNull() | F.col("b").isNull(), alone).otherwise(F.col("a") * F.col("b"))
+    return x.like(both.withColumn("v", v), True).drop_zeros()
 
 
 def div(x: SparseTensor, y: SparseTensor) -> SparseTensor:
@@ -52,13 +53,13 @@ def div(x: SparseTensor, y: SparseTensor) -> SparseTensor:
 
 def scale(x: SparseTensor, factor: float) -> SparseTensor:
     """Times a scalar; zero gives an empty tensor."""
-    return x.like(x.df.limit(0) if factor == 0 else x.df.withColumn("v", F.col("v") * float(factor)))
+    return x.where("false") if factor == 0 else x.like(x.df.withColumn("v", F.col("v") * float(factor)), x.unique)
 
 
 def divide_by(x: SparseTensor, divisor: float) -> SparseTensor:
     if divisor == 0:
         raise ZeroDivisionError("tensor divided by zero")
-    return x.like(x.df.withColumn("v", F.col("v") / float(divisor)))
+    return x.like(x.df.withColumn("v", F.col("v") / float(divisor)), x.unique)
 
 
 def norm(x: SparseTensor) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import struct
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions.running import numbered
+from tensorloom.functions.storage import stored
 from tensorloom.operators.dense import Matrix
 from tensorloom.tensor import SparseTensor
 
@@ -49,14 +51,73 @@ def write_dump(x: SparseTensor, path: str, base: int = 1) -> None:
     body.write.text(f"{path}/body")
 
 
+def write_hicoo(hicoo: DataFrame, order: int, dims: list[int], path: str) -> None:
+    """A head with the order and dimensions, and a line for each entry: block, place in it and value, block by block."""
+    blocks, places = [f"b{m}" for m in range(order)], [f"e{m}" for m in range(order)]
+    head = hicoo.sparkSession.createDataFrame([(f"{order}\n" + " ".join(map(str, dims)),)], "value string")
+    head.coalesce(1).write.text(f"{path}/head")
+    hicoo.orderBy(*blocks, *places).select(F.concat_ws("\t", *blocks, *places, "v").alias("value")).write.text(f"{path}/entries")
+
+
+def read_hicoo(spark: SparkSession, path: str, order: int) -> DataFrame:
+    """The entries that write_hicoo wrote: b0 .., e0 .., v."""
+    fields = F.split("value", "\t")
+    names = [f"{n}{m}" for n in "be" for m in range(order)]
+    return spark.read.text(f"{path}/entries").select(*(fields[k].cast("long").alias(n) for k, n in enumerate(names)), fields[2 * order].cast("double").alias("v"))
+
+
+#: Most lines that a file of coordinates may have: one for each mode, and notes.
+MOST_LINES = 10_000
+
+
+def _numbered_text(spark: SparkSession, path: str, items, line_end: str = "\n") -> DataFrame:
+    """(x, n): the items of each line (an array column over ``value``), numbered from 0 in order of files and places.
+
+    Spark splits files at ``line_end``. What one split holds is numbered by itself, and then by
+    how many items the splits before it have.
+    """
+    lines = spark.read.text(path, lineSep=line_end).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = stored(lines.select("_file", "_start", F.explode(items).alias("x")).withColumn("_at", F.monotonically_increasing_id()))
+    splits = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    bases = splits.select("_file", "_start", "_low", (F.sum("_n").over(Window.orderBy("_file", "_start")) - F.col("_n")).alias("_base"))  # a row for each split
+    return rows.join(F.broadcast(bases), ["_file", "_start"]).select("x", (F.col("_base") + F.col("_at") - F.col("_low")).alias("n"))
+
+
+def _tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(x, n): what blanks separate, numbered in order; the end of a line is a token of its own.
+
+    Spark splits the file at blanks, so that one long line is read by many tasks.
+    """
+    return _numbered_text(spark, path, F.regexp_extract_all("value", F.lit(r"\n|[^\s]+"), F.lit(0)), " ")
+
+
 def read_quantum(spark: SparkSession, indices: str, values: str) -> SparseTensor:
-    """One line of coordinates (from 1, perhaps written as floats) for each mode, and a file of values."""
-    lines = spark.read.text(indices, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: ~x.rlike(r"^\s*(#|$)"))).alias("mode", "line"))
-    order = lines.agg(F.max("mode")).first()[0] + 1
-    cells = lines.select("mode", F.posexplode(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")).alias("n", "x"))
-    wide = cells.groupBy("n").agg(*(F.max(F.when(F.col("mode") == m, F.col("x").cast("double").cast("long") - 1)).alias(f"i{m}") for m in range(order)))
-    rows = spark.read.text(values, wholetext=True).select(F.posexplode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).alias("n", "x"))
-    return SparseTensor(wide.join(rows.select("n", F.col("x").cast("double").alias("v")), "n").select(*(f"i{m}" for m in range(order)), "v"), order)
+    """One line of coordinates (from 1, perhaps written as floats) for each mode, and a file of values.
+
+    Empty lines and lines that start with # are skipped.
+    """
+    tokens = stored(_tokens(spark, indices))
+    ends = [r["n"] for r in tokens.where("x = '\n'").orderBy("n").limit(MOST_LINES + 1).collect()]
+    if len(ends) > MOST_LINES:
+        raise ValueError(f"{indices} has over {MOST_LINES} lines; it should have one for each mode")
+    starts = [0, *(e + 1 for e in ends)]
+    heads = {r["n"]: r["x"] for r in tokens.where(F.col("n").isin(starts)).collect()}
+    lines = [(a, b) for a, b in zip(starts, [*ends, 1 << 62], strict=True) if a in heads and heads[a] != "\n" and not heads[a].startswith("#")]
+    mode = F.coalesce(*(F.when((F.col("n") >= a) & (F.col("n") < b), F.struct(F.lit(m).alias("mode"), (F.col("n") - a).alias("at"))) for m, (a, b) in enumerate(lines)))
+    cells = tokens.select(mode.alias("p"), "x").where("p IS NOT NULL AND x <> '\n'").select("p.*", (F.col("x").cast("double").cast("long") - 1).alias("i"))
+    wide = cells.groupBy("at").agg(*(F.max(F.when(F.col("mode") == m, F.col("i"))).alias(f"i{m}") for m in range(len(lines))))
+    numbers = _numbered_text(spark, values, F.regexp_extract_all("value", F.lit(r"[^\s]+"), F.lit(0)), " ")
+    rows = numbers.select(F.col("n").alias("at"), F.col("x").cast("double").alias("v"))
+    return SparseTensor(wide.join(rows, "at").select(*(f"i{m}" for m in range(len(lines))), "v"), len(lines))
+
+
+def write_quantum(x: SparseTensor, path: str) -> None:
+    """indices.txt with a line of coordinates (from 1) for each mode, and values.txt, as folders of part files in order."""
+    rows = stored(numbered(x.df, "n"))
+    cells = rows.select("n", F.posexplode(F.array(*x.coords)).alias("mode", "i")).select("mode", "n", (F.col("i") + 1).cast("string").alias("value"))
+    ends = rows.sparkSession.range(x.order).select(F.col("id").cast("int").alias("mode"), F.lit(1 << 62).alias("n"), F.lit("\n").alias("value"))
+    cells.unionByName(ends).orderBy("mode", "n").select("value").write.text(f"{path}/indices.txt", lineSep=" ")
+    rows.orderBy("n").select(F.col("v").cast("string").alias("value")).write.text(f"{path}/values.txt", lineSep=" ")
 
 
 #: First fields of the binary layout with a header: magic, index width, value width.
@@ -96,30 +157,33 @@ def read_bin(spark: SparkSession, path: str, header: bool = True) -> SparseTenso
 
 
 def write_bin(x: SparseTensor, path: str, header: bool = True, index_bits: int = 64, value_bits: int = 64) -> None:
-    """One binary file of the whole tensor, written by the driver row by row; the format has counts before arrays.
+    """One binary file of the whole tensor, for tools that read such a file; parquet is the format for large tensors.
 
-    Meant for exchange with tools that read such a file; parquet is the format for large tensors.
+    The format has an array for each mode after the count, so the driver streams the stored rows
+    once for each mode and for the values; it holds one partition at a time.
     """
     import numpy as np
 
-    rows = [tuple(r) for r in x.df.toLocalIterator()]
+    rows = stored(x.df)
     with open(path, "wb") as f:
         if header:
             f.write(HEADER.pack(MAGIC, index_bits, value_bits))
-        f.write(struct.pack(f"<{x.order + 2}Q", x.order, *x.dims, len(rows)))
-        for m in range(x.order):
-            f.write(np.array([r[m] for r in rows], f"<u{index_bits // 8}").tobytes())
-        f.write(np.array([r[-1] for r in rows], f"<f{value_bits // 8}").tobytes())
+        f.write(struct.pack(f"<{x.order + 2}Q", x.order, *x.dims, rows.count()))
+        for c, kind in [*((c, f"<u{index_bits // 8}") for c in x.coords), ("v", f"<f{value_bits // 8}")]:
+            for (value,) in rows.select(c).toLocalIterator():
+                f.write(np.array(value, kind).tobytes())
 
 
-def read_tensor(spark: SparkSession, path: str, **options) -> SparseTensor:
-    """By suffix: .bin is binary, all else text."""
+def read_tensor(spark: SparkSession, path: str, quantum: bool = False, **options) -> SparseTensor:
+    """By kind and suffix: a quantum folder (indices.txt, values.txt), .bin as binary, all else as text."""
+    if quantum:
+        return read_quantum(spark, f"{path}/indices.txt", f"{path}/values.txt")
     return read_bin(spark, path, **options) if PurePosixPath(path).suffix == ".bin" else read_tns(spark, path, **options)
 
 
 def read_index_map(spark: SparkSession, path: str, dims: list[int]) -> list[DataFrame]:
     """Maps (old, new) of each mode from a file of one new index (from 1) a line, mode after mode."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("n", "x"))
+    lines = stored(_numbered_text(spark, path, F.regexp_extract_all("value", F.lit(r"\S+"), F.lit(0))))
     if lines.count() != sum(dims):
         raise ValueError("the file needs a line for each index of each mode")
     out, start = [], 0
@@ -130,12 +194,50 @@ def read_index_map(spark: SparkSession, path: str, dims: list[int]) -> list[Data
     return out
 
 
+def write_index_map(maps: list[DataFrame], path: str) -> None:
+    """Maps (old, new) as lines of new indices (from 1), mode after mode, in part files in order."""
+    rows = None
+    for m, each in enumerate(maps):
+        own = each.select(F.lit(m).alias("mode"), "old", (F.col("new") + 1).cast("string").alias("value"))
+        rows = own if rows is None else rows.unionByName(own)
+    rows.orderBy("mode", "old").select("value").write.text(path)
+
+
+def _column(rows: DataFrame, length: int, column: str, out) -> None:
+    """The cells of a column from row 0 to length - 1, zeros where a row is missing, streamed to an open file."""
+    at = 0
+    for i, value in rows.select("row", column).orderBy("row").toLocalIterator():
+        out.writelines("0.00000000000000000000\n" for _ in range(at, i))
+        out.write(f"{value:.20f}\n")
+        at = i + 1
+    out.writelines("0.00000000000000000000\n" for _ in range(at, length))
+
+
 def write_matrix(a: Matrix, path: str) -> None:
-    """Text: "matrix", 2, rows and rank, then the cells column by column."""
-    rows = {r[0]: r[1:] for r in a.df.toLocalIterator()}
+    """Text: "matrix", 2, rows and rank, then the cells column by column; the driver streams one column at a time."""
+    rows = stored(a.df)
     with open(path, "w") as f:
         f.write(f"matrix\n2\n{a.rows} {a.rank}\n")
-        f.writelines(f"{rows[i][r] if i in rows else 0.0:.20f}\n" for r in range(a.rank) for i in range(a.rows))
+        for c in a.cols:
+            _column(rows, a.rows, c, f)
+
+
+def write_vector(df: DataFrame, length: int, path: str) -> None:
+    """Text: "vector", 1, the length, then the cells of df(row, v); the driver streams them."""
+    with open(path, "w") as f:
+        f.write(f"vector\n1\n{length}\n")
+        _column(df, length, "v", f)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, v) of a matrix or (row, v) of a vector file that write_matrix or write_vector wrote."""
+    lines = stored(_numbered_text(spark, path, F.array("value")).withColumnRenamed("x", "value"))
+    kind, _, shape = (r["value"] for r in lines.where("n < 3").orderBy("n").collect())
+    rows = int(shape.split()[0])
+    cells = lines.where("n >= 3").select((F.col("n") - 3).alias("n"), F.col("value").cast("double").alias("v"))
+    if kind == "vector":
+        return cells.select(F.col("n").alias("row"), "v")
+    return cells.select((F.col("n") % rows).alias("row"), F.floor(F.col("n") / rows).alias("col"), "v")
 
 
 def write_kruskal(weights, factors: list[Matrix], prefix: str) -> None:

@@ -18,12 +18,14 @@ def coords(order: int) -> list[str]:
 class SparseTensor:
     """Coordinates ``i0 ..`` (long, from 0) and ``v`` (double). Coordinates may repeat: their values add up.
 
-    ``known_dims`` saves the pass over the data that finds dimensions as largest index plus one.
+    ``known_dims`` saves the pass over the data that finds dimensions as largest index plus one;
+    ``unique`` says that no coordinate repeats, which saves adding up.
     """
 
     df: DataFrame
     order: int
     known_dims: tuple[int, ...] | None = None
+    unique: bool = False
 
     @classmethod
     def from_table(cls, df: DataFrame, modes: Sequence[str | Column], value: str | Column, dims: Sequence[int] | None = None) -> SparseTensor:
@@ -43,19 +45,23 @@ class SparseTensor:
         row = self.df.agg(*(F.coalesce(F.max(c) + 1, F.lit(0)).alias(c) for c in self.coords)).first()
         return tuple(row)
 
-    def like(self, df: DataFrame) -> SparseTensor:
+    def like(self, df: DataFrame, unique: bool = False) -> SparseTensor:
         """The same shape over other rows."""
-        return SparseTensor(df.select(*self.coords, "v"), self.order, self.known_dims)
+        return SparseTensor(df.select(*self.coords, "v"), self.order, self.known_dims, unique)
+
+    def where(self, condition) -> SparseTensor:
+        """The entries that meet a condition on coordinates and v."""
+        return self.like(self.df.where(condition), self.unique)
 
     def nnz(self) -> int:
         return self.df.count()
 
     def coalesce(self) -> SparseTensor:
         """One row for each coordinate."""
-        return self.like(self.df.groupBy(*self.coords).agg(F.sum("v").alias("v")))
+        return self if self.unique else self.like(self.df.groupBy(*self.coords).agg(F.sum("v").alias("v")), True)
 
     def drop_zeros(self) -> SparseTensor:
-        return self.like(self.df.where("v <> 0"))
+        return self.where("v <> 0")
 
     def check_modes(self, *modes: int) -> None:
         if len(set(modes)) != len(modes) or any(not 0 <= m < self.order for m in modes):

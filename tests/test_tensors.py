@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tensorloom.functions.running import runs
 from tensorloom.operators import contract as ct
 from tensorloom.operators import cpd, dense, elementwise, layout, products
 from tensorloom.plans.einsum import einsum
@@ -52,9 +53,9 @@ def test_contract_edges(spark):
     assert empty.dims == (0, 0) and elementwise.status(empty).first()["density"] == 0
     # Keys match by value, whatever the widths of the dimensions.
     p, q = tensor(spark, [(1, 3, 1)], 2, (4, 4)), tensor(spark, [(1, 3, 5), (3, 1, 7)], 2, (4, 16))
-    assert ct.inner(p, q).df.first()["v"] == 5
     with pytest.raises(ValueError):
-        ct.contract(p, q, (0, 1), (0, 1), strict=True)
+        ct.contract(p, q, (0, 1), (0, 1))
+    assert ct.contract(p, q, (0, 1), (0, 1), strict=False).df.first()["v"] == 5
     with pytest.raises(ValueError):
         ct.contract(p, q, (0, 0), (0, 1))
     # Coordinates of more than 63 bits in all.
@@ -75,8 +76,9 @@ def test_elementwise_laws(spark):
     assert elementwise.scale(x, 0).nnz() == 0
     with pytest.raises(ZeroDivisionError):
         elementwise.divide_by(x, 0)
-    with pytest.raises(ValueError):
-        elementwise.mul_same_pattern(x, tensor(spark, [(5, 6, 1)], 2, (6, 7)))
+    with pytest.raises(Exception, match="patterns differ"):
+        elementwise.mul_same_pattern(x, tensor(spark, [(5, 6, 1)], 2, (6, 7))).df.collect()
+    assert np.array_equal(densified(elementwise.mul_same_pattern(x, x), (6, 7)), a * a)
     with pytest.raises(ValueError):
         elementwise.add(x, tensor(spark, [], 2, (6, 8)))
 
@@ -105,12 +107,86 @@ def test_products_and_layouts(spark):
     assert [tuple(r) for r in layout.linearized(one).collect()] == [(2, 1.0)]
 
 
+def greedy(counts, weight, fill):
+    """Runs of keys by the rule, one after another: {key: run}."""
+    out, run, held = {}, -1, None
+    for key, n in sorted(counts.items()):
+        if held is None or (held >= weight if fill else held + n > weight):
+            run, held = run + 1, 0
+        out[key], held = run, held + n
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_runs_against_the_greedy_rule(spark, seed):
+    rng = np.random.default_rng(seed)
+    groups = [{int(k): int(n) for k, n in zip(rng.choice(900, size, replace=False), rng.integers(1, (40, 4, 3000)[seed - 1], size))} for size in (1, 30, 250)]
+    rows = [(g, k, n) for g, counts in enumerate(groups) for k, n in counts.items()]
+    df = spark.createDataFrame(rows, "group long, key long, n long")
+    for weight in (1, 7, 100, 10**6):
+        for fill in (False, True):
+            want, base = {}, 0
+            for g, counts in enumerate(groups):
+                own = greedy(counts, weight, fill)
+                want |= {(g, k): base + r for k, r in own.items()}
+                base += max(own.values()) + 1
+            assert {(r.group, r.key): r.run for r in runs(df, "key", weight, fill).collect()} == want
+    assert runs(df.limit(0), "key", 5, True).count() == 0
+
+
+def test_split_bounds_hold_their_parts(spark):
+    x, a = random_tensor(spark, (40, 9, 7), 500, 11)
+    parts, bounds = layout.split(x, [60, 0, 25])
+    limits = {r.part: r for r in bounds.collect()}
+    held = {}
+    for r in parts.df.collect():
+        b = limits[r.part]
+        assert b.low0 <= r.i0 < b.high0 and b.low1 <= r.i1 < b.high1 and b.low2 <= r.i2 < b.high2
+        held.setdefault(r.part, []).append(r)
+    assert {p: len(rows) for p, rows in held.items()} == {p: b.n for p, b in limits.items()} and sum(b.n for b in limits.values()) == 500
+    assert all(b.n <= 25 or b.high2 - b.low2 == 1 for b in limits.values())
+    assert np.array_equal(densified(SparseTensor(parts.df.select("i0", "i1", "i2", "v"), 3), (40, 9, 7)), a)
+
+
+def test_alto_partitions_have_equal_numbers(spark):
+    x, _ = random_tensor(spark, (8, 4, 16), 100, 12)
+    whole = layout.alto_partitions(x, 8).collect()
+    assert sorted((r.part, r.n) for r in whole) == [(p, 13) for p in range(7)] + [(7, 9)]
+    shared = {(r.mode, r.i): r.parts for r in layout.alto_conflicts(x, 8).collect()}
+    for (mode, i), n in shared.items():
+        assert 1 < n <= sum(r[f"low{mode}"] <= i <= r[f"high{mode}"] for r in whole)
+
+
+def test_orders_and_numbers(spark):
+    x, _ = random_tensor(spark, (9, 9, 9), 200, 13)
+    x = x.coalesce()
+    rows = [tuple(r) for r in x.df.collect()]
+    z = lambda *c: sum(((v >> 1) >> k & 1) << (len(c) * k + n) for k in range(3) for n, v in enumerate(c))
+    orders = {
+        "sort": (layout.sort(x, [2]), lambda r: (r[2], r[0], r[1])),
+        "at": (layout.sort_at(x, 0), lambda r: (r[1], r[2], r[0])),
+        "z": (layout.sort_blocks(x, 1, z_order=True), lambda r: (z(*r[:3]), r[:3])),
+        "z without": (layout.sort_blocks(x, 1, z_order=True, without=0), lambda r: (z(*r[1:3]), r[1], r[2], r[0])),
+        "rows": (layout.sort_blocks(x, 2), lambda r: ([c >> 2 for c in r[:3]], r[:3])),
+        "mixed": (layout.sort_mixed(x, 2, 1), lambda r: ([c >> 2 for c in r[:3]], z(*r[:3]), r[:3])),
+        "slices": (layout.sort_slices(x, 1, 2), lambda r: (r[1], r[0] >> 2, r[2] >> 2, r[0], r[2])),
+    }
+    for name, (got, key) in orders.items():
+        numbers = sorted(tuple(r) for r in layout.row_numbers(got).collect())
+        assert [r[0] for r in numbers] == list(range(len(rows))), name
+        assert [r[1:] for r in numbers] == sorted(rows, key=key), name
+    assert sorted(tuple(r) for r in layout.shuffle_elements(x, 3).df.collect()) == sorted(rows)
+    assert [r.row for r in dense.identity(spark, 3).df.collect() if r[r.row + 1] == 1] == [0, 1, 2]
+
+
 def test_cp_als_recovers_a_low_rank_tensor(spark):
     rng = np.random.default_rng(8)
     u = [rng.random((d, 2)) for d in (5, 4, 3)]
     full = np.einsum("ar,br,cr->abc", *u)
     x = tensor(spark, [(*i, v) for i, v in np.ndenumerate(full) for i in [tuple(i)]], 3, (5, 4, 3))
     k = cpd.cp_als(x, 2, sweeps=12, seed=1)
+    other = cpd.cp_als(x, 2, sweeps=12, seed=1, by_length=True, two_norm=True)
+    assert 0.95 < other.fit <= 1 and abs(cpd.kruskal_fit(x, other) - other.fit) < 1e-6
     assert 0.95 < k.fit <= 1 and abs(cpd.kruskal_fit(x, k) - k.fit) < 1e-6
     one = cpd.normalize_1(k)
     assert np.allclose(sorted(densified(SparseTensor(cpd.kruskal_values(x, one), 3), (5, 4, 3)).ravel()), sorted(densified(SparseTensor(cpd.kruskal_values(x, cpd.redistribute(k, 1)), 3), (5, 4, 3)).ravel()))
@@ -132,9 +208,12 @@ def test_formats(spark, tmp_path):
         files.write_bin(x, str(tmp_path / f"{n}.bin"), **options)
         back = files.read_bin(spark, str(tmp_path / f"{n}.bin"), options.get("header", True))
         assert np.allclose(sorted(tuple(r) for r in back.df.collect()), want) and back.dims == (3, 2, 3)
-    (tmp_path / "indices.txt").write_text("1 2.0 3\n2e0 2 1\n3 1 1\n")
-    (tmp_path / "values.txt").write_text("1.5 -0.4 2\n")
-    assert sorted(tuple(r) for r in files.read_quantum(spark, str(tmp_path / "indices.txt"), str(tmp_path / "values.txt")).df.collect()) == want
+    (tmp_path / "indices.txt").write_text("# modes\n1 2.0 3\n\n2e0 2 1\n3\t1  1\n")
+    (tmp_path / "values.txt").write_text("1.5 -0.4\n2\n")
+    assert sorted(tuple(r) for r in files.read_tensor(spark, str(tmp_path), quantum=True).df.collect()) == want
+    wide, _ = random_tensor(spark, (50, 60), 700, 14)
+    files.write_quantum(wide, str(tmp_path / "q"))
+    assert sorted(tuple(r) for r in files.read_tensor(spark, str(tmp_path / "q"), quantum=True).df.collect()) == sorted(tuple(r) for r in wide.df.collect())
     (tmp_path / "bad.tns").write_text("0 1 1 2\n")
     with pytest.raises(Exception, match="malformed"):
         files.read_tns(spark, str(tmp_path / "bad.tns")).df.collect()
@@ -145,3 +224,10 @@ def test_formats(spark, tmp_path):
     assert {tuple(r) for r in first.collect()} == {(0, 2), (1, 0), (2, 1)} and third.count() == 3
     files.write_kruskal([1.0], [dense.counting(spark, 2, 1)], str(tmp_path / "k"))
     assert (tmp_path / "k.0.out").read_text().startswith("matrix\n2\n2 1\n1.0000") and (tmp_path / "k.lambda.out").exists()
+    cells = {(r.row, r.col): r.v for r in files.read_cells(spark, str(tmp_path / "k.0.out")).collect()}
+    assert cells == {(0, 0): 1.0, (1, 0): 2.0}
+    files.write_vector(spark.createDataFrame([(1, 0.5), (3, -2.0)], "row long, v double"), 5, str(tmp_path / "v.out"))
+    assert [r.v for r in files.read_cells(spark, str(tmp_path / "v.out")).orderBy("row").collect()] == [0, 0.5, 0, -2.0, 0]
+    files.write_index_map([first, second], str(tmp_path / "maps"))
+    again = files.read_index_map(spark, str(tmp_path / "maps"), [3, 2])
+    assert {tuple(r) for r in again[0].collect()} == {(0, 2), (1, 0), (2, 1)} and {tuple(r) for r in again[1].collect()} == {tuple(r) for r in second.collect()}
