@@ -40,15 +40,19 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(g, SEED) for g in grams), np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included; 0 for no word."""
-    hashes = shingle_hashes(text, shingle)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes, repeats included; 0 for none."""
     if not len(hashes):
         return 0
     bits = _bit_counts(hashes) * 2 > len(hashes)
     return int(np.packbits(bits).view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """64-bit SimHash of the word shingles of a text, repeats included; 0 for no word."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) with the fingerprint of each whole text as a signed long; null texts have no word."""
 

@@ -3,7 +3,8 @@ import zlib
 
 import numpy as np
 
-from tensorloom.llm.language import forward_backward, identify_language, label_texts, train_field
+from tensorloom.llm import language
+from tensorloom.llm.language import Labeller, forward_backward, identify_language, label_texts, train_field, word_features, words_of
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
 
@@ -71,3 +72,50 @@ def test_every_letter_of_a_long_run_counts(spark):
     out = {r.doc_id: r for r in label_texts(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
     assert out[1].lang_pred == "en" and out[2].lang_pred == "de"
     assert out[1].n_words == out[2].n_words == 752
+
+
+def test_words_and_texts_without_a_letter(spark):
+    assert words_of("Été, हिन्दी x²3 ½ _a_ \u0301") == ["été", "हिन्दी", "x", "a"]
+    docs = [(k, t) for k, t in enumerate(["½", "² ①", "Ⅷ", "\u0301\u0302", "هذا"])]
+    field = train_field([("der die das", "de"), ("the of and", "en")] * 20)
+    out = {r.doc_id: r for r in label_texts(spark.createDataFrame(docs, "doc_id long, text string"), field).collect()}
+    assert [(out[k].lang_pred, out[k].n_words) for k in range(4)] == [("und", 0)] * 4 and out[4].n_words == 1
+
+
+def test_stretches_give_what_the_whole_chain_gives(monkeypatch):
+    field = train_field([("der die das und nicht ein", "de"), ("the of and to in is", "en")] * 50)
+    text = ("the and of das und the nicht to die der " * 40).encode()
+    whole = Labeller(field)([text, b"das", b""])
+    monkeypatch.setattr(language, "STRETCH", 7)
+    assert np.allclose(Labeller(field)([text, b"das", b""])[1], whole[1])
+    words = words_of(text.decode())
+    marginal, _, _ = forward_backward(field.emissions(words)[None], field.trans, np.ones((1, len(words)), bool))
+    assert np.isclose(whole[1][0], marginal[0].mean(0).max())
+
+
+def test_features_and_a_training_step_against_plain_ones():
+    """Equal words have equal features, places of features follow the word alone; one step of training by finite differences."""
+    rows = word_features(["haus", "maus", "haus", "ab"], {"haus": 3}, 1 << 16)
+    assert (rows[0] == rows[2]).all() and (rows[:, 6:][3] > 0).sum() < (rows[:, 6:][0] > 0).sum()
+    shared = lambda a, b: len((set(rows[a]) & set(rows[b])) - {0})
+    assert shared(0, 1) >= 6 and shared(0, 3) <= 1 and rows[0, 5] != rows[1, 5]
+    rng = np.random.default_rng(5)
+    emit, trans = rng.normal(size=(1, 6, 3)), rng.normal(size=(3, 3))
+    real, gold = np.ones((1, 6), bool), rng.integers(0, 3, 6)
+
+    def loss(e, t):
+        _, _, z = forward_backward(e, t, real)
+        return z - sum(e[0, i, gold[i]] for i in range(6)) - sum(t[gold[i], gold[i + 1]] for i in range(5))
+
+    marginal, pairs, _ = forward_backward(emit, trans, real)
+    slope = marginal[0].copy()
+    slope[np.arange(6), gold] -= 1
+    for i, k in ((0, 0), (2, 1), (5, 2)):
+        step = np.zeros_like(emit)
+        step[0, i, k] = 1e-5
+        assert np.isclose(slope[i, k], (loss(emit + step, trans) - loss(emit - step, trans)) / 2e-5, atol=1e-6)
+    np.add.at(pairs, (gold[:-1], gold[1:]), -1)
+    for a, b in ((0, 1), (2, 2)):
+        step = np.zeros_like(trans)
+        step[a, b] = 1e-5
+        assert np.isclose(pairs[a, b], (loss(emit, trans + step) - loss(emit, trans - step)) / 2e-5, atol=1e-6)

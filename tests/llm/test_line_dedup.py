@@ -63,3 +63,13 @@ def test_op10_drops_exact_repeats_of_short_lines(spark, tmp_path):
     want = {1: docs[0][1], 2: "Les!\n \n", 3: "x\n "}
     got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in op10_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: (dict(docs)[i].count("\n") - t.count("\n"), hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
+
+
+def test_columns_with_any_name(spark):
+    line = "the same line in all of the rows"
+    df = spark.createDataFrame([(1, line, "a", 1, 2, 3), (2, line + "\nmore", "b", 4, 5, 6)], "doc_id long, text string, body_2 string, doc_2 long, gone long, lines long")
+    out = line_dedup(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, line, "a", 1, 2, 3), (2, "more", "b", 4, 5, 6)]
+    dotted = df.withColumnsRenamed({"gone": "a.b"})
+    assert sorted(r.text for r in line_dedup(dotted).collect()) == ["more", line]

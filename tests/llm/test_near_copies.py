@@ -1,9 +1,12 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from test_simhash import brute_components
 
-from tensorloom.llm.near_copies import one_of_each_similar
+from tensorloom.llm import near_copies
+from tensorloom.llm.near_copies import joined_nodes, one_of_each_similar
 from tensorloom.llm.simhash import fingerprint
 
 
@@ -59,3 +62,36 @@ def test_chains_and_edges(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in one_of_each_similar(df).collect()) == want
     assert one_of_each_similar(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_a_large_group_of_copies_of_one_text(spark, monkeypatch, block):
+    """Copies with few and many changes: some are similar to the first text, some to other copies only, some to none."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(6)
+    base = ["v%d" % rng.randrange(900) for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(120):
+        own = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 9)):
+            own[k] = "x%d" % rng.randrange(4)
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    root = brute_components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if similar(sets[a], sets[b])])
+    want = set(root.values())
+    assert 5 < len(want) < 100
+    rows = [(k, t, "b", k, "d") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, body string, doc long, node string")
+    out = one_of_each_similar(df)
+    assert out.columns == df.columns
+    assert {r.doc_id for r in out.collect()} == want
+
+
+def test_joined_nodes():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(30)] + [np.arange(100, 110), np.arange(100, 109), np.arange(500, 510)]
+    roots = np.array([*range(30), 30, 31, 0])
+    near = [(a, b) for a in range(33) for b in range(a) if roots[a] == roots[b] or 10 * len(np.intersect1d(sets[a], sets[b])) >= 7 * len(np.union1d(sets[a], sets[b]))]
+    want = brute_components(range(33), near)
+    for columns in (16, 4096):
+        assert dict(enumerate(joined_nodes(sets, roots, 70, columns).tolist())) == want

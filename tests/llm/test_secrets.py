@@ -48,3 +48,35 @@ def test_query_digests(spark, tmp_path):
     out = {r.doc_id: r for r in op7_secrets(spark, str(tmp_path)).collect()}
     assert (out[0].n_assign, out[0].n_access, out[0].n_hex) == (1, 1, 1)
     assert [out[k].base_sha256 for k in (0, 1)] == [hashlib.sha256(brute(t).encode()).hexdigest() for t in texts]
+
+
+def test_recall_and_precision_by_kind(spark):
+    """Strings from another generator, put into real texts: most are found, and little else is."""
+    rng = random.Random(3)
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"base16": digits + "ABCDEF", "upper": upper + digits, "lower": lower + digits, "both": upper + lower + digits, "base64": upper + lower + digits + "+/"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.where("char_length(text) BETWEEN 20 AND 3000").collect()]
+    rows, planted = [], {}
+    for name, letters in kinds.items():
+        for n in (20, 32, 40):
+            for _ in range(40):
+                k, text = 10**6 + len(rows), texts[len(rows) % len(texts)]
+                secret = "".join(rng.choices(letters, k=n))
+                at = rng.randrange(len(text))
+                rows.append((k, f"{text[:at]} {secret} {text[at:]}"))
+                planted[k] = (name, n, secret)
+    found = {r.doc_id: [x.value for x in r.spans if x.kind == 3] for r in secret_spans(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()}
+    for name in kinds:
+        for n in (20, 32, 40):
+            own = [secret in found[k] for k, (kind, size, secret) in planted.items() if (kind, size) == (name, n)]
+            assert sum(own) >= 0.9 * len(own), (name, n, sum(own))
+    other = [x for k, values in found.items() for x in values if k not in planted or x != planted[k][2]]
+    assert len(other) <= 0.05 * len(planted), other
+
+
+def test_a_text_with_many_matches(spark):
+    rng = random.Random(4)
+    text = " ".join("%040x" % rng.getrandbits(160) + (" token: abcdefabcdefabcd" if k % 7 == 0 else "") for k in range(20_000))
+    out = secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(span_text("spans").alias("spans")).first().spans
+    assert out == brute(text)

@@ -1,9 +1,10 @@
 import random
 
+import pytest
 import xxhash
 
 from tensorloom.llm.components import connected_components
-from tensorloom.llm.simhash import near_links, simhash_groups
+from tensorloom.llm.simhash import grid_for, near_links, simhash_groups
 
 
 def brute_fp(text):
@@ -41,11 +42,24 @@ def test_near_links_find_every_pair(spark):
             fps.add(x)
     signed = lambda x: x - 2**64 if x >> 63 else x
     want = {tuple(sorted((signed(a), signed(b)))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
-    for bands in (5, 6, 8):
-        got = near_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), bands=bands).collect()
+    for bands, chosen in ((2, 1), (5, 3), (4, 1), (6, 3), (8, 5)):
+        got = near_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), 3, bands, chosen).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_grids():
+    assert grid_for(10**6) == (2, 1)
+    assert grid_for(10**10) == (8, 5)
+    with pytest.raises(ValueError):
+        near_links(None, 3, 2, 2)
+
+
+def test_components_with_hubs(spark):
+    links = [(5, k) for k in range(6, 4000)] + [(k, 10_000 + k) for k in range(100, 3000)] + [(20_000, 20_001)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == brute_components({n for l in links for n in l}, links)
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 400)] + [(7, 7)]
