@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import offsets_of, table, text_chunks
+from tensorloom.llm.common import offsets_of, stored, table, text_chunks
 
 #: ASCII letters lower-cased, digits kept, other ASCII characters as spaces; bytes of other letters kept.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(128)).lower() + bytes(range(128, 256))
 #: A text longer than this is searched in overlapping parts.
 PART = 1 << 21
+#: A longer item is sought by overlapping passages of so many characters, every half of that.
+PASSAGE = 400
 
 
 def normal(text: bytes) -> bytes:
@@ -47,9 +50,17 @@ def banded_distance(item: np.ndarray, region: np.ndarray, band: int, spare: int)
     return int(cost[best]), min(len(region), max(0, len(item) + best - spare))
 
 
+def passages(item: bytes) -> list[bytes]:
+    """An item of up to PASSAGE characters itself; of a longer one, pieces of that length that overlap by half, up to its end."""
+    if len(item) <= PASSAGE:
+        return [item]
+    starts = [*range(0, len(item) - PASSAGE, PASSAGE // 2), len(item) - PASSAGE]
+    return [item[k : k + PASSAGE] for k in starts]
+
+
 @dataclass
 class QGramIndex:
-    """The q-grams of a bounded block of items, each with its edit budget."""
+    """The q-grams of the passages of a bounded block of items, each with its edit budget; items too short for that by themselves."""
 
     ids: list
     items: list[bytes]
@@ -57,8 +68,18 @@ class QGramIndex:
     edit_share: float
 
     def __post_init__(self):
-        keep = [k for k, x in enumerate(self.items) if len(x) >= 2 * self.q]
-        self.ids, self.items = [self.ids[k] for k in keep], [self.items[k] for k in keep]
+        # Too short for the lemma: sought as whole words without edits.
+        self.short: dict[bytes, list] = {}
+        for i, x in zip(self.ids, self.items, strict=True):
+            if 0 < len(x) < 2 * self.q:
+                self.short.setdefault(b" " + x + b" ", []).append(i)
+        self.words = ahocorasick.Automaton()
+        for x in self.short:
+            self.words.add_word(x.decode("latin-1"), x)
+        if self.short:
+            self.words.make_automaton()
+        cut = [(i, p) for i, x in zip(self.ids, self.items, strict=True) if len(x) >= 2 * self.q for p in passages(x)]
+        self.ids, self.items = [i for i, _ in cut], [p for _, p in cut]
         n = np.array([len(x) for x in self.items], np.int64)
         # The lemma needs n + 1 - q - k q shared q-grams, one at least.
         self.budget = np.minimum((n * self.edit_share).astype(np.int64), (n - self.q) // self.q)
@@ -87,7 +108,14 @@ class QGramIndex:
                 group = []
             if piece is not None:
                 group.append(piece)
-        return [self._merge(hits) for hits in found]
+        return [self._short(t) + self._merge(hits) for t, hits in zip(texts, found, strict=True)]
+
+    def _short(self, text: bytes) -> list[tuple]:
+        if not self.short:
+            return []
+        # A space more on both sides, so that a match's place is where its item begins, and the last sign one after its end.
+        ends = self.words.iter(f" {text.decode('latin-1')} ")
+        return sorted(((i, end + 1 - len(x), end - 1, 0) for end, x in ends for i in self.short[x]), key=lambda h: (h[0] is None, h[0] or 0, h[1]))
 
     def _search(self, pieces: list[tuple], found: list[list[tuple]]) -> None:
         gap = b"\n" * self.q  # in no item
@@ -133,25 +161,34 @@ class QGramIndex:
             hits.append((i, offset + low + max(0, end - length), offset + low + end, min(edits, back)))
 
     def _merge(self, hits: list[tuple]) -> list[tuple]:
-        """Of hits of one item that overlap, the first with the fewest edits."""
-        out: list[tuple] = []
+        """Of hits of one passage that overlap, the first with the fewest edits; hits of an item's passages that overlap, as one."""
+        kept: list[tuple] = []
         for hit in sorted(hits):
-            if not out or out[-1][0] != hit[0] or hit[1] >= out[-1][2]:
-                out.append(hit)
-            elif hit[3] < out[-1][3]:
-                out[-1] = hit
-        return [(self.ids[i], start, end, edits) for i, start, end, edits in out]
+            if not kept or kept[-1][0] != hit[0] or hit[1] >= kept[-1][2]:
+                kept.append(hit)
+            elif hit[3] < kept[-1][3]:
+                kept[-1] = hit
+        out: list[tuple] = []
+        for i, start, end, edits in sorted(((self.ids[i], *rest) for i, *rest in kept), key=lambda h: (h[0] is None, h[0] or 0, *h[1:])):
+            if out and out[-1][0] == i and i is not None and start < out[-1][2]:
+                out[-1] = (i, out[-1][1], max(end, out[-1][2]), out[-1][3] + edits)
+            else:
+                out.append((i, start, end, edits))
+        return out
 
 
 def index_blocks(benchmark: DataFrame, q: int, edit_share: float, block_bytes: int, id_col: str = "item_id", text_col: str = "text"):
-    """An index for each block of items; a block has some block_bytes of text, so that a task can hold it."""
+    """(index, whether it is the last) for each block of items, one at a time; a block has some block_bytes of text, so that a task can hold it."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    if blocks > 1:
+        # Written by block, so that each block is read by itself.
+        rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartitionByRange("block").sortWithinPartitions("block"))
     for k in range(blocks):
-        own = sorted(rows.where(block == k).collect(), key=lambda r: (r["item"] is None, r["item"] or 0, r["text"]))
-        yield QGramIndex([r["item"] for r in own], [normal(r["text"].encode()) for r in own], q, edit_share)
+        own = (rows.where(F.col("block") == k) if blocks > 1 else rows).select("item", "text").collect()
+        own = sorted(own, key=lambda r: (r["item"] is None, r["item"] or 0, r["text"]))
+        yield QGramIndex([r["item"] for r in own], [normal(r["text"].encode()) for r in own], q, edit_share), k == blocks - 1
 
 
 def contaminated_regions(
@@ -163,11 +200,16 @@ def contaminated_regions(
     spaces). An item of n characters within k edits of a region shares n + 1 - q - k q of its
     q-grams with it, on diagonals at most k apart: q-grams are counted in overlapping bands of
     diagonals, bands with enough are kept and verified by a banded alignment. Items go to the
-    tasks in blocks of bounded size, and each block meets all texts.
+    tasks in blocks of bounded size, one block after another, and each block meets all texts. An
+    item of over 400 characters is found by overlapping passages of that length, each with its own
+    budget, so that a text which quotes 600 of its characters is found too; a region then spans
+    the passages found side by side, and its edits are theirs together.
 
-    Items of fewer than 2 q normalised characters and null items match nothing, null texts have
-    no region; an item's budget is less where it is too short for the lemma. Repeated items each
-    match, repeated rows each have their regions. Empty tables give an empty result.
+    An item of fewer than 2 q normalised characters is found as whole words without edits; one
+    without any letter or digit and a null item match nothing, null texts have no region. An
+    item's budget is less where it is too short for the lemma. Very long texts are searched in
+    overlapping parts. Repeated items each match (those without an id each by itself), repeated
+    rows each have their regions, further columns are not read. Empty tables give an empty result.
 
     Returns doc_id, item_id, start, end (bytes of the normalised text) and edits.
     """
@@ -186,14 +228,15 @@ def contaminated_regions(
         return run
 
     out = None
-    for index in index_blocks(benchmark, q, edit_share, block_bytes):
+    for index, last in index_blocks(benchmark, q, edit_share, block_bytes):
         part = rows.mapInArrow(searcher(index), schema)
+        part = part if last else stored(part)  # the driver lets go of a block before it takes the next
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_share: float = 0.08, block_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
-    """docs without the rows that contaminated_regions would report; all columns, no shuffle."""
+    """docs without the rows that contaminated_regions would report; all columns, of any name, no shuffle."""
     number = docs.columns.index(text_col)
 
     def keeper(index: QGramIndex):
@@ -206,8 +249,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edi
 
         return run
 
-    for index in index_blocks(benchmark, q, edit_share, block_bytes):
+    for index, last in index_blocks(benchmark, q, edit_share, block_bytes):
         docs = docs.mapInArrow(keeper(index), docs.schema)
+        docs = docs if last else stored(docs)
     return docs
 
 

@@ -75,3 +75,20 @@ def test_long_texts_are_searched_in_parts(spark, monkeypatch):
     whole = index.search([text, b"", text])
     monkeypatch.setattr(decontaminate, "PART", 300)
     assert index.search([text, b"", text]) == whole and len(whole[0]) == 1 and whole[1] == []
+
+
+def test_short_items_and_parts_of_long_ones(spark):
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(n))
+    long = say(400)
+    items = [(1, "What is it?"), (2, "No."), (3, "..."), (4, long), (5, "What is it"), (None, "is it")]
+    docs = [(1, "so what, is IT"), (2, "somewhat is it"), (3, "no"), (4, "nothing"), (5, f"{say(20)} {long[700:1350]} {say(9)}"), (6, long[:300]), (7, ""), (8, None), (9, edited(rng, long[900:1700], 12))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(*d, d[0]) for d in docs], "doc_id long, text string, item_id long")
+    for block in (1 << 22, 100):
+        out = contaminated_regions(df, bench, block_bytes=block).collect()
+        assert {(r.doc_id, r.item_id) for r in out} == {(1, 1), (1, 5), (1, None), (2, None), (3, 2), (5, 4), (9, 4)}
+        by = {(r.doc_id, r.item_id): r for r in out}
+        assert (by[1, 1].start, by[1, 1].end) == (3, 13) and (by[3, 2].start, by[3, 2].end) == (0, 2)
+        assert by[5, 4].end - by[5, 4].start >= 400 and by[9, 4].edits > 0
+        assert sorted(r.doc_id for r in without_contaminated(df, bench, block_bytes=block).collect()) == [4, 6, 7, 8]
