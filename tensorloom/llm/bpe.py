@@ -146,8 +146,10 @@ class ByteBPE:
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
         """One long row: each round merges every place of the lowest pair, from the left.
 
-        A merge's rank is above those of its parts, so no merge makes a lower pair than its own
-        and this equals merging the leftmost place again and again.
+        This equals merging the leftmost place again and again, as a merge of rank r never makes a
+        pair of lower rank: that pair's token encodes to itself by ranks up to its own, its ends
+        are ends of ids here, and pairs of ranks below r are exhausted, so its bytes would have
+        become that token before. (A part of it may well have a rank above its own.)
         """
         while len(ids) > 1:
             ranks = self.pairs.look(ids[:-1], ids[1:])

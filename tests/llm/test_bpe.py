@@ -36,3 +36,11 @@ def test_edge_rows(spark, known):
     assert next(r for r in out if r.doc_id == 3).ids == known.encode_ordinary("the cat")
     assert all((r.decoded or "") == ({2: "a" * 100_000, 3: "the cat"}.get(r.doc_id, "")) for r in out)
     assert bpe_roundtrip(docs.limit(0), FILE, PATTERN).count() == 0
+
+
+def test_every_token_encodes_to_itself():
+    """What merging all places of a long row at once rests on."""
+    bpe = ByteBPE(FILE, PATTERN)
+    tokens = [t for t in bpe.token if t]
+    ids = bpe.encode_pieces(tokens)
+    assert [bpe.token[i[0]] if len(i) == 1 else i for i in ids] == tokens
