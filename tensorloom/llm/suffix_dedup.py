@@ -22,26 +22,17 @@ def byte_symbols():
 
 
 def _contexts(asked: DataFrame, length: int) -> DataFrame:
-    """The bytes that each listed anchor's windows span."""
+    """(anchor, kind, left, count, span): the bytes that each listed anchor's windows span, and how many of them stand before it."""
 
     def run(batches):
         for batch in batches:
-            rows, anchors, starts, counts, spans = [], [], [], [], []
-            for k, (text, asks) in enumerate(winnow.lists_of(batch, ["place", "anchor"])):
+            for text, asks in winnow.lists_of(batch, ["place", "anchor", "kind"]):
                 pos, left, count = winnow.unpack(asks["place"])
-                rows += [k] * len(pos)
-                anchors.append(asks["anchor"])
-                starts.append(pos - left)
-                counts.append(count)
-                spans += [text[s : s + c - 1 + length] for s, c in zip((pos - left).tolist(), count.tolist(), strict=True)]
-            if not rows:
-                continue
-            take = pa.array(rows)
-            start, count = np.concatenate(starts), np.concatenate(counts)
-            cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(count.astype(np.int32)), pa.array(np.concatenate(anchors)), pa.array(spans, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "body", "start", "count", "anchor", "span"])
+                spans = [text[s : s + c - 1 + length] for s, c in zip((pos - left).tolist(), count.tolist(), strict=True)]
+                cols = [pa.array(asks["anchor"]), pa.array(asks["kind"]), pa.array(left.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(spans, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "kind", "left", "count", "span"])
 
-    return asked.mapInArrow(run, "doc long, body long, start long, count int, anchor long, span binary")
+    return asked.mapInArrow(run, "anchor long, kind long, left int, count int, span binary")
 
 
 #: Windows that start in one stretch of so many places before an anchor share the rest of their bytes.
@@ -49,7 +40,7 @@ STRETCH = 16
 
 
 def _cores(asked: DataFrame, length: int) -> DataFrame:
-    """(doc, body, place, anchor): each listed anchor's windows by stretch of starts, each under the hash of what a stretch's windows share.
+    """(doc, body, place, anchor, kind): each listed anchor's windows by stretch of starts, each under the hash of what a stretch's windows share.
 
     The stretches lie at the same places before every copy of an anchor, so equal windows come
     under equal hashes.
@@ -58,7 +49,7 @@ def _cores(asked: DataFrame, length: int) -> DataFrame:
     def run(batches):
         symbols = byte_symbols()
         for batch in batches:
-            for k, (text, asks) in enumerate(winnow.lists_of(batch, ["place", "anchor"])):
+            for k, (text, asks) in enumerate(winnow.lists_of(batch, ["place", "anchor", "kind"])):
                 pos, left, count = winnow.unpack(asks["place"])
                 least = left - count + 1
                 parts = left // STRETCH - least // STRETCH + 1
@@ -72,18 +63,18 @@ def _cores(asked: DataFrame, length: int) -> DataFrame:
                 core = winnow.Rolling(symbols([text[begin:end]])[0]).of(first - begin, first - begin + length - STRETCH + 1)
                 key = winnow.mix(core ^ winnow.mix(asks["anchor"][owner].view(np.uint64) + stretch.astype(np.uint64)))
                 take = pa.array(np.full(len(owner), k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(winnow.pack(at, high, high - low + 1)), pa.array(key.view(np.int64))], ["doc", "body", "place", "anchor"]
-                )
+                cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(winnow.pack(at, high, high - low + 1)), pa.array(key.view(np.int64)), pa.array(asks["kind"][owner])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "body", "place", "anchor", "kind"])
 
-    return asked.mapInArrow(run, "doc long, body long, place long, anchor long")
+    return asked.mapInArrow(run, "doc long, body long, place long, anchor long, kind long")
 
 
 def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) -> DataFrame:
-    """(doc, body, start, stop) of the runs of windows that stand in another context of their anchor too.
+    """(kind, start, stop): the runs of bytes, by place from the anchor, of each context's windows that stand elsewhere too.
 
     Contexts of an anchor come together. Whole anchors are gathered to blocks of some ``block``
-    suffixes, for which the cover sample is ranked, and sorted in buckets of some ``bucket``.
+    suffixes (and 8 bytes for each), for which the cover sample is ranked, and sorted in buckets
+    of some ``bucket``.
     """
 
     def finish(parts: list[pa.RecordBatch]):
@@ -103,31 +94,31 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) ->
         first = np.flatnonzero(edge)
         last = np.append(first[1:], len(again)) - 1
         first, last = first[again[first]], last[again[first]]
-        take = pa.array(owner[first])
-        start = data.column("start").to_numpy()[owner[first]]
-        cols = [data.column("doc").combine_chunks().take(take), data.column("body").combine_chunks().take(take), pa.array((start + step[first]).astype(np.int32)), pa.array((start + step[last] + length).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, ["doc", "body", "start", "stop"])
+        left = data.column("left").to_numpy().astype(np.int64)[owner[first]]
+        kind = data.column("kind").to_numpy()[owner[first]]
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array((step[first] - left).astype(np.int32)), pa.array((step[last] + length - left).astype(np.int32))], ["kind", "start", "stop"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, held_bytes = [], 0, 0
         for batch in batches:
-            anchor = batch.column(4).to_numpy()
+            anchor = batch.column(0).to_numpy()
             count = batch.column(3).to_numpy().astype(np.int64)
             begin = 0
             if not len(anchor):
                 continue
             for cut in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]:
-                if size >= block and (begin or held[-1].column(4)[-1].as_py() != anchor[0]):
+                if (size >= block or held_bytes >= 8 * block) and (begin or held[-1].column(0)[-1].as_py() != anchor[0]):
                     yield finish(held)
-                    held, size = [], 0
+                    held, size, held_bytes = [], 0, 0
                 held.append(batch.slice(begin, cut - begin))
                 size += int(count[begin:cut].sum())
+                held_bytes += int(count[begin:cut].sum()) + (length - 1) * (cut - begin)
                 begin = cut
         if size:
             yield finish(held)
 
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc long, body long, start int, stop int")
+    return dealt.mapInArrow(run, "kind long, start int, stop int")
 
 
 def suffix_dedup(
@@ -145,16 +136,17 @@ def suffix_dedup(
 
     Suffixes that can't repeat are set aside first: equal strings have equal winnowed anchors at
     equal offsets, so a suffix belongs to the bucket of its anchor, and only anchors that occur
-    twice are looked at. Where an anchor's whole context occurs twice, all its suffixes repeat. Of
-    each different context of an anchor one copy goes to the suffix sort: blocks of whole anchors
+    twice are looked at. An anchor's windows span its context. One copy of each different context
+    goes to the suffix sort, and two of one that occurs more than once: blocks of whole anchors
     are sorted one at a time, long ties by ranks of a difference-cover sample of the block, and
-    neighbours with ``length`` common bytes mark each other. Anchors with more than
-    ``most_contexts`` different contexts are first told apart by a longer part of their windows,
-    and what is still as frequent is dealt out by the hash of each string instead, so that no task
-    holds an unbounded group.
+    neighbours with ``length`` common bytes mark each other. What is marked in a context holds for
+    all its copies. Anchors with more than ``most_contexts`` such copies are first told apart by a
+    longer part of their windows, and what is still as frequent is dealt out by the hash of each
+    string instead, so that no task holds an unbounded group.
 
     Strings never cross documents. Repeated rows are places of their own, so each repeats the
-    other. A null text is empty. An empty table gives an empty result.
+    other. A null text is empty. Very long texts are read whole by one task, in parts. Further
+    columns are not read. An empty table gives an empty result.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if
     ``with_text``, the kept bytes.
@@ -163,27 +155,32 @@ def suffix_dedup(
     anchors = stored(winnow.anchor_table(texts, byte_symbols, length, gram))
     shared = winnow.shared_anchors(anchors)
     place = F.struct("doc", "body", "place")
-    contexts = stored(shared.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    ranked = stored(shared.join(contexts, ["anchor", "context"]).select("doc", "body", "place", "anchor", "classes", "n", (place == F.col("first")).alias("is_first")))
-    start = F.expr("cast((place >> 20) - ((place >> 10) & 1023) as int)")
-    whole = ranked.where("n > 1").select("doc", "body", start.alias("start"), (start + F.expr("cast(place & 1023 as int)") + (length - 1)).alias("stop"))
+    kind = F.xxhash64("anchor", "context").alias("kind")
+    contexts = shared.groupBy("anchor", "context", "entries").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    copies = F.explode(F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("at")
+    asks = stored(contexts.select("anchor", kind, "entries", copies).select("at.*", "anchor", "kind", "entries"))
+
+    def listed(asked: DataFrame) -> DataFrame:
+        return winnow.with_lists(texts, winnow.per_doc(asked, "place", "anchor", "kind"), "inner")
 
-    asks = ranked.where("is_first and classes > 1").select("doc", "body", "place", "anchor", "classes").distinct()
-    few, many = asks.where(F.col("classes") <= most_contexts), asks.where(F.col("classes") > most_contexts)
+    few, many = asks.where(F.col("entries") <= most_contexts), asks.where(F.col("entries") > most_contexts)
     if many.limit(1).count():
         # Frequent anchors are told apart by more of their windows' bytes.
-        cores = stored(_cores(winnow.with_lists(texts, winnow.per_doc(many, "place", "anchor"), "inner"), length))
-        counts = stored(cores.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
-        asks = stored(cores.join(counts, "anchor").select("doc", "body", "place", "anchor", "classes"))
-        few = few.unionByName(asks.where(F.col("classes") <= most_contexts))
-        many = asks.where(F.col("classes") > most_contexts)
-    partly = _sorted_blocks(_contexts(winnow.with_lists(texts, winnow.per_doc(few, "place", "anchor"), "inner"), length), length, block, bucket)
-    covered = whole.unionByName(partly)
+        cores = stored(_cores(listed(many), length))
+        counts = stored(cores.groupBy("anchor").agg(F.count("*").alias("entries")).where("entries > 1"))
+        asks = stored(cores.join(counts, "anchor").select("doc", "body", "place", "anchor", "kind", "entries"))
+        few = few.unionByName(asks.where(F.col("entries") <= most_contexts))
+        many = asks.where(F.col("entries") > most_contexts)
+    found = _sorted_blocks(_contexts(listed(few), length), length, block, bucket)
     if many.limit(1).count():
-        windows = stored(winnow.windows_of(winnow.with_lists(texts, winnow.per_doc(many, "place", "anchor"), "inner"), byte_symbols, length))
+        windows = stored(winnow.windows_of(listed(many), byte_symbols, length, "kind"))
         key = ["anchor", "offset", "window"]
         again = stored(windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        covered = covered.unionByName(windows.join(again, key).select("doc", "body", "start", (F.col("start") + length).alias("stop")))
+        found = found.unionByName(windows.join(again, key).select("kind", (-F.col("offset")).alias("start"), (length - F.col("offset")).alias("stop")).distinct())
+    # Marks of the two copies of a context are the same; they hold for every copy.
+    found = stored(found.distinct())
+    anchor_at = F.shiftright("place", 20)
+    covered = shared.select("doc", "body", anchor_at.alias("pos"), kind).join(found, "kind").select("doc", "body", (F.col("pos") + F.col("start")).cast("int").alias("start"), (F.col("pos") + F.col("stop")).cast("int").alias("stop"))
     lists = winnow.per_doc(covered, "start", "stop")
 
     def cut(batches):
