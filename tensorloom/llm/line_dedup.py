@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import bit_filter, boxed, stored, table
 
-#: Characters whose counts, modulo 32, bound the edit distance of two lines from below.
+#: Characters whose counts, modulo 32, in the first COUNTED_CHARS of two lines bound their edit distance from below.
 COUNTED = "eantiorshd"
+COUNTED_CHARS = 384
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,14 +32,16 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     Each line is cut into edits + 1 segments, one of which any line within the bound holds
     unchanged, at a place that the two lengths confine. Segments are indexed by length and number,
     and each line probes the index for its own length and those up to ``edits`` shorter.
-    Candidates whose character counts differ by more than two for each edit are left out as the
-    index is probed.
+    Candidates whose character counts at the head of the lines differ by more than two for each
+    edit (which changes a character there, or shifts one in and one out) are left out as the index
+    is probed.
     """
     parts = edits + 1
-    count = "shiftleft(CAST((n - char_length(replace(line, '{c}', ''))) & 31 AS BIGINT), {at})"
+    count = f"shiftleft(CAST((least(n, {COUNTED_CHARS}) - char_length(replace(head, '{{c}}', ''))) & 31 AS BIGINT), {{at}})"
     counts = " | ".join(count.format(c=c, at=5 * k) for k, c in enumerate(COUNTED))
     # Written, so that lines are split and counted once for both sides of the join.
-    sized = stored(lines.select("h1", "line", F.char_length("line").alias("n")).select("*", F.expr(counts).alias("counts")))
+    sized = lines.select("h1", "line", F.char_length("line").alias("n"), F.substring("line", 1, COUNTED_CHARS).alias("head"))
+    sized = stored(sized.select("h1", "line", "n", F.expr(counts).alias("counts")))
     # Segment i of an even partition; the last ones take what is over.
     whole, over = f"(length DIV {parts})", f"(length % {parts})"
     start = f"(i * {whole} + greatest(0, i - ({parts} - {over})))"
@@ -112,7 +115,8 @@ def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20, id_col: s
     first), and it goes too if a line within the bound first stands still earlier. Distinct lines
     are compared once, however often they occur. Rows equal in id and text are one place, so both
     keep their first lines. A null text stays null, a text whose lines all go becomes empty; no
-    row goes. An empty table gives an empty result. All columns are kept.
+    row goes. Very long lines are compared whole. An empty table gives an empty result. All
+    columns are kept, whatever their names.
 
     Verification uses Spark's banded edit distance; its bit-parallel form has no native function.
     """
