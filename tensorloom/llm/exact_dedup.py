@@ -12,18 +12,23 @@ def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    bits_per_row: int = 32,
+    bits_per_row: int = 128,
     broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Mark all but one row of each group of equal texts (A-Z lower-cased; null counts as empty).
 
-    Pass 1 sets two bits per row in a blocked Bloom filter and notes the bits that two rows have
-    set. Pass 2 looks both bits of each row up: a row with a bit that it alone has set is unique
-    and passes straight through; the others are grouped by digest. The filter holds repeated bits
-    only; it is broadcast up to ``broadcast_bytes`` and joined by a shuffle of digests beyond.
+    The Bloom filter is an array of 64-bit words. In pass 1 each row sets one bit of one word, by
+    a hash of its digest; words are built by partial aggregates, with the number of rows that set
+    them. A word with fewer bits than rows has a bit that two rows set. In pass 2 each row looks
+    its word up: a row of a word without such a bit is unique and passes straight through; only
+    the others shuffle, and are grouped by digest. With ``bits_per_row`` bits of filter for each
+    row, few unique rows share a word with repeated ones. The words that pass 2 needs are
+    broadcast up to ``broadcast_bytes``; beyond, digests and not texts are joined to them by a
+    shuffle.
 
     The largest id stays (null ids rank lowest); of rows equal in id as well, exactly one stays.
-    An empty table gives an empty result; further columns are not read.
+    Texts of any length are hashed whole. An empty table gives an empty result; further columns
+    are not read.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
@@ -31,22 +36,13 @@ def exact_dedup(
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")))
     words = 1 << max(6, (rows.count() * bits_per_row // 64).bit_length())
     h = F.xxhash64("digest")
-    rows = rows.select(
-        "*",
-        F.pmod(h, F.lit(words)).alias("word"),
-        F.shiftrightunsigned(h, 58).cast("int").alias("bit1"),
-        F.shiftrightunsigned(h, 52).bitwiseAND(F.lit(63)).cast("int").alias("bit2"),
-    )
-    seen = rows.select("word", F.explode(F.array_distinct(F.array("bit1", "bit2"))).alias("bit"))
-    repeated = seen.groupBy("word", "bit").agg(F.count("*").alias("n")).where("n > 1")
-    bloom = stored(repeated.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
-    if bloom.count() * 16 <= broadcast_bytes:
-        bloom = F.broadcast(bloom)
-
-    looked = rows.join(bloom, "word", "left").withColumn(
-        "maybe",
-        F.expr("coalesce(bits & shiftleft(1L, bit1) != 0 and bits & shiftleft(1L, bit2) != 0, false)"),
-    )
+    rows = rows.withColumn("word", F.pmod(h, F.lit(words)))
+    bit = F.shiftrightunsigned(h, 58).cast("int").alias("bit")
+    bloom = rows.select("word", bit).groupBy("word").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    repeated = stored(bloom.where("bit_count(bits) < n").select("word", F.lit(True).alias("maybe")))
+    if repeated.count() * 16 <= broadcast_bytes:
+        repeated = F.broadcast(repeated)
+    looked = rows.join(repeated, "word", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
     single = looked.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )

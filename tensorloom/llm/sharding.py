@@ -125,8 +125,10 @@ def shard(
     where a cut may fall, at most ``fan`` at a time.
 
     A row's size is its UTF-8 bytes plus 1; a null text counts as empty. Rows without an id order
-    first. Groups with the same smallest id (repeated ids) are cut as one. ``slot`` numbers the
-    rows of a shard from 0 without gaps. An empty table gives an empty result.
+    first. Groups with the same smallest id (repeated ids) are cut as one, so ties need no order.
+    ``slot`` numbers the rows of a shard from 0 without gaps. Texts of any length are hashed whole.
+    Repeated rows each have a place; further columns are not read. An empty table gives an empty
+    result.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
     """

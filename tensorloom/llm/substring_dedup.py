@@ -42,7 +42,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 6, id_col: st
     Earlier means a smaller id, or the same row and an earlier start; a missing id comes before
     all. Rows equal in id and text are one place, so both keep what no other place has first; rows
     with equal ids and different texts are ordered by a hash of the text. A null text has no word.
-    An empty table gives an empty result.
+    Very long texts are read whole by one task, in parts; further columns are not read. An empty
+    table gives an empty result. Spans count as equal if an anchor's hash and the hash of all that
+    it spans are, 128 bits together.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, if ``with_text``, the kept text.
     """
