@@ -67,9 +67,10 @@ def runs(counts: DataFrame, key: str, weight: int, fill: bool) -> DataFrame:
     known = 0
     while (n := starts.count()) > known:
         known = n
-        further = starts.join(jumps, ["group", "at"]).select("group", F.col("to").alias("at"))
-        starts = stored(starts.unionByName(further).distinct())
-        later = jumps.select("group", F.col("at").alias("to"), F.col("to").alias("then"))
-        jumps = stored(jumps.join(later, ["group", "to"]).select("group", "at", F.col("then").alias("to")))
+        for _ in range(3):  # three doublings between two writes
+            starts = starts.unionByName(starts.join(jumps, ["group", "at"]).select("group", F.col("to").alias("at")))
+            later = jumps.select("group", F.col("at").alias("to"), F.col("to").alias("then"))
+            jumps = jumps.join(later, ["group", "to"]).select("group", "at", F.col("then").alias("to"))
+        starts, jumps = stored(starts.distinct()), stored(jumps)
     marked = points.join(starts.withColumn("begins", F.lit(1).cast("long")), ["group", "at"], "left").select("group", key, "n", F.coalesce("begins", F.lit(0)).alias("begins"))
     return running_total(marked, ["group", key], "begins", "run").select("group", key, "n", (F.col("run") + F.col("begins") - 1).alias("run"))

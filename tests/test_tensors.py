@@ -123,7 +123,7 @@ def test_runs_against_the_greedy_rule(spark, seed):
     groups = [{int(k): int(n) for k, n in zip(rng.choice(900, size, replace=False), rng.integers(1, (40, 4, 3000)[seed - 1], size))} for size in (1, 30, 250)]
     rows = [(g, k, n) for g, counts in enumerate(groups) for k, n in counts.items()]
     df = spark.createDataFrame(rows, "group long, key long, n long")
-    for weight in (1, 7, 100, 10**6):
+    for weight in ((1, 10**6), (7,), (100,))[seed - 1]:
         for fill in (False, True):
             want, base = {}, 0
             for g, counts in enumerate(groups):
