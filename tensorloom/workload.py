@@ -317,11 +317,12 @@ def _kruskal_fit(t: Tensors) -> DataFrame:
     x = t.lineitem(*TERMS).coalesce()
     # The model is scaled to the size of x: a fit far from 0 and 1.
     k = cpd.Kruskal(np.array([0.05, 0.01]), t.factors(x, 2))
-    return t.spark.createDataFrame([(float(cpd.kruskal_fit(x, k)), float(cpd.kruskal_norm2(k.weights, [dense.gram_array(f) for f in k.factors])))], "fit double, norm2 double")
+    norm2 = cpd.kruskal_norm2(k.weights, [dense.gram_array(f) for f in k.factors])
+    return t.spark.createDataFrame([(round(float(cpd.kruskal_fit(x, k)), 6), round(norm2, 1))], "fit double, norm2 double")
 
 
 _full = f"(SELECT {_model((0.05, 0.01))} m FROM (SELECT i i0 FROM {_RANGE.format('i0', 'x')}), (SELECT i i1 FROM {_RANGE.format('i1', 'x')}), (SELECT i i2 FROM {_RANGE.format('i2', 'x')}))"
-SQL["kruskal_fit"] = TENSORS + _X + f""" SELECT 1 - sqrt(x2 + m2 - 2 * xm) / sqrt(x2) fit, m2 norm2
+SQL["kruskal_fit"] = TENSORS + _X + f""" SELECT round(1 - sqrt(x2 + m2 - 2 * xm) / sqrt(x2), 6) fit, round(m2, 1) norm2
 FROM (SELECT SUM(v * v) x2, SUM(v * ({_model((0.05, 0.01))})) xm FROM x), (SELECT SUM(m * m) m2 FROM {_full})"""
 
 
