@@ -163,6 +163,13 @@ def fiber_offsets(x: SparseTensor, mode: int) -> DataFrame:
     return running_total(counts, "i", "n", "start").select("i", "start")
 
 
+def fiber_set(x: SparseTensor, mode: int) -> DataFrame:
+    """(other coordinates, n, start): the fibers along a mode, their entries, and where each begins in the order of the other modes."""
+    x.check_modes(mode)
+    others = [c for m, c in enumerate(x.coords) if m != mode]
+    return running_total(x.df.groupBy(*others).agg(F.count("*").alias("n")), others, "n", "start").select(*others, "n", "start")
+
+
 def to_dense(x: SparseTensor) -> DataFrame:
     """(row, cells): a tensor of two modes as rows of dense arrays."""
     return to_semisparse(x, 1).select(F.col("i0").alias("row"), F.col("fiber").alias("cells"))
@@ -199,6 +206,12 @@ def hicoo_blocks(hicoo: DataFrame, order: int, of: str = "b") -> DataFrame:
     return hicoo.groupBy(*(f"{of}{m}" for m in range(order))).agg(F.count("*").alias("n"))
 
 
+def hicoo_pointers(hicoo: DataFrame, order: int, of: str = "b") -> DataFrame:
+    """(b0 .., n, start): where the entries of each block (or kernel, with of="k") begin in the order of blocks."""
+    names = [f"{of}{m}" for m in range(order)]
+    return running_total(hicoo_blocks(hicoo, order, of), names, "n", "start").select(*names, "n", "start")
+
+
 def from_hicoo(hicoo: DataFrame, order: int, block_bits: int) -> SparseTensor:
     return SparseTensor(hicoo.select(*(F.shiftleft(f"b{m}", block_bits).bitwiseOR(F.col(f"e{m}")).alias(f"i{m}") for m in range(order)), "v"), order)
 
@@ -318,3 +331,8 @@ def inverse_rows(a: Matrix, mapping: DataFrame) -> Matrix:
     """A matrix whose rows a map (old, new) moved, with its rows where they were."""
     back = inverse_map(mapping).select(F.col("old").alias("row"), F.col("new").alias("back"))
     return Matrix(a.df.join(back, "row").select(F.col("back").alias("row"), *a.cols), a.rows, a.rank)
+
+
+def inverse_factors(factors: Sequence[Matrix], mappings: Sequence[DataFrame]) -> list[Matrix]:
+    """``inverse_rows`` of each factor of a Kruskal tensor by the map of its mode."""
+    return [inverse_rows(a, m) for a, m in zip(factors, mappings, strict=True)]

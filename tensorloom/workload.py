@@ -208,6 +208,9 @@ _alto_parts = f"(SELECT *, (row_number() OVER (ORDER BY {_bits(_alto)}) - 1) //
 query("alto_partitions", f"SELECT part, COUNT(*) n, MIN(i0) low0, MAX(i0) high0, MIN(i1) low1, MAX(i1) high1, MIN(i2) low2, MAX(i2) high2 FROM {_alto_parts} GROUP BY part")(lambda t: layout.alto_partitions(t.l3(WIDE), 16))
 query("alto_conflicts", " UNION ALL ".join(f"SELECT {m}::BIGINT mode, i{m} i, COUNT(DISTINCT part) parts FROM {_alto_parts} GROUP BY i{m} HAVING COUNT(DISTINCT part) > 1" for m in range(3)))(lambda t: layout.alto_conflicts(t.l3(WIDE), 16))
 query("hicoo_blocks", "SELECT i0 >> 5 b0, i1 >> 5 b1, i2 >> 5 b2, COUNT(*) n FROM l3 GROUP BY ALL")(lambda t: layout.hicoo_blocks(layout.to_hicoo(t.l3(), 5), 3))
+query("hicoo_kernel_pointers", "SELECT k0, k1, k2, n, CAST(SUM(n) OVER (ORDER BY k0, k1, k2) - n AS BIGINT) AS \"start\" FROM (SELECT i0 >> 7 k0, i1 >> 7 k1, i2 >> 7 k2, COUNT(*) n FROM l3 GROUP BY ALL)")(
+    lambda t: layout.hicoo_pointers(layout.to_hicoo(t.l3(), 5, 7), 3, "k")
+)
 query("hicoo_kernels", "SELECT i0 >> 7 k0, i1 >> 7 k1, i2 >> 7 k2, COUNT(*) n FROM l3 GROUP BY ALL")(lambda t: layout.hicoo_blocks(layout.to_hicoo(t.l3(), 5, 7), 3, "k"))
 query("hicoo_roundtrip", "SELECT * FROM l3")(lambda t: layout.from_hicoo(layout.to_hicoo(t.l3(), 5), 3, 5))
 query("mttkrp_hicoo", SQL["mttkrp_mode0"].removeprefix(TENSORS))(lambda t: products.mttkrp(layout.from_hicoo(layout.to_hicoo(x := t.l3(), 4), 3, 4), t.factors(x, 8), 0).df)
@@ -225,6 +228,7 @@ query("dense_rows", 'SELECT f.i0 "row", r, COALESCE(v, 0) v FROM (SELECT DISTINC
     lambda t: layout.to_dense(t.sn()).select("row", F.posexplode("cells").alias("r", "v")).withColumn("r", F.col("r").cast("long"))
 )
 _before = "(SELECT i0 i, n, CAST(SUM(n) OVER (ORDER BY i0) - n AS BIGINT) before FROM (SELECT i0, COUNT(*) n FROM l3 GROUP BY i0))"
+query("fiber_set", 'SELECT i0, i2, n, CAST(SUM(n) OVER (ORDER BY i0, i2) - n AS BIGINT) AS "start" FROM (SELECT i0, i2, COUNT(*) n FROM l3 GROUP BY ALL)')(lambda t: layout.fiber_set(t.l3(), 1))
 query("fiber_offsets", f'SELECT i, before "start" FROM {_before}')(lambda t: layout.fiber_offsets(t.l3(), 0))
 _RECURSIVE = TENSORS.replace("WITH", "WITH RECURSIVE", 1)
 # Greedy runs: each cut leads to the next.
@@ -290,8 +294,7 @@ FROM {_parts}, (SELECT SUM(c0 * c0) g00, SUM(c0 * c1) g01, SUM(c1 * c1) g11 FROM
     lambda t: dense.times(m := dense.Matrix((w := _matrix(t)).df.select("row", "c0", "c1"), w.rows, 2), dense.solve_gram(dense.gram_array(m))).df
 )
 query("inverse_rows", f'SELECT (SELECT MAX(i0) FROM l3) - i0 "row", c0, c1, c2 FROM {_parts}')(
-    lambda t: layout.inverse_rows(_matrix(t), t.spark.range(n := t.l3().dims[0]).select(F.col("id").alias("old"), (n - 1 - F.col("id")).alias("new")))
-    .df
+    lambda t: layout.inverse_factors([_matrix(t)], [t.spark.range(n := t.l3().dims[0]).select(F.col("id").alias("old"), (n - 1 - F.col("id")).alias("new"))])[0].df
 )
 
 TERMS = "l_suppkey", "l_linenumber", F.month("l_shipdate")
