@@ -11,17 +11,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import table, text_chunks
+from tensorloom.llm.common import offsets_of, table, text_chunks
 
 #: Most letters of a word; a longer run of letters is cut into words of so many.
 WIDTH = 24
 #: A run of letters and the marks on them, with a letter at least.
 RUN = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
-#: Words in one training sequence of the field.
+#: Words in one training sequence of the field, and in a stretch of a text that is labelled at a time, with the
+#: messages that the stretches beside it pass on.
 SPAN = 64
-#: Words of a text that are labelled at a time; messages of the chain pass from one such stretch to the next.
-STRETCH = 2048
 #: Words times labels of stretches that are labelled together.
 CELLS = 1 << 21
 
@@ -100,24 +99,6 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, real: np.ndarray, befo
     return marginal, pairs, float((np.log(scale) + top[:, :, 0])[real].sum())
 
 
-def forward(emit: np.ndarray, trans: np.ndarray, before: np.ndarray | None) -> np.ndarray:
-    """The forward message out of one stretch emit (t, labels) into the word after it, summing to 1."""
-    m, a = np.exp(trans), before
-    for e in np.exp(emit - emit.max(1, keepdims=True)):
-        a = e @ m if a is None else (a * e) @ m
-        a /= a.sum()
-    return a
-
-
-def backward(emit: np.ndarray, trans: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """The backward message out of one stretch at the last word before it, summing to 1."""
-    m, b = np.exp(trans).T, after
-    for e in np.exp(emit - emit.max(1, keepdims=True))[::-1]:
-        b = (b * e) @ m
-        b /= b.sum()
-    return b
-
-
 @dataclass
 class WordField:
     """A trained field: labels, feature weights, transitions and lexicon (all of bounded size)."""
@@ -248,52 +229,72 @@ class Labeller:
     def __init__(self, field: WordField):
         self.field, self.known = field, self.Numbers()
         self.emit = np.zeros((0, len(field.labels)))
+        self.likely = self.emit  # exp of the emissions, 1 for a word's best label
         self.names = np.array([*field.labels, UNKNOWN], dtype=object)
 
     def __call__(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, words) of each text."""
         if len(self.known) > self.CACHE:
-            self.known, self.emit = self.Numbers(), self.emit[:0]
+            self.known, self.emit, self.likely = self.Numbers(), self.emit[:0], self.likely[:0]
         before = len(self.known)
         numbers = [np.fromiter(map(self.known.__getitem__, words_of(t.decode())), np.int64) for t in texts]
         if len(self.known) > before:
-            self.emit = np.concatenate([self.emit, self.field.emissions(list(self.known)[before:])])
+            new = self.field.emissions(list(self.known)[before:])
+            self.emit = np.concatenate([self.emit, new])
+            self.likely = np.concatenate([self.likely, np.exp(new - new.max(1, keepdims=True))])
         sizes = np.array([len(x) for x in numbers], np.int64)
-        total = np.zeros((len(sizes), len(self.field.labels)))
-        long = np.flatnonzero(sizes > STRETCH)
-        for k in long:
-            total[k] = self._long(numbers[k])
-        order = np.argsort(sizes, kind="stable")
-        order = order[(sizes[order] > 0) & (sizes[order] <= STRETCH)]
-        low = 0
-        while low < len(order):
-            # Texts of like length together: the longest is at most half as long again as the shortest, or 16 words.
-            most = max(16, sizes[order[low]] * 3 // 2)
-            high = min(int(np.searchsorted(sizes[order], most, "right")), low + max(1, CELLS // (int(most) * len(self.field.labels))))
-            own = order[low:high]
-            real = np.arange(sizes[own].max()) < sizes[own][:, None]
-            emit = np.zeros((*real.shape, len(self.field.labels)))
-            emit[real] = self.emit[np.concatenate([numbers[k] for k in own])]
-            marginal, _, _ = forward_backward(emit, self.field.trans, real)
-            total[own] = (marginal * real[:, :, None]).sum(1)
-            low = high
+        flat = np.concatenate(numbers) if len(numbers) else np.zeros(0, np.int64)
+        begin, labels = offsets_of(sizes)[:-1], len(self.field.labels)
+        # Stretches of SPAN words; the last of a text may be shorter.
+        parts = -(-sizes // SPAN)
+        owner = np.repeat(np.arange(len(sizes)), parts)
+        first = (np.arange(len(owner)) - offsets_of(parts)[:-1][owner]) * SPAN
+        length = np.minimum(SPAN, sizes[owner] - first)
+        into, after = self._messages(flat, begin, sizes, parts)
+        total = np.zeros((len(sizes), labels))
+        for low in range(0, len(owner), step := max(1, CELLS // (SPAN * labels))):
+            b, n = (begin[owner] + first)[low : low + step], length[low : low + step]
+            real = np.arange(int(n.max())) < n[:, None]
+            at = np.minimum(b[:, None] + np.arange(int(n.max())), len(flat) - 1)
+            marginal, _, _ = forward_backward(self.emit[flat[at]], self.field.trans, real, into[low : low + step], after[low : low + step])
+            np.add.at(total, owner[low : low + step], (marginal * real[:, :, None]).sum(1))
         best = total.argmax(1)
         none = sizes == 0
         score = np.clip(np.where(none, 0.0, total[np.arange(len(sizes)), best] / np.maximum(sizes, 1)), 0, 1)
         return self.names[np.where(none, len(self.field.labels), best)].tolist(), score, sizes
 
-    def _long(self, words: np.ndarray) -> np.ndarray:
-        """Sums of the posteriors of a long text's words: messages first, then one stretch at a time."""
-        stretches = [words[k : k + STRETCH] for k in range(0, len(words), STRETCH)]
-        into = [None]
-        for own in stretches[:-1]:
-            into.append(forward(self.emit[own], self.field.trans, into[-1]))
-        after, total = np.ones(len(self.field.labels)), np.zeros(len(self.field.labels))
-        for own, before in zip(stretches[::-1], into[::-1], strict=True):
-            marginal, _, _ = forward_backward(self.emit[own][None], self.field.trans, np.ones((1, len(own)), bool), before, after)
-            total += marginal[0].sum(0)
-            after = backward(self.emit[own], self.field.trans, after)
-        return total
+    def _messages(self, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(into, after): forward messages into the first word of each stretch and backward ones at its last, up to a factor.
+
+        All texts go through their words in step, from the first word on and from the last word
+        back; only what passes from one stretch to another is kept.
+        """
+        into, after = (np.ones((int(parts.sum()), len(self.field.labels))) for _ in range(2))
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > SPAN]
+        if not len(order):
+            return into, after
+        size, start, stretch = sizes[order], begin[order], offsets_of(parts)[:-1][order]
+        left = np.searchsorted(-size, -np.arange(size[0] + 1), "left")  # texts with more words than so many
+        m, back = np.exp(self.field.trans), np.exp(self.field.trans).T.copy()
+        a = b = np.ones((len(order), len(self.field.labels)))
+        # The last word of a text is the first of a stretch after so many steps back, and every SPAN steps from there.
+        residue = (size - 1) % SPAN
+        turn = [np.flatnonzero(residue == r) for r in range(SPAN)]
+        for i in range(int(size[0])):
+            n = left[i]
+            a = (a[:n] * self.likely[flat[start[:n] + i]]) @ m
+            b = (b[:n] * self.likely[flat[start[:n] + size[:n] - 1 - i]]) @ back
+            if i % 8 == 7:
+                a /= a.sum(1, keepdims=True)
+                b /= b.sum(1, keepdims=True)
+            if (i + 1) % SPAN == 0 and (k := left[i + 1]):
+                into[stretch[:k] + (i + 1) // SPAN] = a[:k]
+            here = turn[i % SPAN]
+            here = here[: np.searchsorted(here, left[i + 1])]
+            if len(here):
+                after[stretch[here] + (size[here] - 1 - i) // SPAN - 1] = b[here]
+        return into, after
 
 
 def label_texts(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,7 +302,7 @@ def label_texts(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_
 
     def run(batches):
         label = Labeller(field)
-        for ids, texts in text_chunks(batches, max_bytes=2 << 20):
+        for ids, texts in text_chunks(batches):
             names, score, sizes = label(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(score), pa.array(sizes)], ["doc_id", "lang_pred", "score", "n_words"])
 
@@ -316,7 +317,7 @@ def with_known_language(docs: DataFrame, field: WordField, least_score: float =
         label = Labeller(field)
         for batch in batches:
             keep = []
-            for _, texts in text_chunks([pa.RecordBatch.from_arrays([batch.column(number)] * 2, ["a", "b"])], max_bytes=2 << 20):
+            for _, texts in text_chunks([pa.RecordBatch.from_arrays([batch.column(number)] * 2, ["a", "b"])]):
                 names, score, _ = label(texts)
                 keep += [n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -340,7 +341,7 @@ def identify_language(docs: DataFrame, for_each: int = 300, most_chars: int = 4_
     A linear-chain conditional random field labels the words (runs of letters and marks, lower
     case): its emissions sum weights of hashed affixes, letter n-grams and lexicon entries, its
     transitions are learned, and forward-backward over the whole text gives each word's posterior;
-    a text of over 2048 words is worked through in stretches that pass their messages on. The mean
+    texts are worked through in stretches of 64 words that pass their messages on. The mean
     of the posteriors over a text is its score. Training sees up to ``for_each`` texts of each
     language (64 times as many in all), and only their text and language; of a text of over
     ``most_chars`` characters it sees words from all over it. A quarter of its sequences switch

@@ -85,12 +85,16 @@ def test_words_and_texts_without_a_letter(spark):
 def test_stretches_give_what_the_whole_chain_gives(monkeypatch):
     field = train_field([("der die das und nicht ein", "de"), ("the of and to in is", "en")] * 50)
     text = ("the and of das und the nicht to die der " * 40).encode()
-    whole = Labeller(field)([text, b"das", b""])
-    monkeypatch.setattr(language, "STRETCH", 7)
-    assert np.allclose(Labeller(field)([text, b"das", b""])[1], whole[1])
-    words = words_of(text.decode())
-    marginal, _, _ = forward_backward(field.emissions(words)[None], field.trans, np.ones((1, len(words)), bool))
-    assert np.isclose(whole[1][0], marginal[0].mean(0).max())
+    texts = [text, b"das", b"", text[:500], text[3:1400], text[: len(text) // 2], b"the of and das nicht und in"]
+
+    def score(text):
+        words = words_of(text.decode())
+        return forward_backward(field.emissions(words)[None], field.trans, np.ones((1, len(words)), bool))[0][0].mean(0).max() if words else 0
+
+    want = [score(t) for t in texts]
+    for span in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(language, "SPAN", span)
+        assert np.allclose(Labeller(field)(texts)[1], want)
 
 
 def test_features_and_a_training_step_against_plain_ones():
