@@ -154,10 +154,10 @@ def anchor_table(docs: DataFrame, symbols_of, length: int, gram: int) -> DataFra
 
 
 def shared_anchors(anchors: DataFrame) -> DataFrame:
-    """The stored anchors that occur at least twice, with ``classes``, their number of different contexts, and ``entries``, which counts two of a context that occurs again."""
+    """The stored anchors that occur at least twice, with ``classes``, their number of different contexts."""
     contexts = anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"))
-    seeds = contexts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.sum(F.least("n", F.lit(2))).alias("entries")).where("n > 1")
-    return stored(anchors.join(stored(seeds.select("anchor", "classes", "entries")), "anchor"))
+    seeds = contexts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("classes")).where("n > 1")
+    return stored(anchors.join(stored(seeds.select("anchor", "classes")), "anchor"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -190,12 +190,12 @@ def lists_of(batch: pa.RecordBatch, fields: list[str]):
         yield texts[k].as_py() or b"", {f: v[offsets[k] : offsets[k + 1]] for f, v in values.items()}
 
 
-def windows_of(asked: DataFrame, symbols_of, length: int, also: str | None = None) -> DataFrame:
+def windows_of(asked: DataFrame, symbols_of, length: int, also: tuple[str, ...] = ()) -> DataFrame:
     """A row for each window that the listed anchors (place, anchor) of each text own: its owner's hash, offset from it, own hash and place.
 
-    ``also`` names a further long of the lists that each row takes along.
+    ``also`` names further longs of the lists that each row takes along.
     """
-    names = ["place", "anchor", *([also] if also else [])]
+    names = ["place", "anchor", *also]
 
     def run(batches):
         symbols = symbols_of()
@@ -218,12 +218,11 @@ def windows_of(asked: DataFrame, symbols_of, length: int, also: str | None = Non
                         pa.array((pos[low : low + 4096][owner] - start).astype(np.int32)),
                         pa.array(rolling.of(start - begin, start - begin + length).view(np.int64)),
                     ]
-                    if also:
-                        columns.append(pa.array(asks[also][low : low + 4096][owner]))
+                    columns += [pa.array(asks[c][low : low + 4096][owner]) for c in also]
                     yield pa.RecordBatch.from_arrays(columns, fields)
 
-    fields = ["doc", "body", "start", "anchor", "offset", "window", *([also] if also else [])]
-    return asked.mapInArrow(run, "doc long, body long, start int, anchor long, offset int, window long" + (f", {also} long" if also else ""))
+    fields = ["doc", "body", "start", "anchor", "offset", "window", *also]
+    return asked.mapInArrow(run, "doc long, body long, start int, anchor long, offset int, window long" + "".join(f", {c} long" for c in also))
 
 
 def covered(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
