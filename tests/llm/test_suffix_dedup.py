@@ -81,6 +81,28 @@ def test_operator_against_brute_force(spark):
     assert suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_the_sort_finds_all_that_goes(spark, monkeypatch):
+    """Whole copies, parts of texts and rows that repeat are all marked by the sorted blocks; no other path is taken."""
+    from tensorloom.llm import suffix_dedup as own
+
+    found = []
+    blocks = own._sorted_blocks
+
+    def kept(*args):
+        found.append(own.stored(blocks(*args)))
+        return found[-1]
+
+    monkeypatch.setattr(own, "_sorted_blocks", kept)
+    monkeypatch.setattr(own.winnow, "windows_of", None)
+    rng = random.Random(16)
+    pool = [messy(rng, 600).decode("latin1") for _ in range(4)]
+    docs = [(i, pool[i % 4][: 250 + 40 * i] + "".join(rng.choices("abc", k=300))) for i in range(8)] + [(20, pool[1]), (21, pool[1]), (20, pool[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in own.suffix_dedup(df).collect())
+    assert got == brute(docs, 200) and sum(r[2] for r in got) > 1500
+    assert len(found) == 1 and found[0].count() > 0
+
+
 def test_long_texts_are_hashed_in_parts(spark, monkeypatch):
     from tensorloom.llm import winnow
     from tensorloom.llm.suffix_dedup import byte_symbols
