@@ -297,7 +297,13 @@ query("inverse_rows", f'SELECT (SELECT MAX(i0) FROM l3) - i0 "row", c0, c1, c2 F
     lambda t: layout.inverse_factors([_matrix(t)], [t.spark.range(n := t.l3().dims[0]).select(F.col("id").alias("old"), (n - 1 - F.col("id")).alias("new"))])[0].df
 )
 
-TERMS = "l_suppkey", "l_linenumber", F.month("l_shipdate")
+
+
+def _terms(t: Tensors) -> SparseTensor:
+    """Supplier, line and month of shipping: a small tensor to decompose."""
+    return t.lineitem("l_suppkey", "l_linenumber", F.month("l_shipdate")).coalesce()
+
+
 _X = ", x AS (SELECT CAST(l_suppkey AS BIGINT) i0, CAST(l_linenumber AS BIGINT) i1, CAST(month(l_shipdate) AS BIGINT) i2, SUM(l_quantity) v FROM lineitem GROUP BY ALL)"
 _model = lambda cells: " + ".join(f"(i0 + {r + 1}.0) * (i1 + {r + 1}) * (i2 + {r + 1}) * {w}" for r, w in enumerate(cells))
 
@@ -308,7 +314,7 @@ def _weighted(t: Tensors, x: SparseTensor) -> cpd.Kruskal:
 
 @query("kruskal_values")
 def _kruskal_values(t: Tensors) -> DataFrame:
-    x = t.lineitem(*TERMS).coalesce()
+    x = _terms(t)
     return cpd.kruskal_values(x, cpd.redistribute(cpd.normalize_1(_weighted(t, x)), 1))
 
 
@@ -317,7 +323,7 @@ SQL["kruskal_values"] = TENSORS + _X + f" SELECT i0, i1, i2, {_model((2.0, 0.5))
 
 @query("kruskal_fit")
 def _kruskal_fit(t: Tensors) -> DataFrame:
-    x = t.lineitem(*TERMS).coalesce()
+    x = _terms(t)
     # The model is scaled to the size of x: a fit far from 0 and 1.
     k = cpd.Kruskal(np.array([0.05, 0.01]), t.factors(x, 2))
     norm2 = cpd.kruskal_norm2(k.weights, [dense.gram_array(f) for f in k.factors])
@@ -332,7 +338,7 @@ FROM (SELECT SUM(v * v) x2, SUM(v * ({_model((0.05, 0.01))})) xm FROM x), (SELEC
 @query("cp_als_sweep")
 def _cp_als_sweep(t: Tensors) -> DataFrame:
     """One sweep from the counting matrices: the values of the model at the entries."""
-    x = t.lineitem(*TERMS).coalesce()
+    x = _terms(t)
     k = cpd.cp_als(x, 2, sweeps=1, start=t.factors(x, 2))
     return cpd.kruskal_values(x, k).withColumn("v", F.round("v", 3))
 
