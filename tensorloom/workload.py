@@ -365,9 +365,9 @@ SQL["cp_als_sweep"] = _sweep_sql()
 
 @query("cp_als")
 def _cp_als(t: Tensors) -> DataFrame:
-    x = t.lineitem(*TERMS)
+    x = _terms(t)
     k = cpd.cp_als(x, 3, sweeps=2)
-    return cpd.kruskal_values(x.coalesce(), k)
+    return cpd.kruskal_values(x, k)
 
 
 # Files
