@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secrets, sharding, simhash, substring_dedup, suffix_dedup
+from tensorloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_quality_rules": quality.op11_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL, "op11_quality_rules": quality.OP11_SQL}
