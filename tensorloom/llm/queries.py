@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup
+from tensorloom.llm import bpe, conversations, decontaminate, exact_dedup, language, line_dedup, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_quality_rules": quality.op11_quality_rules,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
     }
 
 
