@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import bpe, conversations, decontaminate, exact_dedup, language, line_dedup, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup
+from tensorloom.llm import bpe, conversations, decontaminate, exact_dedup, hard_negatives, language, line_dedup, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -19,8 +19,14 @@ def queries() -> dict:
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_quality_rules": quality.op11_quality_rules,
         "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL, "op11_quality_rules": quality.OP11_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op8_substring_dedup": substring_dedup.OP8_SQL,
+        "op11_quality_rules": quality.OP11_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
+    }
