@@ -20,13 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Results are read lazily, so tables stay; they lie in a folder of the application's own, which
-    can go when the application has ended.
-    """
+def written(df: DataFrame) -> str:
+    """Write df to the shared folder; the path, in a folder of the application's own that can go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. Results are read lazily, so tables stay."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

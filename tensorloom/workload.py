@@ -417,9 +417,16 @@ def _hicoo_files(t: Tensors) -> DataFrame:
     return files.read_hicoo(t.spark, path, 3)
 
 
+def _register() -> None:
+    """Import the modules that register further queries here."""
+    from tensorloom import workload_plans  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(SQL)
