@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tensorloom.operators import block_products as blocks
 from tensorloom.operators import contract as ct
 from tensorloom.operators import contract_plans as plans
 from tensorloom.tensor import SparseTensor
@@ -61,3 +62,14 @@ query("contraction_rounds", """SELECT i1 z0, products, CAST(floor(before / great
 FROM (SELECT i1, products, CAST(SUM(products) OVER (ORDER BY i1) - products AS BIGINT) before, CAST(SUM(products) OVER () AS BIGINT) total FROM (SELECT os.i1, COUNT(*) products FROM os JOIN oc USING (i0) GROUP BY os.i1))""")(
     lambda t: plans.round_products(*_rounds(t))
 )
+
+
+# MTTKRP on formats: the SQL of the entry-wise plan.
+def _mttkrp_sql(mode: int, rank: int = 8) -> str:
+    a, b = (m for m in range(3) if m != mode)
+    return f'SELECT i{mode} "row", ' + ", ".join(f"SUM(v * (i{a} + {r + 1}) * (i{b} + {r + 1})) c{r}" for r in range(rank)) + f" FROM l3 GROUP BY i{mode}"
+
+
+query("mttkrp_hicoo_blocks", _mttkrp_sql(0))(lambda t: blocks.mttkrp_hicoo(blocks.hicoo_packed(x := t.l3(), 8), x.dims, 8, t.factors(x, 8), 0).df)
+query("mttkrp_alto_parts", _mttkrp_sql(0))(lambda t: blocks.mttkrp_alto(blocks.alto_packed(x := t.l3(), 16), t.factors(x, 8), 0).df)
+query("mttkrp_blco_stream", _mttkrp_sql(1))(lambda t: blocks.mttkrp_blco(blocks.blco_packed(x := t.l3(), 18, 4096), t.factors(x, 8), 1, broadcast_bytes=0).df)
