@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.running import numbered
 from tensorloom.functions.storage import stored
-from tensorloom.operators.dense import Matrix
+from tensorloom.sources.binary import read_bin, write_bin, write_kruskal, write_matrix, write_vector  # noqa: F401
 from tensorloom.tensor import SparseTensor
 
 
@@ -120,60 +119,6 @@ def write_quantum(x: SparseTensor, path: str) -> None:
     rows.orderBy("n").select(F.col("v").cast("string").alias("value")).write.text(f"{path}/values.txt", lineSep=" ")
 
 
-#: First fields of the binary layout with a header: magic, index width, value width.
-HEADER = struct.Struct("<iQQ")
-MAGIC = 0x5350
-
-
-def read_bin(spark: SparkSession, path: str, header: bool = True) -> SparseTensor:
-    """Binary files: (header,) order, dimensions, count, an index array for each mode, values.
-
-    Each file is one row of Spark's binaryFile source and is decoded in a task, in bounded batches.
-    """
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8192).alias("head")).first()["head"]
-    skip = HEADER.size if header else 0
-    (order,) = struct.unpack_from("<Q", first, skip)
-    dims = struct.unpack_from(f"<{order}Q", first, skip + 8)
-
-    def decode(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                iw, vw = struct.unpack_from("<QQ", data, 4) if header else (64, 64)
-                at = skip + 8 * (order + 1)
-                (n,) = struct.unpack_from("<Q", data, at)
-                at += 8
-                cols = [np.frombuffer(data, f"<u{iw // 8}", n, at + m * n * iw // 8) for m in range(order)]
-                value = np.frombuffer(data, f"<f{vw // 8}", n, at + order * n * iw // 8)
-                for k in range(0, n, 1 << 16):
-                    part = [pa.array(c[k : k + (1 << 16)].astype(np.int64)) for c in cols] + [pa.array(value[k : k + (1 << 16)].astype(np.float64))]
-                    yield pa.RecordBatch.from_arrays(part, [*(f"i{m}" for m in range(order)), "v"])
-
-    schema = ", ".join(f"i{m} long" for m in range(order)) + ", v double"
-    return SparseTensor(spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, schema), order, dims)
-
-
-def write_bin(x: SparseTensor, path: str, header: bool = True, index_bits: int = 64, value_bits: int = 64) -> None:
-    """One binary file of the whole tensor, for tools that read such a file; parquet is the format for large tensors.
-
-    The format has an array for each mode after the count, so the driver streams the stored rows
-    once for each mode and for the values; it holds one partition at a time.
-    """
-    import numpy as np
-
-    rows = stored(x.df)
-    with open(path, "wb") as f:
-        if header:
-            f.write(HEADER.pack(MAGIC, index_bits, value_bits))
-        f.write(struct.pack(f"<{x.order + 2}Q", x.order, *x.dims, rows.count()))
-        for c, kind in [*((c, f"<u{index_bits // 8}") for c in x.coords), ("v", f"<f{value_bits // 8}")]:
-            for (value,) in rows.select(c).toLocalIterator():
-                f.write(np.array(value, kind).tobytes())
-
-
 def read_tensor(spark: SparkSession, path: str, quantum: bool = False, **options) -> SparseTensor:
     """By kind and suffix: a quantum folder (indices.txt, values.txt), .bin as binary, all else as text."""
     if quantum:
@@ -203,32 +148,6 @@ def write_index_map(maps: list[DataFrame], path: str) -> None:
     rows.orderBy("mode", "old").select("value").write.text(path)
 
 
-def _column(rows: DataFrame, length: int, column: str, out) -> None:
-    """The cells of a column from row 0 to length - 1, zeros where a row is missing, streamed to an open file."""
-    at = 0
-    for i, value in rows.select("row", column).orderBy("row").toLocalIterator():
-        out.writelines("0.00000000000000000000\n" for _ in range(at, i))
-        out.write(f"{value:.20f}\n")
-        at = i + 1
-    out.writelines("0.00000000000000000000\n" for _ in range(at, length))
-
-
-def write_matrix(a: Matrix, path: str) -> None:
-    """Text: "matrix", 2, rows and rank, then the cells column by column; the driver streams one column at a time."""
-    rows = stored(a.df)
-    with open(path, "w") as f:
-        f.write(f"matrix\n2\n{a.rows} {a.rank}\n")
-        for c in a.cols:
-            _column(rows, a.rows, c, f)
-
-
-def write_vector(df: DataFrame, length: int, path: str) -> None:
-    """Text: "vector", 1, the length, then the cells of df(row, v); the driver streams them."""
-    with open(path, "w") as f:
-        f.write(f"vector\n1\n{length}\n")
-        _column(df, length, "v", f)
-
-
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, v) of a matrix or (row, v) of a vector file that write_matrix or write_vector wrote."""
     lines = stored(_numbered_text(spark, path, F.array("value")).withColumnRenamed("x", "value"))
@@ -238,11 +157,3 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     if kind == "vector":
         return cells.select(F.col("n").alias("row"), "v")
     return cells.select((F.col("n") % rows).alias("row"), F.floor(F.col("n") / rows).alias("col"), "v")
-
-
-def write_kruskal(weights, factors: list[Matrix], prefix: str) -> None:
-    """A matrix file for each factor and a vector file of the weights."""
-    for n, a in enumerate(factors):
-        write_matrix(a, f"{prefix}.{n}.out")
-    with open(f"{prefix}.lambda.out", "w") as f:
-        f.write(f"vector\n1\n{len(weights)}\n" + "".join(f"{w:.20f}\n" for w in weights))

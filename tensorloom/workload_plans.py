@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tensorloom.operators import block_products as blocks
 from tensorloom.operators import contract as ct
 from tensorloom.operators import contract_plans as plans
+from tensorloom.operators import dense
+from tensorloom.sources import files
 from tensorloom.tensor import SparseTensor
 from tensorloom.workload import Tensors, query
 
@@ -73,3 +75,55 @@ def _mttkrp_sql(mode: int, rank: int = 8) -> str:
 query("mttkrp_hicoo_blocks", _mttkrp_sql(0))(lambda t: blocks.mttkrp_hicoo(blocks.hicoo_packed(x := t.l3(), 8), x.dims, 8, t.factors(x, 8), 0).df)
 query("mttkrp_alto_parts", _mttkrp_sql(0))(lambda t: blocks.mttkrp_alto(blocks.alto_packed(x := t.l3(), 16), t.factors(x, 8), 0).df)
 query("mttkrp_blco_stream", _mttkrp_sql(1))(lambda t: blocks.mttkrp_blco(blocks.blco_packed(x := t.l3(), 18, 4096), t.factors(x, 8), 1, broadcast_bytes=0).df)
+
+
+# Single files, written and read by many tasks.
+@query("io_bin", "SELECT * FROM l3")
+def _bin(t: Tensors) -> SparseTensor:
+    files.write_bin(t.l3(), path := f"{t.folder()}/t.bin")
+    return files.read_bin(t.spark, path, entries=10_000)
+
+
+@query("io_bin_plain", "SELECT * FROM os")
+def _bin_plain(t: Tensors) -> SparseTensor:
+    files.write_bin(t.os(), path := f"{t.folder()}/t.bin", header=False)
+    return files.read_tensor(t.spark, path, header=False)
+
+
+@query("io_bin_narrow", "SELECT * FROM os")
+def _bin_narrow(t: Tensors) -> SparseTensor:
+    files.write_bin(t.os(), path := f"{t.folder()}/t.bin", index_bytes=4, value_bytes=4)
+    return files.read_bin(t.spark, path)
+
+
+_PARTS = "(SELECT i0, SUM(CASE WHEN i2 = 1 THEN v ELSE 0 END) c0, SUM(CASE WHEN i2 = 2 THEN v ELSE 0 END) c1 FROM l3 GROUP BY i0)"
+_ROWS = "(SELECT unnest(range(0, (SELECT MAX(i0) + 1 FROM l3)))::BIGINT i)"
+_CELLS = f'SELECT i "row", c::BIGINT col, COALESCE(CASE c WHEN 0 THEN c0 ELSE c1 END, 0) v FROM {_ROWS} LEFT JOIN {_PARTS} ON i0 = i, (SELECT unnest([0, 1]) c)'
+
+
+def _two_columns(t: Tensors) -> dense.Matrix:
+    x = t.l3()
+    df = x.df.groupBy(F.col("i0").alias("row")).agg(*(F.sum(F.when(F.col("i2") == r + 1, F.col("v")).otherwise(0.0)).alias(f"c{r}") for r in range(2)))
+    return dense.Matrix(df, x.dims[0], 2)
+
+
+@query("io_matrix", _CELLS)
+def _matrix_file(t: Tensors):
+    files.write_matrix(_two_columns(t), path := f"{t.folder()}/m.out")
+    return files.read_cells(t.spark, path)
+
+
+@query("io_vector", f'SELECT i "row", COALESCE(c0, 0) v FROM {_ROWS} LEFT JOIN {_PARTS} ON i0 = i')
+def _vector_file(t: Tensors):
+    a = _two_columns(t)
+    files.write_vector(a.df.select("row", F.col("c0").alias("v")), a.rows, path := f"{t.folder()}/v.out")
+    return files.read_cells(t.spark, path)
+
+
+@query("io_kruskal", f"""SELECT 'factor' AS name, * FROM ({_CELLS}) UNION ALL SELECT 'weight', r, 0, [SUM(c0), SUM(c1)][r + 1] FROM {_PARTS}, (SELECT unnest([0, 1])::BIGINT r) GROUP BY r""")
+def _kruskal_files(t: Tensors):
+    a = _two_columns(t)
+    weights = a.df.agg(F.sum("c0"), F.sum("c1")).first()
+    files.write_kruskal(list(weights), [a], prefix := f"{t.folder()}/k")
+    of = lambda name, df: df.select(F.lit(name).alias("name"), "row", F.col("col") if "col" in df.columns else F.lit(0).cast("long").alias("col"), "v")
+    return of("factor", files.read_cells(t.spark, f"{prefix}.0.out")).unionByName(of("weight", files.read_cells(t.spark, f"{prefix}.lambda.out")))

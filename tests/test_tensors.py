@@ -204,7 +204,7 @@ def test_formats(spark, tmp_path):
     want = [(0, 1, 2, 1.5), (1, 1, 0, -0.4), (2, 0, 0, 2.0)]
     x = files.read_tensor(spark, str(tmp_path / "t.tns"))
     assert sorted(tuple(r) for r in x.df.collect()) == want and x.dims == (3, 2, 3)
-    for n, options in enumerate(({}, {"header": False}, {"index_bits": 32, "value_bits": 32})):
+    for n, options in enumerate(({}, {"header": False}, {"index_bytes": 4, "value_bytes": 4})):
         files.write_bin(x, str(tmp_path / f"{n}.bin"), **options)
         back = files.read_bin(spark, str(tmp_path / f"{n}.bin"), options.get("header", True))
         assert np.allclose(sorted(tuple(r) for r in back.df.collect()), want) and back.dims == (3, 2, 3)
