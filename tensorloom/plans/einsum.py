@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tensorloom.plans.order import cheapest_order
 from tensorloom.tensor import SparseTensor
 
 
@@ -37,11 +38,13 @@ def contraction_order(inputs: list[str], dims: dict[str, int], output: str) -> l
     return steps
 
 
-def einsum(expression: str, *tensors: SparseTensor, dims: dict[str, int] | None = None) -> SparseTensor:
+def einsum(expression: str, *tensors: SparseTensor, dims: dict[str, int] | None = None, by_cost: bool = False) -> SparseTensor:
     """For instance einsum("ij,jk->ik", x, y). Letters absent from the output are summed.
 
     Each pair is a join on its common letters and a sum over what is needed later. Given ``dims``
-    by letter, the order of pairs is chosen by the size of their results; otherwise left to right.
+    by letter, the order of pairs is chosen by the size of their results; with ``by_cost`` by the
+    products that they make, estimated from counts and sampled joins (``plans.order``); otherwise
+    left to right.
     """
     sides, _, output = expression.replace(" ", "").partition("->")
     names = sides.split(",")
@@ -51,7 +54,10 @@ def einsum(expression: str, *tensors: SparseTensor, dims: dict[str, int] | None
         raise ValueError(f"output letters '{output}'")
     frames = {k: _named(x, t) for k, (x, t) in enumerate(zip(names, tensors, strict=True))}
     letters = {k: list(dict.fromkeys(x)) for k, x in enumerate(names)}
-    steps = contraction_order(names, dims, output) if dims else [(0, k) for k in range(1, len(names))]
+    if by_cost:
+        steps = cheapest_order([letters[k] for k in range(len(names))], [frames[k] for k in range(len(names))], output).steps()
+    else:
+        steps = contraction_order(names, dims, output) if dims else [(0, k) for k in range(1, len(names))]
     for a, b in steps:
         common = [c for c in letters[a] if c in letters[b]]
         x, y = frames[a].withColumnRenamed("v", "_a"), frames.pop(b).withColumnRenamed("v", "_b")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tensorloom.operators import block_products as blocks
 from tensorloom.operators import contract as ct
 from tensorloom.operators import contract_plans as plans
-from tensorloom.operators import dense
+from tensorloom.operators import dense, resident
+from tensorloom.plans.einsum import einsum
 from tensorloom.sources import files
 from tensorloom.tensor import SparseTensor
 from tensorloom.workload import Tensors, query
@@ -127,3 +128,12 @@ def _kruskal_files(t: Tensors):
     files.write_kruskal(list(weights), [a], prefix := f"{t.folder()}/k")
     of = lambda name, df: df.select(F.lit(name).alias("name"), "row", F.col("col") if "col" in df.columns else F.lit(0).cast("long").alias("col"), "v")
     return of("factor", files.read_cells(t.spark, f"{prefix}.0.out")).unionByName(of("weight", files.read_cells(t.spark, f"{prefix}.lambda.out")))
+
+
+# Order of a chain by its products, and tensors that stay where they lie.
+_CHAIN = "SELECT a.i1 i0, d.i1, SUM(a.v * b.v * c.v * d.v) v FROM oc a JOIN os b USING (i0) JOIN sn c ON b.i1 = c.i0 JOIN nr d ON c.i1 = d.i0 GROUP BY ALL"
+query("einsum_by_cost", _CHAIN)(lambda t: einsum("oc,os,sn,nr->cr", t.oc(), t.os(), t.sn(), t.nr(), by_cost=True))
+query("sptc_resident", "SELECT a.i1 i0, b.i1 i1, SUM(a.v * b.v) v FROM oc a JOIN os b USING (i0) GROUP BY ALL")(lambda t: resident.contract_resident(resident.keep(t.oc(), (0,)), resident.keep(t.os(), (0,))))
+query("sptc_resident_chain", "SELECT a.i1 i0, c.i1, SUM(a.v * b.v * c.v) v FROM oc a JOIN os b USING (i0) JOIN sn c ON b.i1 = c.i0 GROUP BY ALL")(
+    lambda t: resident.contract_resident(resident.contract_resident(t.oc(), resident.keep(t.os(), (0,)), (0,)), resident.keep(t.sn(), (0,)), (1,))
+)
