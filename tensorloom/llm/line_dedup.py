@@ -26,6 +26,31 @@ def _lines(keyed: DataFrame, least_chars: int, short: bool) -> DataFrame:
     )
 
 
+#: A segment that so many lines share is cut a second time; one in HOT_SAMPLE lines is looked at to find it.
+HOT_LINES, HOT_SAMPLE = 256, 16
+#: Segments that are cut a second time at most, those with the most lines; and the characters of a second cut.
+HOT_KEYS, HOT_CHARS = 1 << 16, 6
+
+
+def _hot(index: DataFrame, parts: int) -> DataFrame:
+    """(key, size, cuts) of segments that many lines share: where such lines differ most, by a sample.
+
+    cuts are the starts of ``parts`` disjoint pieces of ``size`` characters, those with the most
+    different contents in the sample. The choice decides what the join costs, never what it finds.
+    """
+    sampled = stored(index.where(F.pmod("h1", F.lit(HOT_SAMPLE)) == 0).select("key", "line", "n"))
+    many = sampled.groupBy("key").agg(F.count("*").alias("m"), F.any_value("n").alias("n")).where(F.col("m") >= HOT_LINES // HOT_SAMPLE).where(F.col("n") >= parts)
+    many = stored(many.orderBy(F.col("m").desc(), "key").limit(HOT_KEYS).select("key", F.least(F.lit(HOT_CHARS), F.expr(f"n DIV {parts}")).cast("int").alias("size")))
+    places = F.expr("sequence(0, n - size, CAST(greatest(1, (n - size) DIV 64) AS INT))")
+    seen = sampled.join(F.broadcast(many), "key").select("key", "n", "size", "line", F.explode(places).alias("at"))
+    kinds = seen.groupBy("key", "n", "size", "at").agg(F.approx_count_distinct(F.expr("substring(line, at + 1, size)")).alias("kinds"))
+    ranked = kinds.groupBy("key", "n", "size").agg(F.array_sort(F.collect_list(F.struct((-F.col("kinds")).alias("rank"), "at"))).alias("all"))
+    apart = f"aggregate(all.at, CAST(array() AS array<int>), (got, x) -> CASE WHEN size(got) < {parts} AND forall(got, g -> abs(g - x) >= size) THEN concat(got, array(x)) ELSE got END)"
+    chosen = ranked.selectExpr("key", "n", "size", f"{apart} AS cuts")
+    even = f"transform(sequence(0, {parts - 1}), j -> CAST(j * (n DIV {parts}) AS INT))"  # where the best ones leave no room
+    return stored(chosen.selectExpr("key", "size", f"CASE WHEN size(cuts) = {parts} THEN cuts ELSE {even} END AS cuts"))
+
+
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b), the first hashes of distinct lines (h1, line) that may be within ``edits`` edits of each other.
 
@@ -35,6 +60,11 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     Candidates whose character counts at the head of the lines differ by more than two for each
     edit (which changes a character there, or shifts one in and one out) are left out as the index
     is probed.
+
+    Lines of one template share segments without being near. Where many lines share one, the
+    indexed line is cut a second time, into edits + 1 pieces where lines of that segment differ
+    most: the same argument holds for any disjoint pieces, so a line within the bound has one of
+    them too, at most ``edits`` places away. Only lines that share both make a row.
     """
     parts = edits + 1
     count = f"shiftleft(CAST((least(n, {COUNTED_CHARS}) - char_length(replace(head, '{{c}}', ''))) & 31 AS BIGINT), {{at}})"
@@ -51,12 +81,21 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         rows = ", ".join(f"struct({shorter} AS shorter, {i} AS i, {off} AS off)" for shorter, i, off in choices)
         each = sized.select("*", F.explode(F.expr(f"array({rows})")).alias("p")).selectExpr("h1", "line", "n", "counts", "n - p.shorter AS length", "p.i AS i", "p.off AS off", "p.shorter = 0 AS same")
         each = each.selectExpr("*", f"{start} + off AS start", f"{size} AS size").where("start >= 0 AND start + size <= n AND length > 0")
-        return each.selectExpr("h1", "counts | CASE WHEN same THEN 0L ELSE 1L << 60 END AS counts", "xxhash64(length, i, substring(line, start + 1, size)) AS key")
+        return each.selectExpr("h1", "line", "n", "counts | CASE WHEN same THEN 0L ELSE 1L << 60 END AS counts", "xxhash64(length, i, substring(line, start + 1, size)) AS key")
 
     index = keys([(0, i, 0) for i in range(parts)])
     shifts = [(d, i, off) for d in range(edits + 1) for i in range(parts) for off in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
-    left = keys(shifts).selectExpr("h1 AS a", "counts AS ca", "key")
-    right = index.selectExpr("h1 AS b", "counts AS cb", "key AS key2")
+    hot = _hot(index, parts)
+
+    def cut_again(rows: DataFrame, places: str) -> DataFrame:
+        """Rows with the key itself or, if it is hot, one for each piece of the second cut at one of the places."""
+        at = f"flatten(transform(sequence(0, {parts - 1}), j -> transform({places}, o -> struct(j AS j, cuts[j] + o AS at))))"
+        pieces = f"transform(filter({at}, p -> p.at >= 0 AND p.at + size <= n), p -> xxhash64(key, p.j, substring(line, p.at + 1, size)))"
+        met = rows.join(F.broadcast(hot), "key", "left")
+        return met.select("h1", "counts", F.explode(F.expr(f"CASE WHEN cuts IS NULL THEN array(key) ELSE {pieces} END")).alias("key"))
+
+    left = cut_again(keys(shifts), f"sequence({-edits}, {edits})").selectExpr("h1 AS a", "counts AS ca", "key")
+    right = cut_again(index, "array(0)").selectExpr("h1 AS b", "counts AS cb", "key AS key2")
     # Per character the distance around the circle of 32, which is no more than the true one.
     apart = " + ".join(f"16 - abs(16 - abs((shiftright(ca, {5 * k}) & 31) - (shiftright(cb, {5 * k}) & 31)))" for k in range(len(COUNTED)))
     pairs = left.join(right, (F.col("key") == F.col("key2")) & F.expr("a < b OR (ca >= 1L << 60 AND a > b)") & F.expr(f"{apart} <= {2 * edits}"))

@@ -1,10 +1,18 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from tensorloom.llm import line_dedup as module
 from tensorloom.llm.line_dedup import line_dedup, line_report, op10_line_dedup
 
 
 def distance(a, b):
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
         new = [i + 1]
@@ -24,7 +32,11 @@ def brute(docs, edits, least):
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if len(x) < least or (x not in gone and first[x] == (i, p))) for i, t in docs}
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [None, 2])
+def test_against_brute_force(spark, monkeypatch, hot):
+    if hot:  # nearly every shared segment is cut a second time
+        monkeypatch.setattr(module, "HOT_LINES", hot)
+        monkeypatch.setattr(module, "HOT_SAMPLE", 1)
     rng = random.Random(10)
     letters = "abcde fgétz😀"
     base = ["".join(rng.choices(letters, k=rng.randrange(5, 40))) for _ in range(60)]
@@ -73,3 +85,35 @@ def test_columns_with_any_name(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, line, "a", 1, 2, 3), (2, "more", "b", 4, 5, 6)]
     dotted = df.withColumnsRenamed({"gone": "a.b"})
     assert sorted(r.text for r in line_dedup(dotted).collect()) == ["more", line]
+
+
+def template(n, seed):
+    rng = random.Random(seed)
+    return [f"2024-05-06 INFO worker request {rng.randrange(10**17, 10**18)} handled by the service in time" for _ in range(n)]
+
+
+def test_lines_of_one_template_make_no_row_for_each_pair(spark):
+    """They have one length and differ in digits only; pairs grow with the square of their number, candidates don't."""
+    made = {}
+    for n in (2000, 8000):
+        lines = spark.createDataFrame([(x,) for x in template(n, n)], "line string").withColumn("h1", F.xxhash64("line"))
+        made[n] = module._candidates(lines, 2).count()
+    assert made[8000] < 100 * 8000
+    assert made[8000] < 0.01 * 8000 * 7999 / 2
+
+
+def test_near_lines_of_one_template_are_found(spark, monkeypatch):
+    monkeypatch.setattr(module, "HOT_LINES", 32)
+    monkeypatch.setattr(module, "HOT_SAMPLE", 1)
+    rng = random.Random(3)
+    lines = template(400, 5)
+    for k in range(120):  # near ones: up to three edits at any place, so some are too far
+        x = rng.choice(lines[:400])
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(x))
+            x = rng.choice([x[:at] + x[at + 1 :], x[:at] + rng.choice("0123456789 aé") + x[at:], x[:at] + rng.choice("0123456789") + x[at + 1 :]])
+        lines.append(x)
+    docs = [(k, x) for k, x in enumerate(lines)]
+    want = brute(docs, 2, 20)
+    assert sum(t == "" for t in want.values()) > 50
+    assert {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
