@@ -67,7 +67,8 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     them too, at most ``edits`` places away. Only lines that share both make a row.
     """
     parts = edits + 1
-    count = f"shiftleft(CAST((least(n, {COUNTED_CHARS}) - char_length(replace(head, '{{c}}', ''))) & 31 AS BIGINT), {{at}})"
+    # Each of these takes one byte, and bytes need no counting.
+    count = "shiftleft(CAST((octet_length(head) - octet_length(replace(head, '{c}', ''))) & 31 AS BIGINT), {at})"
     counts = " | ".join(count.format(c=c, at=5 * k) for k, c in enumerate(COUNTED))
     # Written, so that lines are split and counted once for both sides of the join.
     sized = lines.select("h1", "line", F.char_length("line").alias("n"), F.substring("line", 1, COUNTED_CHARS).alias("head"))
@@ -86,9 +87,13 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     index = keys([(0, i, 0) for i in range(parts)])
     shifts = [(d, i, off) for d in range(edits + 1) for i in range(parts) for off in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
     hot = _hot(index, parts)
+    if hot.isEmpty():
+        hot = None
 
     def cut_again(rows: DataFrame, places: str) -> DataFrame:
         """Rows with the key itself or, if it is hot, one for each piece of the second cut at one of the places."""
+        if hot is None:
+            return rows.select("h1", "counts", "key")
         at = f"flatten(transform(sequence(0, {parts - 1}), j -> transform({places}, o -> struct(j AS j, cuts[j] + o AS at))))"
         pieces = f"transform(filter({at}, p -> p.at >= 0 AND p.at + size <= n), p -> xxhash64(key, p.j, substring(line, p.at + 1, size)))"
         met = rows.join(F.broadcast(hot), "key", "left")
