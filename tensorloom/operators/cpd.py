@@ -37,7 +37,12 @@ def kruskal_norm2(weights: np.ndarray, grams: list[np.ndarray]) -> float:
 def kruskal_inner(x: SparseTensor, k: Kruskal) -> float:
     """The sum over the entries of x times the model's value there."""
     last = x.order - 1
-    m, own = mttkrp(x, k.factors, last), k.factors[last]
+    return _inner(mttkrp(x, k.factors, last), k, last)
+
+
+def _inner(m: Matrix, k: Kruskal, mode: int) -> float:
+    """The same from the MTTKRP of a mode with the factors of all others."""
+    own = k.factors[mode]
     other = own.df.select("row", *(F.col(c).alias(f"_{c}") for c in own.cols))
     one = m.df.join(other, "row").agg(*(F.sum(F.col(c) * F.col(f"_{c}")).alias(c) for c in m.cols)).first()
     return float(sum(w * (s or 0.0) for w, s in zip(k.weights, one, strict=True)))
@@ -56,10 +61,12 @@ def cp_als(x: SparseTensor, rank: int, sweeps: int = 10, tolerance: float = 1e-5
     Each sweep updates each mode by an MTTKRP and a solve with the product of the other grams
     (rank x rank, on the driver), then normalizes columns: by 2-norm in the first sweep and
     max-norm later, or always by 2-norm. ``by_length`` takes the longest modes first. It stops
-    when the fit changes by less than the tolerance. Indices without an entry get rows of zeros.
+    when the fit changes by less than the tolerance; the fit comes from the last MTTKRP of a sweep,
+    for which every other factor is that of the model. x is added up and written once. Indices
+    without an entry get rows of zeros.
     """
     spark = x.df.sparkSession
-    x = x.coalesce()
+    x = x.like(stored(x.coalesce().df), True)
     factors = list(start) if start else [dense.uniform(spark, d, rank, seed + m) for m, d in enumerate(x.dims)]
     grams = [dense.gram_array(f) for f in factors]
     order = sorted(range(x.order), key=lambda m: -x.dims[m]) if by_length else list(range(x.order))
@@ -67,14 +74,14 @@ def cp_als(x: SparseTensor, rank: int, sweeps: int = 10, tolerance: float = 1e-5
     for sweep in range(sweeps):
         for mode in order:
             v = np.prod([grams[m] for m in range(x.order) if m != mode], axis=0)
-            raw = mttkrp(x, factors, mode)
+            raw = _stored(mttkrp(x, factors, mode))
             solved = dense.times(raw, dense.solve_gram(v))
             full = spark.range(x.dims[mode]).select(F.col("id").alias("row")).join(solved.df, "row", "left")
             full = _stored(Matrix(full.na.fill(0.0), x.dims[mode], rank))
             factors[mode], weights = dense.normalized(full, "2" if sweep == 0 or two_norm else "max")
             grams[mode] = dense.gram_array(factors[mode])
         model = Kruskal(weights, list(factors))
-        rest = x2 + kruskal_norm2(weights, grams) - 2 * kruskal_inner(x, model)
+        rest = x2 + kruskal_norm2(weights, grams) - 2 * _inner(raw, model, order[-1])
         before, fit = fit, 1 - np.sqrt(max(0.0, rest)) / np.sqrt(x2) if x2 else 0.0
         if np.isnan(fit) or (before is not None and abs(fit - before) < tolerance):
             break
@@ -105,7 +112,7 @@ def kruskal_values(x: SparseTensor, k: Kruskal) -> DataFrame:
     """The model's value at each coordinate of x."""
     df, parts = x.df, [F.lit(float(w)) for w in k.weights]
     for m, f in enumerate(k.factors):
-        df = df.join(f.small().select(F.col("row").alias(f"i{m}"), *(F.col(c).alias(f"f{m}_{r}") for r, c in enumerate(f.cols))), f"i{m}")
+        df = f.beside(df, f"i{m}", f"f{m}_")
         parts = [p * F.col(f"f{m}_{r}") for r, p in enumerate(parts)]
     return df.select(*x.coords, sum(parts[1:], parts[0]).alias("v"))
 

@@ -22,14 +22,28 @@ class Matrix:
     def cols(self) -> list[str]:
         return [f"c{r}" for r in range(self.rank)]
 
-    def small(self) -> DataFrame:
-        """The rows, marked for broadcast if they are few enough."""
-        return F.broadcast(self.df) if 8 * self.rows * (self.rank + 1) <= BROADCAST_BYTES else self.df
+    @property
+    def is_small(self) -> bool:
+        """Whether the rows are few enough to be broadcast."""
+        return 8 * self.rows * (self.rank + 1) <= BROADCAST_BYTES
+
+    def beside(self, df: DataFrame, index: str, prefix: str) -> DataFrame:
+        """df with the cells of the row that ``index`` names, as prefix0 ..; an index without a row fails the job."""
+        named = self.df.select(F.col("row").alias(index), *(F.col(c).alias(f"{prefix}{r}") for r, c in enumerate(self.cols)))
+        return matched(df, named, index, [f"{prefix}{r}" for r in range(self.rank)], "the matrix", self.is_small)
 
     def map(self, f) -> Matrix:
         return Matrix(self.df.select("row", *(f(r, F.col(c)).alias(c) for r, c in enumerate(self.cols))), self.rows, self.rank)
 
 
+def matched(df: DataFrame, other: DataFrame, on: str, columns: list[str], what: str, small: bool = False) -> DataFrame:
+    """df with the columns of the row of other with the same ``on``; a row without one fails the job, which an inner join would hide."""
+    marked = other.select(on, *columns, F.lit(True).alias("_there"))
+    joined = df.join(F.broadcast(marked) if small else marked, on, "left")
+    missing = F.raise_error(F.concat(F.lit(f"{what} has no row for index "), F.col(on).cast("string")))
+    return joined.select(*df.columns, *(F.when(F.col("_there").isNull(), missing).otherwise(F.col(c)).alias(c) for c in columns))
+
+
 def matrix(spark: SparkSession, rows: int, rank: int, cell) -> Matrix:
     """cell(row column, column number) for each cell."""
     return Matrix(spark.range(rows).select(F.col("id").alias("row"), *(cell(F.col("id"), r).cast("double").alias(f"c{r}") for r in range(rank))), rows, rank)
@@ -54,12 +68,42 @@ def uniform(spark: SparkSession, rows: int, rank: int, seed: int) -> Matrix:
 
 
 def hadamard(a: Matrix, b: Matrix) -> Matrix:
+    if a.rank != b.rank or (a.rows and b.rows and a.rows != b.rows):
+        raise ValueError(f"shapes differ: {a.rows} x {a.rank} and {b.rows} x {b.rank}")
     other = b.df.select(F.col("row"), *(F.col(c).alias(f"_{c}") for c in b.cols))
     return Matrix(a.df.join(other, "row").select("row", *((F.col(c) * F.col(f"_{c}")).alias(c) for c in a.cols)), a.rows, a.rank)
 
 
+def hadamard_others(mode: int, matrices: list[Matrix]) -> Matrix:
+    """The product, cell by cell, of all matrices but that of ``mode``; ones if there is no other."""
+    first = matrices[mode]
+    if any((m.rows, m.rank) != (first.rows, first.rank) for m in matrices):
+        raise ValueError("matrices of one shape are needed")
+    others = [m for k, m in enumerate(matrices) if k != mode]
+    if not others:
+        return first.map(lambda r, c: F.lit(1.0))
+    out = others[0]
+    for m in others[1:]:
+        out = hadamard(out, m)
+    return out
+
+
+def gram_product(mode: int, grams: list[DataFrame]) -> DataFrame:
+    """(r, s, v) for r <= s: the product of all grams (r, s, v) but that of ``mode``, of which the upper triangle is kept."""
+    others = [g for k, g in enumerate(grams) if k != mode]
+    if not others:
+        raise ValueError("there is no other gram")
+    every = others[0]
+    for g in others[1:]:
+        every = every.unionByName(g)
+    # A triangle has rank * (rank + 1) / 2 cells, one of each gram in a group.
+    return every.groupBy("r", "s").agg(F.aggregate(F.collect_list("v"), F.lit(1.0), lambda p, v: p * v).alias("v"))
+
+
 def append(a: Matrix, b: Matrix) -> Matrix:
     """The rows of b below those of a."""
+    if a.rank != b.rank:
+        raise ValueError(f"ranks differ: {a.rank} and {b.rank}")
     return Matrix(a.df.unionByName(b.df.withColumn("row", F.col("row") + a.rows)), a.rows + b.rows, a.rank)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import bits
 from tensorloom.functions.running import numbered, running_total, runs
 from tensorloom.functions.storage import stored
-from tensorloom.operators.dense import Matrix
+from tensorloom.operators.dense import Matrix, matched
 from tensorloom.tensor import SparseTensor
 
 
@@ -309,9 +309,9 @@ def hicoo_chunks(hicoo: DataFrame, order: int, size: int) -> DataFrame:
 
 
 def renumber(x: SparseTensor, mode: int, mapping: DataFrame) -> SparseTensor:
-    """Indices of a mode replaced by mapping(old, new)."""
+    """Indices of a mode replaced by mapping(old, new); an index that the map lacks fails the job."""
     x.check_modes(mode)
-    joined = x.df.join(mapping.select(F.col("old").alias(f"i{mode}"), "new"), f"i{mode}")
+    joined = matched(x.df, mapping.select(F.col("old").alias(f"i{mode}"), "new"), f"i{mode}", ["new"], "the map")
     return SparseTensor(joined.select(*(F.col("new").alias(c) if m == mode else c for m, c in enumerate(x.coords)), "v"), x.order, x.known_dims)
 
 

@@ -180,6 +180,14 @@ def _sorted(name: str, keys: str, f) -> None:
     query(name, f"SELECT row_number() OVER (ORDER BY {keys}) - 1 n, * FROM c3")(lambda t: layout.row_numbers(f(t.c3())))
 
 
+def _order_statistics(rows: DataFrame) -> DataFrame:
+    """Entries, their different places, their sum, and whether i0 rises at about half of all steps, as in a random order."""
+    after = rows.select((F.col("n") - 1).alias("n"), F.col("i0").alias("next"))
+    rises = rows.join(after, "n").agg(F.avg(F.when(F.col("next") > F.col("i0"), 1.0).when(F.col("next") < F.col("i0"), 0.0)).alias("share"))
+    every = rows.agg(F.count("*").alias("entries"), F.count_distinct("n").alias("places"), F.sum("v").alias("v"))
+    return every.crossJoin(rises).select("entries", "places", "v", F.abs(F.col("share") - 0.5).between(0, 0.05).alias("mixed"))  # one row each
+
+
 _blocks = lambda b, modes=(0, 1, 2): ", ".join(f"i{m} >> {b}" for m in modes)
 _z = lambda b, modes=(0, 1, 2): " | ".join(f"(((i{m} >> {k + b}) & 1)::BIGINT << {len(modes) * k + n})" for k in range(20) for n, m in enumerate(modes))
 _sorted("sort_lexicographic", "i0, i1, i2", layout.sort)
@@ -192,7 +200,7 @@ _sorted("sort_row_blocks", f"{_blocks(4)}, i0, i1, i2", lambda x: layout.sort_bl
 _sorted("sort_row_blocks_without", f"{_blocks(4, (1, 2))}, i1, i2, i0", lambda x: layout.sort_blocks(x, 4, without=0))
 _sorted("sort_mixed", f"{_blocks(6)}, {_z(3)}, i0, i1, i2", lambda x: layout.sort_mixed(x, 6, 3))
 _sorted("sort_slices", f"i2, {_blocks(4, (0, 1))}, i0, i1", lambda x: layout.sort_slices(x, 2, 4))
-query("shuffle_elements", "SELECT * FROM c3")(lambda t: layout.shuffle_elements(t.c3(), 5))
+query("shuffle_elements", "SELECT COUNT(*) entries, COUNT(*) places, SUM(v) v, true mixed FROM c3")(lambda t: _order_statistics(layout.row_numbers(layout.shuffle_elements(t.c3(), 5))))
 query("renumber", "SELECT (SELECT MAX(i0) FROM l3) - i0 i0, i1, i2, v FROM l3")(
     lambda t: layout.renumber(x := t.l3(), 0, layout.inverse_map(t.spark.range(x.dims[0]).select((x.dims[0] - 1 - F.col("id")).alias("new"), F.col("id").alias("old"))))
 )
@@ -259,9 +267,10 @@ p AS (SELECT *, CAST(SUM(n) OVER w - n AS BIGINT) before FROM h WINDOW w AS (PAR
 cuts AS (SELECT DISTINCT k0, k1, k2, 0::BIGINT c FROM h UNION ALL
     SELECT k0, k1, k2, MIN(before) FROM cuts JOIN p USING (k0, k1, k2) WHERE before >= c + 64 GROUP BY k0, k1, k2, c)
 SELECT p.k0, p.k1, p.k2, b0, b1, b2, n, (SELECT COUNT(*) FROM cuts q WHERE (q.k0, q.k1, q.k2) < (p.k0, p.k1, p.k2) OR ((q.k0, q.k1, q.k2) = (p.k0, p.k1, p.k2) AND c <= before)) - 1 chunk FROM p"""
-query("semisparse_dense_mode", "SELECT f.i1, f.i2, k.r, COALESCE(c.v, 0) v FROM (SELECT DISTINCT i1, i2 FROM c3 WHERE v <> 0) f CROSS JOIN (SELECT unnest(range(0, (SELECT MAX(i0) + 1 FROM l3))) r) k LEFT JOIN c3 c ON c.i1 = f.i1 AND c.i2 = f.i2 AND c.i0 = k.r WHERE c.v <> 0")(
-    lambda t: layout.set_dense_mode(layout.to_semisparse(t.l3(), 2), 2, 0).select("i1", "i2", F.posexplode("fiber").alias("r", "v")).where("v <> 0").withColumn("r", F.col("r").cast("long"))
+query("semisparse_dense_mode", """SELECT f.i0, f.i1, k.r, COALESCE(c.v, 0) v FROM (SELECT DISTINCT i0, i1 FROM m3 WHERE v <> 0) f CROSS JOIN (SELECT unnest(range(0, (SELECT MAX(i2) + 1 FROM m3))) r) k LEFT JOIN m3 c ON c.i0 = f.i0 AND c.i1 = f.i1 AND c.i2 = k.r""")(
+    lambda t: layout.set_dense_mode(layout.to_semisparse(t.lineitem("l_partkey", "l_linenumber", F.month("l_shipdate")), 1), 1, 2).select("i0", "i1", F.posexplode("fiber").alias("r", "v")).withColumn("r", F.col("r").cast("long"))
 )
+SQL["semisparse_dense_mode"] = TENSORS + ", m3 AS (SELECT CAST(l_partkey AS BIGINT) i0, CAST(l_linenumber AS BIGINT) i1, CAST(month(l_shipdate) AS BIGINT) i2, SUM(l_quantity) v FROM lineitem GROUP BY ALL)" + SQL["semisparse_dense_mode"].removeprefix(TENSORS)
 query("semisparse_append", "SELECT i0, i1, i2, SUM(v) v FROM (SELECT * FROM a3 UNION ALL SELECT * FROM b3) GROUP BY ALL HAVING SUM(v) <> 0")(
     lambda t: layout.from_semisparse(layout.append_entries(layout.to_semisparse(t.a3(), 2), t.b3(), 2, t.c3().dims), 2, 0.0)
 )
@@ -279,6 +288,13 @@ def _matrix(t: Tensors) -> dense.Matrix:
     return dense.Matrix(df, 0, 3)
 
 
+def _columns(t: Tensors, mode: int) -> dense.Matrix:
+    """The sums of lines 1 and 2 by an index of a mode."""
+    x = t.l3()
+    df = x.df.groupBy(F.col(f"i{mode}").alias("row")).agg(*(F.sum(F.when(F.col("i2") == r + 1, F.col("v")).otherwise(0.0)).alias(f"c{r}") for r in range(2)))
+    return dense.Matrix(df, x.dims[mode], 2)
+
+
 query("gram", " UNION ALL ".join(f"SELECT {r}::BIGINT r, {s}::BIGINT s, SUM(c{r} * c{s}) v FROM {_parts}" for r in range(3) for s in range(r, 3)))(lambda t: dense.gram(_matrix(t)))
 query("column_norm_2", " UNION ALL ".join(f"SELECT {r}::BIGINT r, sqrt(SUM(c{r} * c{r})) v FROM {_parts}" for r in range(3)))(lambda t: dense.column_norms(_matrix(t)))
 query("column_norm_max", " UNION ALL ".join(f"SELECT {r}::BIGINT r, greatest(MAX(c{r}), 1.0) v FROM {_parts}" for r in range(3)))(lambda t: dense.column_norms(_matrix(t), "max"))
@@ -286,8 +302,12 @@ query("matrix_hadamard", f'SELECT i0 "row", c0 * c0 c0, c1 * c1 c1, c2 * c2 c2 F
 
 
 _RANGE = "(SELECT unnest(range(0, (SELECT MAX({0}) + 1 FROM {1})))::BIGINT i)"
-query("matrix_append", f'SELECT i "row", i + 1.0 c0, i + 2.0 c1 FROM {_RANGE.format("i0", "sn")} UNION ALL SELECT i + (SELECT MAX(i0) + 1 FROM sn), 2.5, 2.5 FROM {_RANGE.format("i1", "sn")}')(
-    lambda t: dense.append(dense.counting(t.spark, (d := t.sn().dims)[0], 2), dense.constant(t.spark, d[1], 2, 2.5)).df
+query("matrix_append", f"""SELECT i0 "row", c0, c1 FROM {_parts} UNION ALL
+SELECT i1 + (SELECT MAX(i0) + 1 FROM l3), SUM(CASE WHEN i2 = 1 THEN v ELSE 0 END), SUM(CASE WHEN i2 = 2 THEN v ELSE 0 END) FROM l3 GROUP BY i1""")(lambda t: dense.append(_columns(t, 0), _columns(t, 1)).df)
+query("hadamard_others", f'SELECT i0 "row", c0 * c0 c0, c1 * c1 c1, c2 * c2 c2 FROM {_parts}')(lambda t: dense.hadamard_others(1, [m := _matrix(t), dense.Matrix(m.df.limit(0), m.rows, m.rank), m]).df)
+_gram = lambda shift: " UNION ALL ".join(f"SELECT {r}::BIGINT r, {s}::BIGINT s, SUM((c{r} + {shift}) * (c{s} + {shift})) v FROM {_parts}" for r in range(3) for s in range(r, 3))
+query("gram_product", f"SELECT r, s, a.v * b.v v FROM ({_gram(0)}) a JOIN ({_gram(1)}) b USING (r, s)")(
+    lambda t: dense.gram_product(1, [dense.gram(m := _matrix(t)), dense.gram(m.map(lambda r, c: c * 7)), dense.gram(m.map(lambda r, c: c + 1))])
 )
 query("normal_solve", f"""SELECT i0 "row", (c0 * g11 - c1 * g01) / (g00 * g11 - g01 * g01) c0, (c1 * g00 - c0 * g01) / (g00 * g11 - g01 * g01) c1
 FROM {_parts}, (SELECT SUM(c0 * c0) g00, SUM(c0 * c1) g01, SUM(c1 * c1) g11 FROM {_parts})""")(
@@ -343,31 +363,43 @@ def _cp_als_sweep(t: Tensors) -> DataFrame:
     return cpd.kruskal_values(x, k).withColumn("v", F.round("v", 3))
 
 
-def _sweep_sql() -> str:
-    """Each mode in turn: MTTKRP, the 2 x 2 normal equations, columns divided by their 2-norms."""
+def _als_sql(sweeps: int, order=(0, 1, 2), two_norm: bool = True) -> str:
+    """Sweeps of modes in turn: MTTKRP, the 2 x 2 normal equations, columns divided by their norms; at the end by their 2-norms."""
     sql = TENSORS + _X + "".join(f", f{m} AS (SELECT i, i + 1.0::DOUBLE c0, i + 2.0::DOUBLE c1 FROM {_RANGE.format(f'i{m}', 'x')})" for m in range(3))
     now = ["f0", "f1", "f2"]
-    for m in range(3):
-        a, b = (k for k in range(3) if k != m)
-        grams = ", ".join(f"(SELECT SUM(c0 * c0) p00, SUM(c0 * c1) p01, SUM(c1 * c1) p11 FROM {now[k]}) g{k}" for k in (a, b))
-        cells = ", ".join(f"SUM(v * {now[a]}.c{r} * {now[b]}.c{r}) m{r}" for r in range(2))
-        sql += f", m{m} AS (SELECT x.i{m} i, {cells} FROM x JOIN {now[a]} ON {now[a]}.i = x.i{a} JOIN {now[b]} ON {now[b]}.i = x.i{b} GROUP BY x.i{m})"
-        sql += f", v{m} AS (SELECT g{a}.p00 * g{b}.p00 v00, g{a}.p01 * g{b}.p01 v01, g{a}.p11 * g{b}.p11 v11 FROM {grams})"
-        sql += f", s{m} AS (SELECT i, (m0 * v11 - m1 * v01) / (v00 * v11 - v01 * v01) c0, (m1 * v00 - m0 * v01) / (v00 * v11 - v01 * v01) c1 FROM m{m}, v{m})"
-        sql += f", w{m} AS (SELECT sqrt(SUM(c0 * c0)) w0, sqrt(SUM(c1 * c1)) w1 FROM s{m}), n{m} AS (SELECT i, c0 / w0 c0, c1 / w1 c1 FROM s{m}, w{m})"
-        now[m] = f"n{m}"
-    value = " + ".join(f"w{r} * n0.c{r} * n1.c{r} * n2.c{r}" for r in range(2))
-    return sql + f" SELECT x.i0, x.i1, x.i2, round({value}, 3) v FROM x JOIN n0 ON n0.i = i0 JOIN n1 ON n1.i = i1 JOIN n2 ON n2.i = i2, w2"
-
-
-SQL["cp_als_sweep"] = _sweep_sql()
+    for sweep in range(sweeps):
+        for m in order:
+            a, b = (k for k in range(3) if k != m)
+            k = f"{sweep}{m}"
+            grams = ", ".join(f"(SELECT SUM(c0 * c0) p00, SUM(c0 * c1) p01, SUM(c1 * c1) p11 FROM {now[k]}) g{k}" for k in (a, b))
+            cells = ", ".join(f"SUM(v * {now[a]}.c{r} * {now[b]}.c{r}) m{r}" for r in range(2))
+            norm = "sqrt(SUM(c{0} * c{0}))" if two_norm or sweep == 0 else "greatest(MAX(c{0}), 1.0)"
+            sql += f", m{k} AS MATERIALIZED (SELECT x.i{m} i, {cells} FROM x JOIN {now[a]} ON {now[a]}.i = x.i{a} JOIN {now[b]} ON {now[b]}.i = x.i{b} GROUP BY x.i{m})"
+            sql += f", v{k} AS MATERIALIZED (SELECT g{a}.p00 * g{b}.p00 v00, g{a}.p01 * g{b}.p01 v01, g{a}.p11 * g{b}.p11 v11 FROM {grams})"
+            sql += f", s{k} AS MATERIALIZED (SELECT i, (m0 * v11 - m1 * v01) / (v00 * v11 - v01 * v01) c0, (m1 * v00 - m0 * v01) / (v00 * v11 - v01 * v01) c1 FROM m{k}, v{k})"
+            # Rows of indices without an entry are zeros, which the largest value sees.
+            sql += f", w{k} AS MATERIALIZED (SELECT {norm.format(0)} w0, {norm.format(1)} w1 FROM s{k}), n{k} AS MATERIALIZED (SELECT i, c0 / w0 c0, c1 / w1 c1 FROM s{k}, w{k})"
+            now[m], last = f"n{k}", f"w{k}"
+    value = " + ".join(f"w{r} * " + " * ".join(f"{now[m]}.c{r}" for m in range(3)) for r in range(2))
+    return sql + f" SELECT x.i0, x.i1, x.i2, round({value}, 3) v FROM x " + " ".join(f"JOIN {now[m]} ON {now[m]}.i = i{m}" for m in range(3)) + f", {last}"
+
+
+SQL["cp_als_sweep"] = _als_sql(1)
+
+
+def _als(t: Tensors, sweeps: int, **flags) -> DataFrame:
+    """Sweeps from the counting matrices: the values of the model at the entries. Final weights and columns give the same values."""
+    x = _terms(t)
+    k = cpd.cp_als(x, 2, sweeps=sweeps, tolerance=0.0, start=t.factors(x, 2), **flags)
+    return cpd.kruskal_values(x, k).withColumn("v", F.round("v", 3))
 
 
-@query("cp_als")
-def _cp_als(t: Tensors) -> DataFrame:
-    x = _terms(t)
-    k = cpd.cp_als(x, 3, sweeps=2)
-    return cpd.kruskal_values(x, k)
+query("cp_als")(lambda t: _als(t, 2))
+SQL["cp_als"] = _als_sql(2, two_norm=False)
+query("cp_als_two_norm")(lambda t: _als(t, 2, two_norm=True))
+SQL["cp_als_two_norm"] = _als_sql(2)
+query("cp_als_by_length")(lambda t: _als(t, 2, two_norm=True, by_length=True))
+SQL["cp_als_by_length"] = _als_sql(2, order=(0, 2, 1))  # suppliers, months, lines
 
 
 # Files

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tensorloom.functions import running
 from tensorloom.functions.running import runs
 from tensorloom.operators import contract as ct
 from tensorloom.operators import cpd, dense, elementwise, layout, products
@@ -118,7 +119,8 @@ def greedy(counts, weight, fill):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_runs_against_the_greedy_rule(spark, seed):
+def test_runs_against_the_greedy_rule(spark, seed, monkeypatch):
+    monkeypatch.setattr(running, "BLOCK_KEYS", (40, 1 << 20, 15)[seed - 1])  # blocks that runs and groups span
     rng = np.random.default_rng(seed)
     groups = [{int(k): int(n) for k, n in zip(rng.choice(900, size, replace=False), rng.integers(1, (40, 4, 3000)[seed - 1], size))} for size in (1, 30, 250)]
     rows = [(g, k, n) for g, counts in enumerate(groups) for k, n in counts.items()]
