@@ -91,10 +91,23 @@ class QGramIndex:
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.codes, first, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first, self.owner, self.place = first, owner[order], place[order]
-        self.shift = np.uint64(64 - max(16, int(len(self.codes) * 64).bit_length()))
-        self.filter = np.zeros(1 << int(64 - self.shift), bool)
-        self.filter[self.codes >> self.shift] = True
+        # What a task holds for each q-gram: its code, four short numbers, and some 32 to 64 bits of filter.
+        self.first, self.counts = first.astype(np.int32), self.counts.astype(np.int32)
+        self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int32)
+        self.shift = np.uint64(64 - max(16, int(len(self.codes) * 32).bit_length()))
+        bits = np.zeros(1 << int(64 - self.shift), bool)
+        bits[self.codes >> self.shift] = True
+        self.filter = np.packbits(bits, bitorder="little")
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the arrays that a task holds, without the items themselves."""
+        return sum(a.nbytes for a in (self.codes, self.first, self.counts, self.owner, self.place, self.filter))
+
+    def _maybe(self, codes: np.ndarray) -> np.ndarray:
+        """The places of the codes that may be those of items."""
+        bit = codes >> self.shift
+        return np.flatnonzero(self.filter[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
 
     def search(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each normalised text, (id, start, end, edits) of regions within an item's budget."""
@@ -121,16 +134,16 @@ class QGramIndex:
         gap = b"\n" * self.q  # in no item
         data = gap.join(p for _, _, p in pieces) + gap
         codes = gram_hashes(data, self.q)
-        at = np.flatnonzero(self.filter[codes >> self.shift]) if len(self.codes) else np.zeros(0, np.int64)
+        at = self._maybe(codes) if len(self.codes) else np.zeros(0, np.int64)
         k = np.minimum(np.searchsorted(self.codes, codes[at]), max(0, len(self.codes) - 1))
         hit = self.codes[k] == codes[at] if len(at) else np.zeros(0, bool)
         at, k = at[hit], k[hit]
         if not len(at):
             return
         begins = offsets_of([len(p) + len(gap) for _, _, p in pieces])
-        n = self.counts[k]
-        posting = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n)
-        item, place, at = self.owner[posting], self.place[posting], np.repeat(at, n)
+        n = self.counts[k].astype(np.int64)
+        posting = np.repeat(self.first[k].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n)
+        item, place, at = self.owner[posting].astype(np.int64), self.place[posting], np.repeat(at, n)
         piece = np.searchsorted(begins, at, side="right") - 1
         # Overlapping bands of diagonals: any range as wide as the budget allows lies in one.
         width = 2 * self.budget[item] + 1
@@ -192,7 +205,7 @@ def index_blocks(benchmark: DataFrame, q: int, edit_share: float, block_bytes: i
 
 
 def contaminated_regions(
-    docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_share: float = 0.08, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_share: float = 0.08, block_bytes: int = 3 << 19, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Regions of whole texts that hold a benchmark item with at most ``edit_share`` edits.
 
@@ -200,7 +213,8 @@ def contaminated_regions(
     spaces). An item of n characters within k edits of a region shares n + 1 - q - k q of its
     q-grams with it, on diagonals at most k apart: q-grams are counted in overlapping bands of
     diagonals, bands with enough are kept and verified by a banded alignment. Items go to the
-    tasks in blocks of bounded size, one block after another, and each block meets all texts. An
+    tasks in blocks of ``block_bytes`` of text, which a task holds in some 30 times that, one block
+    after another, and each block meets all texts: a benchmark of 100 MB takes 50 passes over them. An
     item of over 400 characters is found by overlapping passages of that length, each with its own
     budget, so that a text which quotes 600 of its characters is found too; a region then spans
     the passages found side by side, and its edits are theirs together.
@@ -235,8 +249,13 @@ def contaminated_regions(
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_share: float = 0.08, block_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
-    """docs without the rows that contaminated_regions would report; all columns, of any name, no shuffle."""
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_share: float = 0.08, block_bytes: int = 3 << 19, text_col: str = "text") -> DataFrame:
+    """docs without the rows that contaminated_regions would report; all columns, of any name, no shuffle.
+
+    A null or empty text has no region, so its row stays; very long texts are searched whole, in
+    overlapping parts. Repeated rows stay or go together, and ids play no part. Without items, or
+    without docs, the table comes back as it is.
+    """
     number = docs.columns.index(text_col)
 
     def keeper(index: QGramIndex):

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tensorloom.llm.decontaminate import banded_distance, contaminated_regions, normal, without_contaminated
+from tensorloom.llm.decontaminate import QGramIndex, banded_distance, contaminated_regions, gram_hashes, normal, without_contaminated
 
 
 def semi_global(item, text):
@@ -92,3 +92,25 @@ def test_short_items_and_parts_of_long_ones(spark):
         assert (by[1, 1].start, by[1, 1].end) == (3, 13) and (by[3, 2].start, by[3, 2].end) == (0, 2)
         assert by[5, 4].end - by[5, 4].start >= 400 and by[9, 4].edits > 0
         assert sorted(r.doc_id for r in without_contaminated(df, bench, block_bytes=block).collect()) == [4, 6, 7, 8]
+
+
+def test_a_full_block_stays_under_100_mb():
+    """A block of the default size, of items whose passages overlap by half, which makes the most q-grams."""
+    import inspect
+
+    size = inspect.signature(contaminated_regions).parameters["block_bytes"].default
+    rng = np.random.default_rng(1)
+    items = [bytes(rng.integers(97, 123, 4000, dtype=np.uint8)) for _ in range(size // 4000 + 1)]
+    index = QGramIndex(list(range(len(items))), items, 10, 0.08)
+    assert index.nbytes < 100e6
+    hits = index.search([b"xyz " + items[7][100:700] + b" zyx", items[3], b"of nothing at all"])
+    assert [{h[0] for h in found} for found in hits] == [{7}, {3}, set()]
+
+
+def test_the_packed_filter_loses_no_gram():
+    items = [b"some words that make an item of the benchmark", b"and another one of those"]
+    index = QGramIndex([1, 2], items, 10, 0.08)
+    codes = np.concatenate([gram_hashes(x, 10) for x in items])
+    assert list(index._maybe(codes)) == list(range(len(codes)))
+    others = np.random.default_rng(2).integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    assert len(index._maybe(others)) < 5000
