@@ -27,7 +27,7 @@ def _lines(keyed: DataFrame, least_chars: int, short: bool) -> DataFrame:
 
 
 #: A segment that so many lines share is cut a second time; one in HOT_SAMPLE lines is looked at to find it.
-HOT_LINES, HOT_SAMPLE = 1024, 16
+HOT_LINES, HOT_SAMPLE = 1024, 64
 #: Segments that are cut a second time at most, those with the most lines; and the characters of a second cut.
 HOT_KEYS, HOT_CHARS = 1 << 16, 6
 
