@@ -181,7 +181,8 @@ class ByteBPE:
 def bpe_roundtrip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text to ids and decode them again.
 
-    The pattern splits a text; a null text counts as empty and has no ids. Each row stands alone,
+    The pattern splits a text; a null text counts as empty and has no ids, and a very long one is one
+    unit of a task, whole. Each row stands alone,
     so repeated rows, ties and further columns change nothing; an empty table gives an empty one.
 
     Returns doc_id, n_tokens, ids_sha256 (of the ids joined by commas), decoded_sha256 and, if

@@ -310,7 +310,11 @@ def label_texts(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_
 
 
 def with_known_language(docs: DataFrame, field: WordField, least_score: float = 0.35, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text has no letter or whose best language scores less; all columns, no shuffle."""
+    """docs without the rows whose text has no letter or whose best language scores less; all columns, no shuffle.
+
+    A null text has no letter. Rows stand alone, so repeated rows and ties change nothing; a very long
+    text is labelled whole. An empty table gives an empty one.
+    """
     number = docs.columns.index(text_col)
 
     def run(batches):

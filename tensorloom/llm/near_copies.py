@@ -186,7 +186,8 @@ def one_of_each_similar(docs: DataFrame, shingle: int = 5, percent: int = 80, id
 
     A group is what pairs of at least ``percent`` Jaccard similarity of their sets of word shingles
     link, directly or through others. Texts without a word are one group. Rows without an id come
-    after all others. Of rows equal in id and text, any one stays. An empty table gives an empty result.
+    after all others. Of rows equal in id and text, any one stays. A null text counts as empty; a
+    very long one is sketched whole by one task. An empty table gives an empty result.
     """
     keyed = marked_rows(docs, id_col, text_col)
     rows = stored(_sketches(keyed, shingle))

@@ -124,7 +124,7 @@ def secret_spans(
     letters of one case alone, are labelled neither way). Ordinary ones, one model: runs of six or
     more signs in some ``ordinary_docs`` documents, those whose ids hash lowest, but for what a
     fixed pattern matches. A string of ``least_length`` or more signs that overlaps no fixed span
-    and has a digit or letters of both cases becomes a span of kind "random" if its mean
+    and has a digit and a letter, or letters of both cases, becomes a span of kind "random" if its mean
     log-likelihood ratio for each transition, under the model that suits it best, is
     ``least_ratio`` nats or more.
 
