@@ -28,8 +28,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier already go; n_chars follows the text."""
-    out = line_dedup(docs)
+    """Lines that stand earlier already go, short ones if they are exact repeats; n_chars follows the text."""
+    out = line_dedup(docs, short=True)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
