@@ -74,7 +74,9 @@ def cp_als(x: SparseTensor, rank: int, sweeps: int = 10, tolerance: float = 1e-5
     for sweep in range(sweeps):
         for mode in order:
             v = np.prod([grams[m] for m in range(x.order) if m != mode], axis=0)
-            raw = _stored(mttkrp(x, factors, mode))
+            raw = mttkrp(x, factors, mode)
+            if mode == order[-1]:
+                raw = _stored(raw)  # the fit needs it as well
             solved = dense.times(raw, dense.solve_gram(v))
             full = spark.range(x.dims[mode]).select(F.col("id").alias("row")).join(solved.df, "row", "left")
             full = _stored(Matrix(full.na.fill(0.0), x.dims[mode], rank))
