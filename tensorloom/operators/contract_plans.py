@@ -101,11 +101,11 @@ def contract_grid(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_mo
     few = _small(grids, keys, len(grids.columns))
     # Tasks are sized by products, which Spark can't know from bytes.
     least = int(x.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    light = s.left.join(few.select(*s.keys), s.keys, "left_anti").repartition(least, *s.keys).join(s.right.repartition(least, *s.keys), s.keys)
+    light = [side.join(few.select(*s.keys), s.keys, "left_anti").repartition(least, *s.keys) for side in (s.left, s.right)]
     cell, tasks = [*s.keys, "gx", "gy"], max(least, products // max(limit, 1 << 20))
     heavy = [side.repartition(tasks, *cell) for side in _cells(s, few)]
     joined = heavy[0].join(heavy[1], cell)
-    z = s.summed(light.select(*s.out, _product()).unionByName(joined.select(*s.out, _product())))
+    z = s.summed(light[0].join(light[1], s.keys).select(*s.out, _product()).unionByName(joined.select(*s.out, _product())))
     return z.drop_zeros() if drop_zeros else z
 
 
