@@ -285,7 +285,8 @@ def split(x: SparseTensor, limits: Sequence[int]) -> tuple[SparseTensor, DataFra
             found = counts.withColumn("run", F.col("group"))
         found = stored(found)
         if limit:
-            df = stored(df.join(found.select(F.col("group").alias("part"), F.col("i").alias(i), "run"), ["part", i]).select(*x.coords, "v", F.col("run").alias("part")))
+            df = df.join(found.select(F.col("group").alias("part"), F.col("i").alias(i), "run"), ["part", i]).select(*x.coords, "v", F.col("run").alias("part"))
+            df = stored(df) if m + 1 < len(limits) else df  # the last cut is read lazily, if at all
         own = found.groupBy("group", F.col("run").alias("part")).agg(F.sum("n").alias("n"), F.min("i").alias(f"low{m}"), (F.max("i") + 1).alias(f"high{m}"))
         if bounds is None:
             bounds = own.drop("group")
