@@ -128,17 +128,54 @@ def sort_bucket(data: np.ndarray, sample: CoverSample, at: np.ndarray) -> np.nda
     return np.argsort(order, kind="stable")
 
 
-def repeated_starts(data: bytes, starts: np.ndarray, length: int, bucket: np.ndarray | None = None) -> np.ndarray:
+def _shared(word: np.ndarray, a: np.ndarray, b: np.ndarray, known: int, limit: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at a and b share, ``known`` at least and ``limit`` at most."""
+    out = np.full(len(a), known)
+    live = np.arange(len(a))
+    while len(live):
+        differ = word[a[live] + out[live]] ^ word[b[live] + out[live]]
+        lowest = differ & (~differ + np.uint64(1))
+        out[live] += np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64)
+        live = live[(differ == 0) & (out[live] < limit[live])]
+    return np.minimum(out, limit)
+
+
+def _deep_neighbours(order: np.ndarray, same: np.ndarray, deep: np.ndarray, starts: np.ndarray, end: np.ndarray, raw: bytes, length: int):
+    """Neighbours among the suffixes that share ``length`` bytes with a deep one, in the order of all bytes up to their ends.
+
+    same: the places in ``order`` whose suffix shares ``length`` bytes with the next one.
+    """
+    run = np.cumsum(np.concatenate(([True], np.diff(same) > 1))) - 1
+    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    pairs = np.diff(np.append(first, len(run)))
+    asked = np.bincount(run, deep[order[same]] | deep[order[same + 1]]) > 0
+    two = same[first[asked & (pairs == 1)]]
+    left, right = [order[two]], [order[two + 1]]
+    for k in np.flatnonzero(asked & (pairs > 1)).tolist():
+        members = order[same[first[k]] : same[first[k]] + pairs[k] + 1]
+        rest = [raw[s + length : e] for s, e in zip(starts[members].tolist(), end[members].tolist(), strict=True)]
+        members = members[sorted(range(len(rest)), key=rest.__getitem__)]
+        left.append(members[:-1])
+        right.append(members[1:])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def repeated_starts(data: bytes, starts: np.ndarray, length: int, bucket: np.ndarray | None = None, deep: np.ndarray | None = None, end: np.ndarray | None = None):
     """Whether the ``length`` bytes at each start also stand at another start.
 
     The cover sample of the whole block is ranked once; then one bucket of suffixes at a time is
     sorted, and neighbours in its order are compared byte by byte. Starts of different buckets
     never hold equal bytes, so a bucket needs no other.
+
+    With ``deep`` (a flag for each start) and ``end`` (where each suffix ends), suffixes that tie
+    with a deep one are ordered by all their bytes, and a second array says how many bytes each of
+    them shares with a neighbour in that order (0 for the others).
     """
     size = len(data)
     padded = np.frombuffer(data + b"\0" * (length + 4 * PERIOD + 16), np.uint8)
     sample = CoverSample(padded, size, length)
     out = np.zeros(len(starts), bool)
+    reach = np.zeros(len(starts), np.int64)
     bucket = np.zeros(len(starts), np.int64) if bucket is None else bucket
     by = np.argsort(bucket, kind="stable")
     raw = padded.tobytes()
@@ -153,4 +190,10 @@ def repeated_starts(data: bytes, starts: np.ndarray, length: int, bucket: np.nda
             same = same[word[a[same] + k] == word[b[same] + k]]
         out[ordered[same]] = True
         out[ordered[same + 1]] = True
-    return out
+        if deep is not None and len(same):
+            left, right = _deep_neighbours(ordered, same, deep, starts, end, raw, length)
+            limit = np.minimum(end[left] - starts[left], end[right] - starts[right])
+            common = _shared(word, starts[left], starts[right], length, limit)
+            np.maximum.at(reach, left, common)
+            np.maximum.at(reach, right, common)
+    return out if deep is None else (out, reach)

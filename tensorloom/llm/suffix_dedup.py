@@ -22,17 +22,17 @@ def byte_symbols():
 
 
 def _contexts(asked: DataFrame, length: int) -> DataFrame:
-    """(anchor, kind, copies, left, count, span): the bytes that each listed anchor's windows span, and how many of them stand before it."""
+    """(anchor, kind, second, left, count, span): the bytes that each listed anchor's windows span, and how many of them stand before it."""
 
     def run(batches):
         for batch in batches:
-            for text, asks in winnow.lists_of(batch, ["place", "anchor", "kind", "copies"]):
+            for text, asks in winnow.lists_of(batch, ["place", "anchor", "kind", "second"]):
                 pos, left, count = winnow.unpack(asks["place"])
                 spans = [text[s : s + c - 1 + length] for s, c in zip((pos - left).tolist(), count.tolist(), strict=True)]
-                cols = [*(pa.array(asks[c]) for c in ("anchor", "kind", "copies")), pa.array(left.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(spans, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "kind", "copies", "left", "count", "span"])
+                cols = [*(pa.array(asks[c]) for c in ("anchor", "kind", "second")), pa.array(left.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(spans, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "kind", "second", "left", "count", "span"])
 
-    return asked.mapInArrow(run, "anchor long, kind long, copies long, left int, count int, span binary")
+    return asked.mapInArrow(run, "anchor long, kind long, second long, left int, count int, span binary")
 
 
 #: Windows that start in one stretch of so many places before an anchor share the rest of their bytes.
@@ -40,7 +40,7 @@ STRETCH = 16
 
 
 def _cores(asked: DataFrame, length: int) -> DataFrame:
-    """(doc, body, place, anchor, kind, copies): each listed anchor's windows by stretch of starts, each under the hash of what a stretch's windows share.
+    """(doc, body, place, anchor, kind, second): each listed anchor's windows by stretch of starts, each under the hash of what a stretch's windows share.
 
     The stretches lie at the same places before every copy of an anchor, so equal windows come
     under equal hashes.
@@ -49,7 +49,7 @@ def _cores(asked: DataFrame, length: int) -> DataFrame:
     def run(batches):
         symbols = byte_symbols()
         for batch in batches:
-            for k, (text, asks) in enumerate(winnow.lists_of(batch, ["place", "anchor", "kind", "copies"])):
+            for k, (text, asks) in enumerate(winnow.lists_of(batch, ["place", "anchor", "kind", "second"])):
                 pos, left, count = winnow.unpack(asks["place"])
                 least = left - count + 1
                 parts = left // STRETCH - least // STRETCH + 1
@@ -63,17 +63,18 @@ def _cores(asked: DataFrame, length: int) -> DataFrame:
                 core = winnow.Rolling(symbols([text[begin:end]])[0]).of(first - begin, first - begin + length - STRETCH + 1)
                 key = winnow.mix(core ^ winnow.mix(asks["anchor"][owner].view(np.uint64) + stretch.astype(np.uint64)))
                 take = pa.array(np.full(len(owner), k))
-                cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(winnow.pack(at, high, high - low + 1)), pa.array(key.view(np.int64)), pa.array(asks["kind"][owner]), pa.array(asks["copies"][owner])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "body", "place", "anchor", "kind", "copies"])
+                cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(winnow.pack(at, high, high - low + 1)), pa.array(key.view(np.int64)), pa.array(asks["kind"][owner]), pa.array(asks["second"][owner])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "body", "place", "anchor", "kind", "second"])
 
-    return asked.mapInArrow(run, "doc long, body long, place long, anchor long, kind long, copies long")
+    return asked.mapInArrow(run, "doc long, body long, place long, anchor long, kind long, second long")
 
 
 def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) -> DataFrame:
     """(kind, start, stop): the runs of bytes, by place from the anchor, of each context's windows that stand elsewhere too.
 
-    A window does if a neighbour in the order of suffixes has its bytes, or if its context stands
-    for several copies.
+    A window does if a neighbour in the order of suffixes has its bytes. Of a context that occurs
+    again there is a ``second`` copy, which is one suffix: it is sorted to its last byte and shares
+    with its neighbour what all windows of the context hold, so they need no suffix of their own.
 
     Contexts of an anchor come together. Whole anchors are gathered to blocks of some ``block``
     suffixes (and 8 bytes for each), for which the cover sample is ranked, and sorted in buckets
@@ -82,7 +83,9 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) ->
 
     def finish(parts: list[pa.RecordBatch]):
         data = pa.Table.from_batches(parts).combine_chunks()
-        count = data.column("count").to_numpy().astype(np.int64)
+        windows = data.column("count").to_numpy().astype(np.int64)
+        second = data.column("second").to_numpy() > 0
+        count = np.where(second, 1, windows)
         spans = data.column("span").to_pylist()
         base = offsets_of([len(s) for s in spans])[:-1]
         owner = np.repeat(np.arange(len(count)), count)
@@ -92,7 +95,14 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) ->
         # Buckets end where an anchor does.
         suffixes = np.bincount(group, count).astype(np.int64)
         own_bucket = (offsets_of(suffixes)[:-1] // bucket)[group][owner]
-        again = repeated_starts(b"".join(spans), base[owner] + step, length, own_bucket) | (data.column("copies").to_numpy() > 1)[owner]
+        end = (base + windows - 1 + length)[owner]
+        again, reach = repeated_starts(b"".join(spans), base[owner] + step, length, own_bucket, second[owner], end)
+        # A suffix that shares more than one window with a neighbour marks the windows after its own too.
+        more = np.flatnonzero((reach > length) & ~second[owner])
+        depth = np.zeros(len(owner) + 1, np.int64)
+        np.add.at(depth, more, 1)
+        np.add.at(depth, more + reach[more] - length + 1, -1)
+        again = (again | (np.cumsum(depth[:-1]) > 0)) & ~second[owner]
         edge = np.concatenate(([True], (owner[1:] != owner[:-1]) | (again[1:] != again[:-1])))
         first = np.flatnonzero(edge)
         last = np.append(first[1:], len(again)) - 1
@@ -105,7 +115,8 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) ->
         held, size, held_bytes = [], 0, 0
         for batch in batches:
             anchor = batch.column(0).to_numpy()
-            count = batch.column(4).to_numpy().astype(np.int64)
+            windows = batch.column(4).to_numpy().astype(np.int64)
+            count = np.where(batch.column(2).to_numpy() > 0, 1, windows)
             begin = 0
             if not len(anchor):
                 continue
@@ -115,7 +126,7 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int, bucket: int) ->
                     held, size, held_bytes = [], 0, 0
                 held.append(batch.slice(begin, cut - begin))
                 size += int(count[begin:cut].sum())
-                held_bytes += int(count[begin:cut].sum()) + (length - 1) * (cut - begin)
+                held_bytes += int(windows[begin:cut].sum()) + (length - 1) * (cut - begin)
                 begin = cut
         if size:
             yield finish(held)
@@ -139,13 +150,14 @@ def suffix_dedup(
 
     Suffixes that can't repeat are set aside first: equal strings have equal winnowed anchors at
     equal offsets, so a suffix belongs to the bucket of its anchor, and only anchors that occur
-    twice are looked at. An anchor's windows span its context. One copy of each different context
-    goes to the suffix sort, with the number of copies that it stands for: blocks of whole anchors
-    are sorted one at a time, long ties by ranks of a difference-cover sample of the block, and
-    neighbours with ``length`` common bytes mark each other. What is marked in a context holds for
-    all its copies. Anchors with more than ``most_contexts`` different contexts are first told
-    apart by a longer part of their windows, and what is still as frequent is dealt out by the hash
-    of each string instead, so that no task holds an unbounded group.
+    twice are looked at. An anchor's windows span its context. Of each different context all
+    suffixes of the first copy go to the suffix sort, and of one that occurs again the longest
+    suffix of the last copy: blocks of whole anchors are sorted one at a time, long ties by ranks of
+    a difference-cover sample of the block, and neighbours mark each other where they have
+    ``length`` or more common bytes. What is marked in a context holds for all its copies. Anchors
+    with more than ``most_contexts`` different contexts are first told apart by a longer part of
+    their windows, and what is still as frequent is dealt out by the hash of each string instead,
+    so that no task holds an unbounded group.
 
     Strings never cross documents. Repeated rows are places of their own, so each repeats the
     other. A null text is empty. Very long texts are read whole by one task, in parts. Further
@@ -159,26 +171,28 @@ def suffix_dedup(
     shared = winnow.shared_anchors(anchors)
     place = F.struct("doc", "body", "place")
     kind = F.xxhash64("anchor", "context").alias("kind")
-    contexts = shared.groupBy("anchor", "context", "classes").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    asks = stored(contexts.select("first.*", "anchor", kind, "copies", "classes"))
+    contexts = shared.groupBy("anchor", "context", "classes").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
+    copy = [F.struct(f"{c}.*", F.lit(k).cast("long").alias("second")) for k, c in enumerate(("first", "last"))]
+    both = F.when(F.col("copies") > 1, F.array(*copy)).otherwise(F.array(copy[0]))
+    asks = stored(contexts.select("anchor", kind, "classes", F.explode(both).alias("copy")).select("copy.*", "anchor", "kind", "classes"))
 
     def listed(asked: DataFrame) -> DataFrame:
-        return winnow.with_lists(texts, winnow.per_doc(asked, "place", "anchor", "kind", "copies"), "inner")
+        return winnow.with_lists(texts, winnow.per_doc(asked, "place", "anchor", "kind", "second"), "inner")
 
     few, many = asks.where(F.col("classes") <= most_contexts), asks.where(F.col("classes") > most_contexts)
     if many.limit(1).count():
         # Frequent anchors are told apart by more of their windows' bytes.
         cores = stored(_cores(listed(many), length))
-        counts = stored(cores.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum("copies").alias("n")).where("n > 1").drop("n"))
-        asks = stored(cores.join(counts, "anchor").select("doc", "body", "place", "anchor", "kind", "copies", "classes"))
+        counts = stored(cores.groupBy("anchor").agg(F.sum(1 - F.col("second")).alias("classes"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        asks = stored(cores.join(counts, "anchor").select("doc", "body", "place", "anchor", "kind", "second", "classes"))
         few = few.unionByName(asks.where(F.col("classes") <= most_contexts))
         many = asks.where(F.col("classes") > most_contexts)
     found = _sorted_blocks(_contexts(listed(few), length), length, block, bucket)
     if many.limit(1).count():
-        windows = stored(winnow.windows_of(listed(many), byte_symbols, length, ("kind", "copies")))
+        windows = stored(winnow.windows_of(listed(many), byte_symbols, length, ("kind", "second")))
         key = ["anchor", "offset", "window"]
-        again = stored(windows.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").drop("n"))
-        found = found.unionByName(windows.join(again, key).select("kind", (-F.col("offset")).alias("start"), (length - F.col("offset")).alias("stop")))
+        again = stored(windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        found = found.unionByName(windows.where("second = 0").join(again, key).select("kind", (-F.col("offset")).alias("start"), (length - F.col("offset")).alias("stop")))
     found = stored(found)
     anchor_at = F.shiftright("place", 20)
     covered = shared.select("doc", "body", anchor_at.alias("pos"), kind).join(found, "kind").select("doc", "body", (F.col("pos") + F.col("start")).cast("int").alias("start"), (F.col("pos") + F.col("stop")).cast("int").alias("stop"))

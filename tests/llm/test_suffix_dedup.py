@@ -103,6 +103,48 @@ def test_the_sort_finds_all_that_goes(spark, monkeypatch):
     assert len(found) == 1 and found[0].count() > 0
 
 
+def test_a_second_copy_is_sorted_to_its_end():
+    """What a deep suffix shares with its neighbours, against comparing it with all."""
+    rng = random.Random(17)
+    for trial in range(40):
+        spans = [messy(rng, rng.randrange(20, 120)) for _ in range(6)]
+        spans += [rng.choice(spans) for _ in range(4)] + [s[: rng.randrange(20, len(s) + 1)] + bytes(rng.choices(b"ab", k=5)) for s in rng.choices(spans, k=4)]
+        length = 16
+        base = np.cumsum([0] + [len(s) for s in spans])
+        starts, end, deep = [], [], []
+        for k, s in enumerate(spans):
+            places = [0] if 6 <= k < 10 else range(len(s) - length + 1)
+            starts += [base[k] + p for p in places]
+            end += [base[k] + len(s) for _ in places]
+            deep += [6 <= k < 10 for _ in places]
+        data = b"".join(spans)
+        again, reach = repeated_starts(data, np.array(starts), length, None, np.array(deep), np.array(end))
+        suffixes = [data[s:e] for s, e in zip(starts, end)]
+        heads = Counter(s[:length] for s in suffixes)
+        assert again.tolist() == [heads[s[:length]] > 1 for s in suffixes]
+
+        def common(a, b):
+            return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        for k, s in enumerate(suffixes):
+            tied = [t for j, t in enumerate(suffixes) if j != k and t[:length] == s[:length]]
+            asked = deep[k] or any(d and t[:length] == s[:length] for d, t in zip(deep, suffixes))
+            assert reach[k] == (max((common(s, t) for t in tied), default=0) if asked else 0), trial
+
+
+def test_marks_come_from_bytes(spark):
+    """A second copy whose bytes differ from some place on marks what is equal before it, whatever its hash says."""
+    from tensorloom.llm.suffix_dedup import _sorted_blocks
+
+    rng = random.Random(18)
+    span = bytes(rng.choices(range(256), k=284))
+    other = span[:240] + bytes(255 - b for b in span[240:])
+    schema = "anchor long, kind long, second long, left int, count int, span binary"
+    for second, want in ((span, [(7, -30, 254)]), (other, [(7, -30, 210)]), (span[1:] + b"a", [(7, -29, 254)]), (other[::-1], [])):
+        contexts = spark.createDataFrame([(1, 7, 0, 30, 85, bytearray(span)), (1, 7, 1, 30, 85, bytearray(second))], schema)
+        assert [tuple(r) for r in _sorted_blocks(contexts, 200, 1000, 1000).collect()] == want
+
+
 def test_long_texts_are_hashed_in_parts(spark, monkeypatch):
     from tensorloom.llm import winnow
     from tensorloom.llm.suffix_dedup import byte_symbols
