@@ -22,13 +22,38 @@ def _shift_table() -> np.ndarray:
 SHIFT = _shift_table()
 
 
-def _dense_rank(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Rank of each pair of (first, second), equal pairs alike; first are ranks of up to 31 bits."""
-    key = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate(([False], key[order[1:]] != key[order[:-1]]))
+#: Whether a residue is in the cover.
+INSIDE = np.isin(np.arange(PERIOD), COVER)
+
+
+def _rank(key: np.ndarray) -> np.ndarray:
+    """How many keys are lower than each."""
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]]))) if len(key) else order
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(first, np.diff(np.append(first, len(key))))
+    return out
+
+
+def _tied(rank: np.ndarray) -> np.ndarray:
+    """Where a rank stands twice or more."""
+    return np.flatnonzero(np.bincount(rank)[rank] > 1) if len(rank) else np.zeros(0, np.int64)
+
+
+def _refined(rank: np.ndarray, second: np.ndarray, bits: int = 32) -> np.ndarray:
+    """Ranks of whole ties, told apart by a second number of so many bits."""
+    if not len(rank):
+        return rank
+    if int(rank.max()) >> (64 - bits):
+        raise ValueError(f"a block may have 2^{64 - bits} places at most")
+    key = (rank.astype(np.uint64) << np.uint64(bits)) | second.astype(np.uint64)
+    order = np.argsort(key)
+    key, old = key[order], rank[order]
+    at = np.arange(len(key))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), at, 0))
+    lead = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), at, 0))
     out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(new)
+    out[order] = old + first - lead
     return out
 
 
@@ -37,13 +62,11 @@ def _heads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     raw = data.tobytes()
     n = len(data) - 8
     word = np.ndarray((n,), ">u8", raw, 0, (1,))
-    high = word[at].astype(np.uint64)
-    rest = word[at + 8].astype(np.uint64) >> np.uint64(64 - 8 * (PERIOD - 8))
-    order = np.lexsort((rest, high))
-    new = np.concatenate(([False], (high[order[1:]] != high[order[:-1]]) | (rest[order[1:]] != rest[order[:-1]])))
-    out = np.empty(len(at), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+    rank = _rank(word[at].astype(np.uint64))
+    ties = _tied(rank)
+    bits = 8 * (PERIOD - 8)
+    rank[ties] = _refined(rank[ties], word[at[ties] + 8].astype(np.uint64) >> np.uint64(64 - bits), bits)
+    return rank
 
 
 class CoverSample:
@@ -52,15 +75,16 @@ class CoverSample:
     def __init__(self, data: np.ndarray, size: int, depth: int):
         """data: bytes of the text and padding after it; size: bytes of the text."""
         places = np.arange(size + PERIOD)
-        places = places[np.isin(places % PERIOD, COVER)]
+        places = places[INSIDE[places % PERIOD]]
         rank = _heads(data, places)
         number = np.zeros(size + 2 * PERIOD, np.int64)
         number[places] = np.arange(len(places))
         known = PERIOD
         while known < depth:  # a sampled place plus a multiple of the period is sampled too
-            ahead = places + known
+            ties = _tied(rank)
+            ahead = places[ties] + known
             after = np.where(ahead < size + PERIOD, rank[number[np.minimum(ahead, size + 2 * PERIOD - 1)]] + 1, 0)
-            rank = _dense_rank(rank, after)
+            rank[ties] = _refined(rank[ties], after)
             known *= 2
         self.rank = np.zeros(size + 2 * PERIOD, np.int64)
         self.rank[places] = rank
@@ -77,15 +101,11 @@ def sort_bucket(data: np.ndarray, sample: CoverSample, at: np.ndarray) -> np.nda
     order = _heads(data, at)
     live = np.arange(len(at))
     for _ in range(PERIOD + 1):
-        group = order[live]
-        by = np.argsort(group, kind="stable")
-        live, group = live[by], group[by]
-        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        sizes = np.diff(np.append(start, len(live)))
-        tied = np.repeat(sizes > 1, sizes)
-        live, group = live[tied], group[tied]
+        live = live[_tied(order[live])]
         if not len(live):
             break
+        live = live[np.argsort(order[live])]
+        group = order[live]
         start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         sizes = np.diff(np.append(start, len(live)))
         tie = np.repeat(np.arange(len(start)), sizes)
@@ -96,8 +116,8 @@ def sort_bucket(data: np.ndarray, sample: CoverSample, at: np.ndarray) -> np.nda
         # Pivots in order: twice their rank among the tie's pivots, plus one.
         lead = np.flatnonzero(own)
         base = sample.rank[place[lead] + SHIFT[pivot[lead], pivot[lead]]]
-        lead = lead[np.lexsort((base, tie[lead]))]
-        base = sample.rank[place[lead] + SHIFT[pivot[lead], pivot[lead]]]
+        by = np.argsort((tie[lead] << 32) | base)
+        lead, base = lead[by], base[by]
         step = np.concatenate(([True], (base[1:] != base[:-1]) | (tie[lead][1:] != tie[lead][:-1])))
         count = np.cumsum(step)
         first = np.concatenate(([True], tie[lead][1:] != tie[lead][:-1]))
@@ -105,27 +125,25 @@ def sort_bucket(data: np.ndarray, sample: CoverSample, at: np.ndarray) -> np.nda
         sub = np.zeros(len(live), np.int64)
         sub[lead] = 2 * within + 1
         # Others: between pivots, or level with one (then the pivot's own number).
-        for shift in range(PERIOD):
-            rest = np.flatnonzero(~own & (SHIFT[residue, pivot] == shift))
-            if not len(rest):
-                continue
-            heads = lead[np.isin((pivot[lead] + shift) % PERIOD, COVER)]
-            heads = heads[np.isin(tie[heads], tie[rest])]
-            key = (tie[heads].astype(np.int64) << 32) | sample.rank[place[heads] + shift]
-            want = (tie[rest].astype(np.int64) << 32) | sample.rank[place[rest] + shift]
+        others = np.flatnonzero(~own)
+        shifts = SHIFT[residue[others], pivot[others]]
+        for shift in np.unique(shifts).tolist():
+            rest = others[shifts == shift]
+            asked = np.zeros(len(start), bool)
+            asked[tie[rest]] = True
+            heads = lead[INSIDE[(pivot[lead] + shift) % PERIOD] & asked[tie[lead]]]
+            key = (tie[heads] << 32) | sample.rank[place[heads] + shift]
+            want = (tie[rest] << 32) | sample.rank[place[rest] + shift]
             low, high = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
             level = high > low
             here = np.minimum(low, len(heads) - 1)
             left = np.maximum(low - 1, 0)
             after = np.where((low > 0) & (tie[heads[left]] == tie[rest]), sub[heads[left]] + 1, 0)
             sub[rest] = np.where(level, sub[heads[here]], after)
-        new = _dense_rank(group, sub)
+        order[live] = _refined(group, sub)
         # What is level with a pivot is ordered; only gaps (even numbers) hold ties still.
-        full = np.zeros(len(at), np.int64)
-        full[live] = new + 1
-        order = _dense_rank(order, full)
         live = live[sub % 2 == 0]
-    return np.argsort(order, kind="stable")
+    return np.argsort(order)
 
 
 def _shared(word: np.ndarray, a: np.ndarray, b: np.ndarray, known: int, limit: np.ndarray) -> np.ndarray:
