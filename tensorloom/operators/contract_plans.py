@@ -285,13 +285,14 @@ def choose_plan(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_mode
 
     Tiles if a cell of the result gets ``dense`` products or more on average and coordinates can be
     packed; a grid if one key makes more than ``limit`` products; aligned if y is small enough to
-    go everywhere.
+    go everywhere, or if its copies, one for each entry of x with their key at most, are no more than
+    the entries of x: then dealing x and the copies moves less than merging partial sums, at any size.
     """
     s = _Sides(x, y, x_modes, y_modes)
     n = s.left.groupBy(*s.keys).agg(F.count("*").alias("n"))
     m = s.right.groupBy(*s.keys).agg(F.count("*").alias("m"))
-    each = n.join(m, s.keys, "full").agg(F.sum(F.col("n") * F.col("m")), F.max(F.col("n") * F.col("m")), F.sum("m")).first()
-    products, largest, rows = (v or 0 for v in each)
+    each = n.join(m, s.keys, "full").agg(F.sum(F.col("n") * F.col("m")), F.max(F.col("n") * F.col("m")), F.sum("m"), F.sum("n")).first()
+    products, largest, rows, entries = (v or 0 for v in each)
     free = [x.dims[i] for i in range(x.order) if i not in x_modes], [y.dims[i] for i in range(y.order) if i not in y_modes]
     keys = [max(x.dims[a], y.dims[b]) for a, b in zip(x_modes, y_modes, strict=True)]
     packs = all(sum(map(bits.width, dims)) <= 63 for dims in (*free, keys))
@@ -300,7 +301,7 @@ def choose_plan(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_mode
         return "tiles"
     if largest > limit:
         return "grid"
-    if s.fx and 8 * rows * len(s.right.columns) <= BROADCAST_BYTES:
+    if s.fx and (8 * rows * len(s.right.columns) <= BROADCAST_BYTES or products <= entries):
         return "aligned"
     return "join"
 

@@ -137,6 +137,16 @@ def test_choice_of_plan(spark):
     assert plans.choose_plan(huge, huge, (0,), (0,)) == "aligned"
 
 
+def test_choice_of_plan_does_not_turn_with_the_size_of_the_tables(spark, monkeypatch):
+    """Every entry of x meets one of y: x is dealt once, whether or not y fits a broadcast."""
+    x = SparseTensor(spark.range(4000).selectExpr("id div 4 i0", "id % 997 i1", "1.0D v"), 2, (1000, 1000))
+    y = SparseTensor(spark.range(1000).selectExpr("id i0", "id % 991 i1", "1.0D v"), 2, (1000, 1000))
+    monkeypatch.setattr(plans, "BROADCAST_BYTES", 100)
+    assert plans.choose_plan(x, y, (0,), (0,)) == "aligned"
+    many = SparseTensor(y.df.unionByName(y.df).unionByName(y.df), 2, (1000, 1000))
+    assert plans.choose_plan(x, many, (0,), (0,)) == "join"
+
+
 def test_rounds_keep_their_bound_and_go_on_where_they_were(spark, tmp_path):
     rng = np.random.default_rng(12)
     x, a = tensor(spark, rng, 600, (9, 40, 6))
