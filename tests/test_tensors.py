@@ -181,6 +181,20 @@ def test_orders_and_numbers(spark):
     assert [r.row for r in dense.identity(spark, 3).df.collect() if r[r.row + 1] == 1] == [0, 1, 2]
 
 
+def test_shuffled_elements_are_whole_and_mixed(spark):
+    """The query returns every entry; in the order of the operator i0 rises at about half of all steps."""
+    from tensorloom import workload
+
+    t = workload.Tensors(spark, "/root/testdata/sf0.001")
+    got = workload.queries()["shuffle_elements"](spark, t.sf)
+    assert got.columns == ["i0", "i1", "i2", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, t.c3().df.collect()))
+    rows = sorted(layout.row_numbers(layout.shuffle_elements(t.c3(), 5)).collect())
+    assert [r.n for r in rows] == list(range(len(rows)))
+    steps = np.diff([r.i0 for r in rows])
+    assert 0.45 < (steps > 0).sum() / (steps != 0).sum() < 0.55
+
+
 def test_cp_als_recovers_a_low_rank_tensor(spark):
     rng = np.random.default_rng(8)
     u = [rng.random((d, 2)) for d in (5, 4, 3)]
