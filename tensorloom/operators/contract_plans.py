@@ -87,8 +87,12 @@ def _chunked(rows: DataFrame, grids: DataFrame, keys: list[str], own: str, other
     return placed.select(*(c for c in rows.columns), chunk, copies)
 
 
+#: Products of heavy keys that one task makes, cell after cell.
+TASK_PRODUCTS = 1 << 27
+
+
 def contract_grid(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_modes: Sequence[int], limit: int = 1 << 24, drop_zeros: bool = False) -> SparseTensor:
-    """Contraction under skew: no task of the join makes more than ``limit`` products of one key.
+    """Contraction under skew: no cell of the join makes more than ``limit`` products of one key.
 
     Products are counted for each contract key from the key counts of both sides. Keys within the
     limit join as they are. A key over it is a grid of cells, a chunk of x by a chunk of y, of at
@@ -99,10 +103,10 @@ def contract_grid(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_mo
     grids = stored(_grids(s, limit))
     keys, products = grids.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()
     few = _small(grids, keys, len(grids.columns))
-    # Tasks are sized by products, which Spark can't know from bytes.
+    # Tasks are sized by products, which Spark can't know from bytes; each has many cells, so that their number stays small.
     least = int(x.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     light = [side.join(few.select(*s.keys), s.keys, "left_anti").repartition(least, *s.keys) for side in (s.left, s.right)]
-    cell, tasks = [*s.keys, "gx", "gy"], max(least, products // max(limit, 1 << 20))
+    cell, tasks = [*s.keys, "gx", "gy"], max(least, products // max(limit, TASK_PRODUCTS))
     heavy = [side.repartition(tasks, *cell) for side in _cells(s, few)]
     joined = heavy[0].join(heavy[1], cell)
     z = s.summed(light[0].join(light[1], s.keys).select(*s.out, _product()).unionByName(joined.select(*s.out, _product())))

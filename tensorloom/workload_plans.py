@@ -29,7 +29,7 @@ def _heavy(t: Tensors) -> tuple[SparseTensor, SparseTensor]:
 
 
 query("sptc_heavy_grid", f"SELECT line i0, m i1, SUM(a.v * b.v) v FROM (SELECT k, line, SUM(v) v FROM {_HEAVY} GROUP BY ALL) a JOIN (SELECT k, m, SUM(v) v FROM {_HEAVY} GROUP BY ALL) b USING (k) GROUP BY ALL")(
-    lambda t: plans.contract_grid(*_heavy(t), (0,), (0,), _LIMIT)
+    lambda t: plans.contract_grid(*(x.coalesce() for x in _heavy(t)), (0,), (0,), _LIMIT)
 )
 # The bound that the grid keeps: both chunks are near the root of the limit, so no cell makes more products.
 query("heavy_grid_cells", f"""SELECT k k0, n, n m, CAST(ceil(n / {int(_LIMIT**0.5)}.0) AS BIGINT) * CAST(ceil(n / {int(_LIMIT**0.5)}.0) AS BIGINT) cells, least(n, {int(_LIMIT**0.5)}) * least(n, {int(_LIMIT**0.5)}) most

@@ -98,6 +98,14 @@ def test_heavy_keys_are_dealt_without_numbering_a_key_in_one_task(spark):
     assert sorted(sizes)[1:] == [1024] * 19 and sum(sizes) == 20_000
 
 
+def test_tasks_of_the_grid_are_few(spark):
+    """20,000 products a key in cells of 100: cells grow with products, tasks don't."""
+    x = SparseTensor(spark.range(20_000, numPartitions=4).selectExpr("id % 3 i0", "id i1", "0L i2", "1.0D v"), 3)
+    y = SparseTensor(spark.range(1500, numPartitions=4).selectExpr("id % 3 i0", "id i1", "0L i2", "1.0D v"), 3)
+    plan = plan_of(plans.contract_grid(x, y, (0,), (0,), 100).df)
+    assert {int(n) for n in re.findall(r"hashpartitioning\(k0#\w+, gx#\w+, gy#\w+, (\d+)\)", plan)} == {4}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
