@@ -32,6 +32,8 @@ MAGIC = 0x5350
 FIRST = 64
 #: Entries in one task.
 ENTRIES = 1 << 20
+#: Bytes of one file of a tensor that is written as a folder of files: what one task appends.
+FILE_BYTES = 256 << 20
 #: Entries in one batch of a task, and in one piece of a file that is written.
 BATCH = 1 << 16
 
@@ -164,25 +166,46 @@ def read_bin(spark: SparkSession, path: str, header: bool = True, entries: int =
 def join_pieces(pieces: DataFrame, head: bytes, path: str) -> int:
     """Write head and then the bytes of pieces(section, seq, bytes), in this order, as one file; its size.
 
-    One task takes sorted pieces and appends each as it comes; it writes under another name first,
-    so that a task that is lost leaves nothing under ``path``. The folder must be one that all
-    executors share.
+    One task takes sorted pieces and appends each as it comes; see ``join_files``.
+    """
+    return join_files(pieces.withColumn("file", F.lit(0)), [(path, head)])
+
+
+def join_files(pieces: DataFrame, files: list[tuple[str, bytes]]) -> int:
+    """Write files (path, head), each its head and then the bytes of its pieces(file, section, seq, bytes) in order; the size of all.
+
+    One task for each file takes its sorted pieces and appends each as it comes; it writes under another
+    name first, so that a task that is lost leaves nothing under a path. The folder must be one that
+    all executors share.
     """
 
     def append(batches):
-        system, at = opened(path)
-        draft = f"{at}.{uuid.uuid4().hex}"
-        system.create_dir(os.path.dirname(at), recursive=True)
-        with system.open_output_stream(draft) as out:
-            for batch in batches:
-                for cell in batch.column(0):
-                    out.write(cell.as_buffer())
-            size = out.tell()
-        system.move(draft, at)
+        now, out, draft, at, size = None, None, "", "", 0
+
+        def ended():
+            nonlocal size
+            size += out.tell()
+            out.close()
+            system.move(draft, at)
+
+        for batch in batches:
+            for file, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if file != now:
+                    if out:
+                        ended()
+                    now = file
+                    system, at = opened(files[file][0])
+                    draft = f"{at}.{uuid.uuid4().hex}"
+                    system.create_dir(os.path.dirname(at), recursive=True)
+                    out = system.open_output_stream(draft)
+                out.write(cell.as_buffer())
+        if out:
+            ended()
         yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], ["size"])
 
-    first = pieces.sparkSession.createDataFrame([(-1, 0, head)], pieces.schema)
-    ordered = pieces.unionByName(first).repartition(1).sortWithinPartitions("section", "seq").select("bytes")
+    columns = ["file", "section", "seq", "bytes"]
+    heads = pieces.sparkSession.createDataFrame([(k, -1, 0, head) for k, (_, head) in enumerate(files)], "file int, section int, seq long, bytes binary")
+    ordered = pieces.select(*columns).unionByName(heads).repartitionById(len(files), "file").sortWithinPartitions("file", "section", "seq").select("file", "bytes")
     return sum(r["size"] for r in ordered.mapInArrow(append, "size long").collect())
 
 
@@ -203,21 +226,32 @@ def _encoded(rows: DataFrame, encoders: list[Callable[[pa.Array], bytes]], batch
     return rows.mapInArrow(encode, "section int, seq long, bytes binary")
 
 
-def write_bin(x: SparseTensor, path: str, header: bool = True, index_bytes: int = 8, value_bytes: int = 8) -> None:
-    """One binary file of the whole tensor, for tools that read such a file; parquet is the format for large tensors.
+def write_bin(x: SparseTensor, path: str, header: bool = True, index_bytes: int = 8, value_bytes: int = 8, file_bytes: int | None = None) -> None:
+    """One binary file of the whole tensor, or a folder of several of at most ``file_bytes`` each, for tools that read such files.
 
-    Tasks encode their entries in pieces, one for each mode and for values; ``join_pieces`` appends
-    them mode by mode, in the order of tasks.
+    Tasks encode their entries in pieces, one for each mode and for values; a task for each file
+    appends its pieces mode by mode, in the order of tasks. Each file has the head, the dimensions of the
+    tensor and its own count, as ``read_bin`` takes them.
     """
     if not header and (index_bytes, value_bytes) != (8, 8):
         raise ValueError("without a head indices and values have 8 bytes")
     if max(x.dims, default=0) > 1 << (8 * index_bytes - (index_bytes == 8)):
         raise ValueError(f"indices below {max(x.dims)} don't fit in {index_bytes} bytes")
     raw = lambda kind: lambda column: column.to_numpy(zero_copy_only=False).astype(kind).tobytes()
-    rows = stored(x.df.select(*x.coords, "v"))  # counted, and encoded once, from the same rows
+    # Written once: pieces are counted and joined from the same rows.
+    pieces = stored(_encoded(x.df.select(*x.coords, "v"), [raw(f"<u{index_bytes}")] * x.order + [raw(f"<f{value_bytes}")]))
+    sizes = pieces.where(F.col("section") == x.order).select("seq", (F.octet_length("bytes") / value_bytes).cast("long").alias("n")).orderBy("seq").collect()  # two numbers for each piece
+    counts, first = [0], []
+    for seq, n in sizes:
+        if file_bytes and counts[-1] and (counts[-1] + n) * (x.order * index_bytes + value_bytes) > file_bytes:
+            counts.append(0)
+            first.append(seq)
+        counts[-1] += n
     head = HEAD.pack(MAGIC, index_bytes, value_bytes) if header else b""
-    head += np.array([x.order, *x.dims, rows.count()], f"<u{index_bytes}").tobytes()
-    join_pieces(_encoded(rows, [raw(f"<u{index_bytes}")] * x.order + [raw(f"<f{value_bytes}")]), head, path)
+    heads = [head + np.array([x.order, *x.dims, n], f"<u{index_bytes}").tobytes() for n in counts]
+    paths = [path] if len(counts) == 1 else [f"{path}/{k:06d}.bin" for k in range(len(counts))]
+    file = sum(((F.col("seq") >= s).cast("int") for s in first), F.lit(0))
+    join_files(pieces.withColumn("file", file), list(zip(paths, heads, strict=True)))
 
 
 def _decimals(column: pa.Array) -> bytes:

@@ -10,6 +10,7 @@ from tensorloom.operators import contract_plans as plans
 from tensorloom.operators import dense, resident
 from tensorloom.plans.einsum import einsum
 from tensorloom.sources import files
+from tensorloom.sources.binary import FILE_BYTES
 from tensorloom.tensor import SparseTensor
 from tensorloom.workload import Tensors, query
 
@@ -78,22 +79,22 @@ query("mttkrp_alto_parts", _mttkrp_sql(0))(lambda t: blocks.mttkrp_alto(blocks.a
 query("mttkrp_blco_stream", _mttkrp_sql(1))(lambda t: blocks.mttkrp_blco(blocks.blco_packed(x := t.l3(), 18, 4096), t.factors(x, 8), 1, broadcast_bytes=0).df)
 
 
-# Single files, written and read by many tasks.
+# Binary files, written and read by many tasks; large tensors as folders of files.
 @query("io_bin", "SELECT * FROM l3")
 def _bin(t: Tensors) -> SparseTensor:
-    files.write_bin(t.l3(), path := f"{t.folder()}/t.bin")
+    files.write_bin(t.l3(), path := f"{t.folder()}/t.bin", file_bytes=FILE_BYTES)
     return files.read_bin(t.spark, path, entries=10_000)
 
 
 @query("io_bin_plain", "SELECT * FROM os")
 def _bin_plain(t: Tensors) -> SparseTensor:
-    files.write_bin(t.os(), path := f"{t.folder()}/t.bin", header=False)
+    files.write_bin(t.os(), path := f"{t.folder()}/t.bin", header=False, file_bytes=FILE_BYTES)
     return files.read_tensor(t.spark, path, header=False)
 
 
 @query("io_bin_narrow", "SELECT * FROM os")
 def _bin_narrow(t: Tensors) -> SparseTensor:
-    files.write_bin(t.os(), path := f"{t.folder()}/t.bin", index_bytes=4, value_bytes=4)
+    files.write_bin(t.os(), path := f"{t.folder()}/t.bin", index_bytes=4, value_bytes=4, file_bytes=FILE_BYTES)
     return files.read_bin(t.spark, path)
 
 

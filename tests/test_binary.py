@@ -92,3 +92,15 @@ def test_matrix_files_are_written_in_pieces(spark, tmp_path):
     assert (tmp_path / "m.out").read_text() == want
     cells = files.read_cells(spark, str(tmp_path / "m.out")).collect()
     assert len(cells) == 8002 and all(r.v == full[r.row, r.col] for r in cells)
+
+
+def test_large_tensors_are_folders_of_bounded_files(spark, tmp_path):
+    rows = [(k % 70, k % 11, k / 4) for k in range(4000)]
+    x = SparseTensor(spark.createDataFrame(rows, "i0 long, i1 long, v double").repartition(8), 2, (70, 11))
+    for header in (True, False):
+        files.write_bin(x, path := f"{tmp_path}/t{header}", header=header, file_bytes=24 * 1100)
+        found = sorted((tmp_path / f"t{header}").iterdir())
+        assert [p.suffix for p in found] == [".bin"] * 4
+        assert all(p.stat().st_size <= 24 * 1100 + 100 for p in found)
+        back = files.read_bin(spark, path, header=header)
+        assert back.dims == (70, 11) and sorted(map(tuple, back.df.collect())) == sorted(rows)
