@@ -38,8 +38,8 @@ def numbered(df: DataFrame, out: str) -> DataFrame:
     return _with_bases(rows, F.count("*"), out, F.col("_place")).drop("_place")
 
 
-#: Keys of one block, which a task holds as arrays.
-BLOCK_KEYS = 1 << 20
+#: Keys of one block, which a task holds as arrays: some 30 MB of Arrow with its copies.
+BLOCK_KEYS = 1 << 17
 
 
 def _next_starts(before: np.ndarray, fresh: np.ndarray, weight: int, fill: bool) -> np.ndarray:

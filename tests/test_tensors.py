@@ -181,6 +181,17 @@ def test_orders_and_numbers(spark):
     assert [r.row for r in dense.identity(spark, 3).df.collect() if r[r.row + 1] == 1] == [0, 1, 2]
 
 
+def test_runs_hold_blocks_of_bounded_memory(spark, monkeypatch):
+    """A task holds a block as arrays and copies of them: its keys are few, however many there are."""
+    seen = []
+    keep = running.stored
+    monkeypatch.setattr(running, "stored", lambda df: seen.append(out := keep(df)) or out)
+    counts = spark.range(400_000).selectExpr("0L `group`", "id i", "1L n")
+    assert runs(counts, "i", 1000, True).agg({"run": "max"}).first()[0] == 399
+    sizes = [r["count"] for r in seen[0].groupBy("_block").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * (1 << 17)
+
+
 def test_shuffled_elements_are_whole_and_mixed(spark):
     """The query returns every entry; in the order of the operator i0 rises at about half of all steps."""
     from tensorloom import workload
