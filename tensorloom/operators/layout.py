@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import bits
 from tensorloom.functions.running import numbered, running_total, runs
 from tensorloom.functions.storage import stored
-from tensorloom.operators.dense import Matrix, matched
+from tensorloom.operators.dense import BROADCAST_BYTES, Matrix, matched
 from tensorloom.tensor import SparseTensor
 
 
@@ -246,19 +246,27 @@ def alto_conflicts(x: SparseTensor, parts: int) -> DataFrame:
     return shared.select(F.col("mode").cast("long").alias("mode"), "i", "parts")
 
 
-#: A block's keys are numbered in so many ranges of their highest bits, each by itself.
+#: A block of up to so many entries is numbered in one task.
+LARGE_BLOCK = 1 << 20
+#: The keys of a larger one are numbered in so many ranges of their highest bits, each by itself.
 RANGE_BITS = 10
 
 
 def blco_blocks(x: SparseTensor, low_bits: int, largest: int) -> DataFrame:
     """(block, part, key, v): the high bits of the interleaved key name a block, which is cut into parts of ``largest`` at most."""
     keys = alto_keys(x).select(F.shiftrightunsigned("key", low_bits).alias("block"), F.col("key").bitwiseAND(F.lit((1 << low_bits) - 1)).alias("key"), "v")
-    keys = keys.withColumn("range", F.shiftrightunsigned("key", max(0, low_bits - RANGE_BITS)))
+    part = lambda at: F.floor(at / largest).cast("long").alias("part")
+    number = lambda *names: F.row_number().over(Window.partitionBy(*names).orderBy("key", "v")) - 1
+    large = stored(keys.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_BLOCK).select("block"))
+    if not (found := large.count()):
+        return keys.select("block", part(number("block")), "key", "v")
+    few = F.broadcast(large) if 16 * found <= BROADCAST_BYTES else large
+    small = keys.join(few, "block", "left_anti").select("block", part(number("block")), "key", "v")
+    keys = keys.join(few, "block").withColumn("range", F.shiftrightunsigned("key", max(0, low_bits - RANGE_BITS)))
     counts = keys.groupBy("block", "range").agg(F.count("*").alias("n"))
     bases = counts.select("block", "range", (F.sum("n").over(Window.partitionBy("block").orderBy("range")) - F.col("n")).alias("base"))
-    within = F.row_number().over(Window.partitionBy("block", "range").orderBy("key", "v")) - 1
-    at = F.col("base") + F.col("within")
-    return keys.withColumn("within", within).join(bases, ["block", "range"]).select("block", F.floor(at / largest).cast("long").alias("part"), "key", "v")
+    within = keys.withColumn("within", number("block", "range")).join(bases, ["block", "range"])
+    return small.unionByName(within.select("block", part(F.col("base") + F.col("within")), "key", "v"))
 
 
 def dist_rows(x: SparseTensor, parts: int) -> DataFrame:

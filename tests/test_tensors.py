@@ -181,6 +181,16 @@ def test_orders_and_numbers(spark):
     assert [r.row for r in dense.identity(spark, 3).df.collect() if r[r.row + 1] == 1] == [0, 1, 2]
 
 
+def test_only_large_blocks_are_numbered_in_ranges(spark, monkeypatch):
+    x, _ = random_tensor(spark, (64, 8, 4), 900, 21)
+    want = sorted(map(tuple, layout.blco_blocks(x, 6, 7).collect()))
+    plan = layout.blco_blocks(x, 6, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    for large in (0, 60):
+        monkeypatch.setattr(layout, "LARGE_BLOCK", large)
+        assert sorted(map(tuple, layout.blco_blocks(x, 6, 7).collect())) == want
+
+
 def test_runs_hold_blocks_of_bounded_memory(spark, monkeypatch):
     """A task holds a block as arrays and copies of them: its keys are few, however many there are."""
     seen = []
