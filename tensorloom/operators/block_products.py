@@ -47,6 +47,56 @@ def _slice_join(blocks: DataFrame, f: Matrix, slice_bits: int, name: str, broadc
     return blocks.join(F.broadcast(slices) if 8 * f.rows * (f.rank + 1) <= broadcast_bytes else slices, name, "left")
 
 
+#: Which rows of a stream are blocks; the others, 0 .., are slices and come before them.
+BLOCKS = 1 << 10
+
+
+def _streamed(blocks: DataFrame, slices: list[tuple[str, Matrix, int]], columns: list[str], broadcast_bytes: int) -> DataFrame:
+    """(deal, which, at, cells, columns): blocks behind the slices that they need, each slice once for all blocks of a deal.
+
+    Blocks that need the same slices are a deal, and lie next to each other in one task; so what
+    moves is each block once and a slice once for each deal, not once for each block.
+    """
+    names = [name for name, _, _ in slices]
+    # Few deals are cut by block, so that all tasks have some.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(1, -(-4 * tasks // max(1, blocks.select(*names).distinct().count())))
+    dealt = blocks.withColumn("piece", F.pmod(F.xxhash64(columns[0]), F.lit(pieces)))
+    key = F.struct(*names, "piece").alias("deal")
+    groups = dealt.select(*names, "piece").distinct()
+    empty = [F.lit(None).cast(dict(blocks.dtypes)[c]).alias(c) for c in columns]
+    rows = dealt.select(key, F.lit(BLOCKS).alias("which"), F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<double>").alias("cells"), *columns)
+    for k, (name, f, slice_bits) in enumerate(slices):
+        found = _slice_join(groups, f, slice_bits, name, broadcast_bytes)
+        rows = rows.unionByName(found.select(key, F.lit(k).alias("which"), F.col(f"{name}_at").alias("at"), F.col(f"{name}_cells").alias("cells"), *empty))
+    return rows.repartition(tasks, "deal").sortWithinPartitions("deal", "which").select("which", "at", "cells", *columns)
+
+
+def _stretches(batches: Iterable[pa.RecordBatch], slices: int) -> Iterator[tuple[list, pa.RecordBatch]]:
+    """(slices, rows of blocks that need them) of a stream; slices are held until the next ones of their kind."""
+    held: list = [None] * slices
+    for batch in batches:
+        which = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(which) != 0) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(which)], strict=True):
+            if low == high:
+                continue
+            if which[low] == BLOCKS:
+                yield held, batch.slice(low, high - low)
+            else:
+                for n in range(low, high):
+                    held[which[n]] = _value(batch.column(1), n), _value(batch.column(2), n)
+
+
+def _flat(column) -> np.ndarray:
+    """The cells of all lists of a column."""
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lengths(column) -> np.ndarray:
+    return column.value_lengths().to_numpy(zero_copy_only=False)
+
+
 def _rows_of(at, cells, slice_bits: int, rank: int, needed: np.ndarray) -> np.ndarray:
     """The factor's rows at the places needed, from a slice."""
     if at is None:
@@ -102,26 +152,20 @@ def hicoo_packed(x: SparseTensor, block_bits: int) -> DataFrame:
 def mttkrp_hicoo(blocks: DataFrame, dims: Sequence[int], block_bits: int, factors: Sequence[Matrix], mode: int, broadcast_bytes: int = BROADCAST_BYTES) -> Matrix:
     """MTTKRP on ``hicoo_packed`` blocks: each meets one slice of every other factor, by block number.
 
-    Rows of the joins are blocks and slices; products of a block's entries are made on its arrays
-    and added up in a buffer of the block's side. A missing factor row raises.
+    Rows that move are blocks and slices; products are made on the arrays of all blocks of a batch that
+    need the same slices, and added up there. A missing factor row raises.
     """
     rank, order = _checked(dims, factors, mode), len(dims)
     others = [m for m in range(order) if m != mode]
-    df = blocks
-    for m in others:
-        df = _slice_join(df, factors[m], block_bits, f"b{m}", broadcast_bytes)
-    df = df.select(f"b{mode}", "values", f"e{mode}", *(c for m in others for c in (f"e{m}", f"b{m}_at", f"b{m}_cells")))
+    df = _streamed(stored(blocks), [(f"b{m}", factors[m], block_bits) for m in others], [f"b{mode}", "values", *(f"e{m}" for m in [mode, *others])], broadcast_bytes)
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base = batch.column(0).to_numpy()
-            for n in range(batch.num_rows):
-                products = np.repeat(_value(batch.column(1), n)[:, None], rank, 1)
-                for k in range(len(others)):
-                    e, at, cells = (_value(batch.column(3 + 3 * k + j), n) for j in range(3))
-                    products = products * _rows_of(at, cells, block_bits, rank, e)
-                rows, sums = _summed(_value(batch.column(2), n), products)
-                yield _out(rows + (base[n] << block_bits), sums)
+        for held, rows in _stretches(batches, len(others)):
+            products = np.repeat(_flat(rows.column(4))[:, None], rank, 1)
+            for k in range(len(others)):
+                products = products * _rows_of(*held[k], block_bits, rank, _flat(rows.column(6 + k)))
+            base = np.repeat(rows.column(3).to_numpy(), _lengths(rows.column(4)))
+            yield _out(*_summed(_flat(rows.column(5)) + (base << block_bits), products))
 
     return _merged(df.mapInArrow(multiply, _schema(rank)), dims[mode], rank)
 
@@ -255,9 +299,8 @@ def blco_packed(x: SparseTensor, low_bits: int, largest: int) -> BlcoBatches:
 def mttkrp_blco(x: BlcoBatches, factors: Sequence[Matrix], mode: int, broadcast_bytes: int = BROADCAST_BYTES) -> Matrix:
     """MTTKRP as a stream of bounded batches: keys are decoded in the task by shifts, and factors come as the slices that the block spans.
 
-    A task holds one batch and its slices, ``BlcoBatches.batch_bytes`` at most, however large the
-    tensor and the factors are; factors over ``broadcast_bytes`` meet their blocks by a shuffle
-    of slices.
+    A task holds one Arrow batch of these and their slices, however large the tensor and the factors
+    are (``BlcoBatches.batch_bytes`` for each); slices are dealt once for all batches that need the same.
     """
     rank, order, places, free = _checked(x.dims, factors, mode), len(x.dims), x.places, x.free_bits()
     # The high bits of each index, which all entries of a block share.
@@ -270,22 +313,16 @@ def mttkrp_blco(x: BlcoBatches, factors: Sequence[Matrix], mode: int, broadcast_
         return out
 
     others = [m for m in range(order) if m != mode]
-    df = x.df.select(base(mode).alias("base"), "keys", "values", *(F.shiftright(base(m), free[m]).alias(f"s{m}") for m in others))
-    for m in others:
-        df = _slice_join(df, factors[m], free[m], f"s{m}", broadcast_bytes)
-    df = df.select("base", "keys", "values", *(c for m in others for c in (f"s{m}_at", f"s{m}_cells")))
+    rows = x.df.select(base(mode).alias("base"), "keys", "values", "block", *(F.shiftright(base(m), free[m]).alias(f"s{m}") for m in others))
+    df = _streamed(rows, [(f"s{m}", factors[m], free[m]) for m in others], ["base", "block", "keys", "values"], broadcast_bytes)
     low = places[: x.low_bits]
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = batch.column(0).to_numpy()
-            for n in range(batch.num_rows):
-                at = _decoded(_value(batch.column(1), n), low, order)
-                products = np.repeat(_value(batch.column(2), n)[:, None], rank, 1)
-                for k, m in enumerate(others):
-                    where, cells = _value(batch.column(3 + 2 * k), n), _value(batch.column(4 + 2 * k), n)
-                    products = products * _rows_of(where, cells, free[m], rank, at[m])
-                rows, sums = _summed(at[mode], products)
-                yield _out(rows + first[n], sums)
+        for held, rows in _stretches(batches, len(others)):
+            at = _decoded(_flat(rows.column(5)), low, order)
+            products = np.repeat(_flat(rows.column(6))[:, None], rank, 1)
+            for k, m in enumerate(others):
+                products = products * _rows_of(*held[k], free[m], rank, at[m])
+            yield _out(*_summed(at[mode] + np.repeat(rows.column(3).to_numpy(), _lengths(rows.column(5))), products))
 
     return _merged(df.mapInArrow(multiply, _schema(rank)), x.dims[mode], rank)

@@ -128,6 +128,17 @@ def test_blco_batches_keep_their_bound(spark):
         blocks.mttkrp_alto(blocks.alto_packed(x, 2), f, 0, broadcast_bytes=100)
 
 
+def test_slices_are_sent_once_for_all_blocks_that_need_them(spark):
+    """300 blocks need one slice: before, each carried a copy of it."""
+    x = SparseTensor(spark.range(600).selectExpr("id * 4 i0", "id % 4 i1", "1.0D v"), 2, (2400, 4))
+    packed = blocks.hicoo_packed(x, 3)
+    assert packed.count() == 300
+    f, _ = factors(spark, x.dims, 2)
+    sent = blocks._streamed(packed, [("b1", f[1], 3)], ["b0", "values", "e0", "e1"], 0).collect()
+    assert sum(r.which == blocks.BLOCKS for r in sent) == 300
+    assert 1 <= sum(r.which == 0 for r in sent) <= 16  # a deal for each of a few tasks
+
+
 def test_decoding_undoes_interleaving(spark):
     dims = (1 << 20, 3, 1, 500)
     rng = np.random.default_rng(7)
