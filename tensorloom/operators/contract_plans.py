@@ -167,6 +167,8 @@ def _met_in_buckets(left: DataFrame, right: DataFrame, s: _Sides, n: int) -> Dat
 TILE_BITS = 8
 #: Result tiles that a task adds up before it passes them on.
 TILES_HELD = 64
+#: Entries of both sides for each task that multiplies.
+TILE_ENTRIES = 1 << 19
 
 
 def _packed(df: DataFrame, rows: list[str], columns: list[str], dims: dict[str, int], value: str, names: tuple[str, str], tile_bits: int) -> DataFrame:
@@ -184,9 +186,9 @@ def contract_tiles(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_m
     """Contraction for dense results: no row for a product, but one for a pair of tiles.
 
     Free and contract coordinates are packed to one number each, and cut to tiles of 2^tile_bits by
-    2^tile_bits. Tiles of x and y that share contract coordinates meet and are multiplied as
-    arrays; a task adds results up in a bounded number of dense tiles before it passes cells on.
-    With few contract tiles the pairs of one are dealt to a grid, so that all tasks have some.
+    2^tile_bits. The result is dealt in squares of tiles that a task can hold, each cut to shares of the contract
+    tiles. Tiles of x and y go to the cells of this where they meet, in order of contract tiles, and are multiplied
+    as arrays of the rows and columns that they have; so a task passes each cell of its result on once.
     """
     s = _Sides(x, y, x_modes, y_modes)
     fx, fy = ([m for m in range(t.order) if m not in modes] for t, modes in ((x, x_modes), (y, y_modes)))
@@ -194,22 +196,27 @@ def contract_tiles(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_m
     dims |= {k: max(x.dims[a], y.dims[b]) for k, a, b in zip(s.keys, x_modes, y_modes, strict=True)}
     spark = x.df.sparkSession
     width = lambda cols: sum(bits.width(dims[c]) for c in cols)
-    grid = 1
-    while grid * grid * (1 << max(0, width(s.keys) - tile_bits)) < 2 * spark.sparkContext.defaultParallelism and grid < 16:
-        grid *= 2
-    over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = _packed(s.left, s.fx, s.keys, dims, "a", ("ti", "tk"), tile_bits).withColumn("gi", F.pmod("ti", F.lit(grid)).cast("int")).withColumn("gj", over(grid))
-    b = _packed(s.right, s.keys, s.fy, dims, "b", ("tk", "tj"), tile_bits).withColumn("gj", F.pmod("tj", F.lit(grid)).cast("int")).withColumn("gi", over(grid))
-    pairs = a.withColumnsRenamed({"cells": "xc", "values": "xv"}).join(b.withColumnsRenamed({"cells": "yc", "values": "yv"}), ["tk", "gi", "gj"]).select("ti", "tj", "xc", "xv", "yc", "yv")
+    # A cell is a square of result tiles that a task can hold, and a share of the contract tiles.
+    wide, high = (max(0, width(cols) - tile_bits) for cols in (s.fx, s.fy))
+    tj_bits = min(3, high)
+    ti_bits = min(6 - tj_bits, wide)
+    tj_bits = min(6 - ti_bits, high)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, 2 * spark.sparkContext.defaultParallelism, (x.df.count() + y.df.count()) // TILE_ENTRIES)
+    shares = max(1, -(-tasks // (1 << min(20, wide - ti_bits + high - tj_bits))))
+    share = F.pmod("tk", F.lit(shares)).alias("share")
+    a = stored(_packed(s.left, s.fx, s.keys, dims, "a", ("ti", "tk"), tile_bits).select("*", F.shiftright("ti", ti_bits).alias("gi"), share))
+    b = stored(_packed(s.right, s.keys, s.fy, dims, "b", ("tk", "tj"), tile_bits).select("*", F.shiftright("tj", tj_bits).alias("gj"), share))
+    # A tile goes to the cells where tiles of the other side wait for it.
+    to_a = a.join(b.select("tk", "gj").distinct(), "tk").select("gi", "gj", "share", "tk", F.lit(1).alias("side"), F.col("ti").alias("t"), "cells", "values")
+    to_b = b.join(a.select("tk", "gi").distinct(), "tk").select("gi", "gj", "share", "tk", F.lit(0).alias("side"), F.col("tj").alias("t"), "cells", "values")
+    dealt = to_a.unionByName(to_b).repartition(tasks, "gi", "gj", "share").sortWithinPartitions("gi", "gj", "share", "tk", "side")
+    pairs = dealt.select("tk", "side", "t", "cells", "values")
     side = 1 << tile_bits
 
     def multiply(batches):
         held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-        def array(cells, values):
-            out, used = np.zeros(side * side), np.zeros(side * side, np.float32)
-            out[cells], used[cells] = values, 1
-            return out.reshape(side, side), used.reshape(side, side)
+        now, others = None, []  # the tiles of y at the contract tile at hand
 
         def passed_on():
             for (i, j), (total, used) in held.items():
@@ -218,17 +225,37 @@ def contract_tiles(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_m
             held.clear()
 
         for batch in batches:
-            ti, tj = (batch.column(k).to_numpy() for k in range(2))
+            tk, of, t = (batch.column(k).to_numpy() for k in range(3))
             for n in range(batch.num_rows):
-                (p, pu), (q, qu) = (array(*(batch.column(k)[n].values.to_numpy() for k in pair)) for pair in ((2, 3), (4, 5)))
-                at = int(ti[n]), int(tj[n])
-                if at not in held:
-                    if len(held) >= TILES_HELD:
-                        yield from passed_on()
-                    held[at] = np.zeros((side, side)), np.zeros((side, side), np.float32)
-                total, used = held[at]
-                total += p @ q
-                used += pu @ qu
+                cells, values = (batch.column(k)[n].values.to_numpy() for k in (3, 4))
+                # Only the rows and columns of a tile that have an entry.
+                rows, r = np.unique(cells >> tile_bits, return_inverse=True)
+                cols, c = np.unique(cells & (side - 1), return_inverse=True)
+                p, pu = np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)), np.float32)
+                p[r, c], pu[r, c] = values, 1
+                if of[n] == 0:
+                    if tk[n] != now:
+                        now, others = tk[n], []
+                    place = np.full(side, -1)
+                    place[rows] = np.arange(len(rows))
+                    others.append((int(t[n]), place, cols, p, pu))
+                    continue
+                if tk[n] != now:
+                    continue
+                for tj, place, wide_cols, q, qu in others:
+                    met = place[cols]
+                    some = np.flatnonzero(met >= 0)
+                    if not len(some):
+                        continue
+                    at = int(t[n]), tj
+                    if at not in held:
+                        if len(held) >= TILES_HELD:
+                            yield from passed_on()
+                        held[at] = np.zeros((side, side)), np.zeros((side, side), np.float32)
+                    total, used = held[at]
+                    where = np.ix_(rows, wide_cols)
+                    total[where] += p[:, some] @ q[met[some]]
+                    used[where] += pu[:, some] @ qu[met[some]]
         yield from passed_on()
 
     cells = pairs.mapInArrow(multiply, "row long, col long, v double").groupBy("row", "col").agg(F.sum("v").alias("v"))

@@ -135,6 +135,20 @@ def test_tiles_make_a_row_for_pairs_of_tiles_only(spark):
     assert plans.choose_plan(x, x, (0, 2), (0, 2)) == "tiles"
 
 
+def test_tiles_pass_each_cell_of_a_task_on_once(spark, monkeypatch):
+    """Thin tiles over many contract tiles: what is summed at the end has a row for each cell and task, not for each product."""
+    seen = []
+    tensor = plans._Sides.tensor
+    monkeypatch.setattr(plans._Sides, "tensor", lambda self, df: seen.append(df) or tensor(self, df))
+    x = SparseTensor(spark.range(20_000).selectExpr("id i0", "id % 150 i1", "1.0D v"), 2, (20_000, 150))
+    y = SparseTensor(spark.range(20_000).selectExpr("id i0", "id % 3 i1", "2.0D v"), 2, (20_000, 3))
+    z = plans.contract_tiles(x, y, (0,), (0,), tile_bits=1)
+    assert sorted(map(tuple, z.df.collect())) == sorted((i, i % 3, 2.0 * len(range(i, 20_000, 150))) for i in range(150))
+    made = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in made and "Join" in made.split("MapInArrow", 1)[1] and "Join" not in made.split("MapInArrow", 1)[0]
+    assert "tk" in made and "Union" in made  # tiles of both sides come as one stream, none repeated for a pair
+
+
 def test_choice_of_plan(spark):
     rng = np.random.default_rng(11)
     x, _ = tensor(spark, rng, 400, (50, 500, 400), 0.5)
