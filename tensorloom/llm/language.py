@@ -22,7 +22,7 @@ UNKNOWN = "und"
 #: messages that the stretches beside it pass on.
 SPAN = 64
 #: Words times labels of stretches that are labelled together.
-CELLS = 1 << 19
+CELLS = 1 << 18
 
 
 def words_of(text: str) -> list[str]:
@@ -320,11 +320,13 @@ def with_known_language(docs: DataFrame, field: WordField, least_score: float =
     def run(batches):
         label = Labeller(field)
         for batch in batches:
-            keep = []
+            done = 0
             for _, texts in text_chunks([pa.RecordBatch.from_arrays([batch.column(number)] * 2, ["a", "b"])], max_bytes=2 << 20):
                 names, score, _ = label(texts)
-                keep += [n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                keep = pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)], pa.bool_())
+                # A chunk at a time: a whole batch is not copied once more.
+                yield batch.slice(done, len(texts)).filter(keep)
+                done += len(texts)
 
     return docs.mapInArrow(run, docs.schema)
 

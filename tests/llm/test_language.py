@@ -123,3 +123,23 @@ def test_features_and_a_training_step_against_plain_ones():
         step = np.zeros_like(trans)
         step[a, b] = 1e-5
         assert np.isclose(pairs[a, b], (loss(emit, trans + step) - loss(emit, trans - step)) / 2e-5, atol=1e-6)
+
+
+def test_rows_leave_the_language_stage_chunk_by_chunk():
+    """A batch isn't copied whole: what is yielded at a time has 2 MB of text or so."""
+    import pyarrow as pa
+
+    from tensorloom.llm import language
+
+    class Docs:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    field = language.train_field([("the cat sat on the mat with the hat " * 9, "en"), ("der hund lag auf dem boden mit dem ball " * 9, "de")])
+    texts = ["the cat sat on the mat " * 2000, "12 34", None] * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    out = list(language.with_known_language(Docs(), field)([batch]))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(0, len(texts), 3))
+    assert len(out) > 1 and max(sum(map(len, b.column(1).to_pylist())) for b in out) <= 2 << 20
