@@ -37,3 +37,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+#: Rows that a task groups or joins by nearly unique keys; it holds some 700 bytes for each.
+TASK_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df by keys in tasks of some TASK_ROWS of ``rows``, which stay as they are; Spark's own few if that is enough.
+
+    Left alone, adaptive execution makes tasks of so many compressed bytes, and integers compress so well that a
+    task of 64 MB groups millions of rows. Later groupings and joins by keys stay in these tasks.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if keys and tasks > df.sparkSession.sparkContext.defaultParallelism else df

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.storage import dealt
 from tensorloom.tensor import SparseTensor, coords
 
 
@@ -63,6 +64,8 @@ def estimate_products(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int],
     """One row ``products``: how many products the contraction would sum, from the counts of keys alone."""
     keys = [f"k{k}" for k in range(len(x_modes))]
     left, right, _, _ = _sides(x, y, x_modes, y_modes, False)
+    rows = max(x.most_rows, y.most_rows)  # one number for both, so that counts of a key meet where they are made
+    left, right = dealt(left, keys, rows), dealt(right, keys, rows)
     n, m = left.groupBy(*keys).agg(F.count("*").alias("n")), right.groupBy(*keys).agg(F.count("*").alias("m"))
     joined = n.join(m, keys) if keys else n.crossJoin(m)
     return joined.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).cast("long").alias("products"))
