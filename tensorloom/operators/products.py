@@ -29,7 +29,7 @@ def ttm(x: SparseTensor, mode: int, u: Matrix) -> DataFrame:
     """(other coordinates, fiber): x times u along a mode; each fiber is an array of u's rank. An index without a row fails the job."""
     x.check_modes(mode)
     _fits(x, mode, u)
-    joined = u.beside(x.df, f"i{mode}", "c")
+    joined = u.beside(x.dealt([m for m in range(x.order) if m != mode]).df, f"i{mode}", "c")
     others = [c for m, c in enumerate(x.coords) if m != mode]
     summed = joined.groupBy(*others).agg(*(F.sum(F.col("v") * F.col(c)).alias(c) for c in u.cols))
     return summed.select(*others, F.array(*u.cols).alias("fiber"))
