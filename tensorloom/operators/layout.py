@@ -101,6 +101,7 @@ def to_semisparse(x: SparseTensor, mode: int) -> DataFrame:
     x.check_modes(mode)
     others = [c for m, c in enumerate(x.coords) if m != mode]
     dim = x.dims[mode]
+    x = x.dealt([m for m in range(x.order) if m != mode])
     if dim <= SHORT_FIBER:
         cells = x.df.groupBy(*others).agg(*(F.sum(F.when(F.col(f"i{mode}") == k, F.col("v"))).alias(f"c{k}") for k in range(dim)))
         return cells.select(*others, F.array(*(F.coalesce(f"c{k}", F.lit(0.0)) for k in range(dim))).alias("fiber"))
@@ -121,7 +122,9 @@ def set_dense_mode(semi: DataFrame, mode: int, dense: int) -> DataFrame:
 def append_entries(semi: DataFrame, entries: SparseTensor, mode: int, dims: Sequence[int]) -> DataFrame:
     """A semi-sparse tensor of the given dimensions with further entries: new fibers, or added to the cells of those there."""
     old = from_semisparse(semi, mode, 0.0)
-    return to_semisparse(SparseTensor(old.df.unionByName(entries.df), old.order, tuple(dims)), mode)
+    # A task holds fibers: no more than the old ones and the new entries.
+    held = None if entries.source is None else semi.select(F.lit(1)).union(entries.source.select(F.lit(1)))
+    return to_semisparse(SparseTensor(old.df.unionByName(entries.df), old.order, tuple(dims), source=held), mode)
 
 
 def sort_fibers(semi: DataFrame) -> DataFrame:
