@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -267,7 +268,7 @@ query("semisparse_append", "SELECT i0, i1, i2, SUM(v) v FROM (SELECT * FROM a3 U
     lambda t: layout.from_semisparse(layout.append_entries(layout.to_semisparse(t.a3(), 2), t.b3(), 2, t.c3().dims), 2, 0.0)
 )
 query("semisparse_compare", "SELECT i0, i1, a.f IS NOT NULL in_a, b.f IS NOT NULL in_b, COALESCE(a.f = b.f, false) equal FROM (SELECT i0, i1, list((i2, v) ORDER BY i2) f FROM c3 GROUP BY ALL) a FULL JOIN (SELECT i0, i1, list((i2, v) ORDER BY i2) f FROM c3 WHERE i2 <= 4 GROUP BY ALL) b USING (i0, i1)")(
-    lambda t: layout.compare_fibers(layout.to_semisparse(x := t.c3(), 2), layout.to_semisparse(SparseTensor(x.df.where("i2 <= 4"), 3, x.dims), 2))
+    lambda t: layout.compare_fibers(layout.to_semisparse(x := t.c3(), 2), layout.to_semisparse(replace(x.where("i2 <= 4"), known_dims=x.dims), 2))
 )
 query("semisparse_sort", "SELECT row_number() OVER (ORDER BY i0, i1) - 1 n, i0, i1 FROM (SELECT DISTINCT i0, i1 FROM l3)")(lambda t: numbered(layout.sort_fibers(layout.to_semisparse(t.l3(), 2)).select("i0", "i1"), "n"))
 
