@@ -62,7 +62,7 @@ class ByteBPE:
     #: Pieces longer than this are merged alone, all places of the lowest pair in one round.
     LONG = 64
     #: Distinct pieces that a task remembers.
-    CACHE = 200_000
+    CACHE = 50_000
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
@@ -191,7 +191,7 @@ def bpe_roundtrip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
     def run(batches):
         bpe = ByteBPE(rank_file, pattern)
-        for ids, texts in text_chunks(batches, max_bytes=2 << 20):
+        for ids, texts in text_chunks(batches, max_bytes=1 << 19):
             tokens = bpe.encode([t.decode() for t in texts])
             back = [bpe.decode(t) for t in tokens]
             cols = [

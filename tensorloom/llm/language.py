@@ -217,7 +217,7 @@ def training_sample(docs: DataFrame, for_each: int, most_chars: int) -> list[tup
 class Labeller:
     """Labels texts by a field in one task, remembering the emissions of words it has seen."""
 
-    CACHE = 150_000
+    CACHE = 50_000
 
     class Numbers(dict):
         """Word to a number; the first sight of a word gives the next one."""
@@ -321,7 +321,7 @@ def with_known_language(docs: DataFrame, field: WordField, least_score: float =
         label = Labeller(field)
         for batch in batches:
             done = 0
-            for _, texts in text_chunks([pa.RecordBatch.from_arrays([batch.column(number)] * 2, ["a", "b"])], max_bytes=2 << 20):
+            for _, texts in text_chunks([pa.RecordBatch.from_arrays([batch.column(number)] * 2, ["a", "b"])], max_bytes=1 << 20):
                 names, score, _ = label(texts)
                 keep = pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)], pa.bool_())
                 # A chunk at a time: a whole batch is not copied once more.
