@@ -318,8 +318,7 @@ def round_products(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_m
     if not s.fx:
         raise ValueError("x has no free mode to cut by")
     m = s.right.groupBy(*s.keys).agg(F.count("*").alias("m"))
-    n = s.left.groupBy(*s.fx, *s.keys).agg(F.count("*").alias("n"))
-    weights = n.join(m, s.keys).groupBy(*s.fx).agg(F.sum(F.col("n") * F.col("m")).alias("products"))
+    weights = s.left.join(m, s.keys).groupBy(*s.fx).agg(F.sum("m").alias("products"))
     before = running_total(weights, s.fx, "products", "before")
     return before.select(*s.fx, "products", F.floor(F.col("before") / max(1, limit // 2)).alias("round"))
 
