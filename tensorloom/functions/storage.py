@@ -20,11 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> str:
+def written(df: DataFrame, **options) -> str:
     """Write df to the shared folder; the path, in a folder of the application's own that can go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path
 
 

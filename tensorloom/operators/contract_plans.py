@@ -205,6 +205,223 @@ def contract_neighbours(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int]
     return z.drop_zeros() if drop_zeros else z
 
 
+# More products than can move: the result is cut to squares, and each square reads the entries that it needs.
+#: Products that may move, or so many for an entry; beyond, entries are read several times instead.
+MOVED_PRODUCTS, MOVED_EACH = 1 << 24, 4
+#: Products of a square on average.
+SQUARE_PRODUCTS = 1 << 23
+#: Entries of one side in a square, some 16 bytes each.
+RANGE_ENTRIES = 1 << 23
+#: Entries of one row, all within one part of the contract keys.
+PIECE_ENTRIES = 1 << 18
+#: Products that a task makes before it adds them up.
+PRODUCTS_HELD = 1 << 21
+#: Entries whose keys are counted for an estimate of the products.
+COUNTED_ENTRIES = 1 << 22
+
+
+def _estimated_products(s: _Sides, rows: int) -> int:
+    """The products of all keys, from the keys of some COUNTED_ENTRIES of ``rows`` entries; only sizes of tasks follow from it."""
+    share = max(1, rows // COUNTED_ENTRIES)
+    sides = (side.where(F.pmod(F.xxhash64(*s.keys), F.lit(share)) == 0) for side in (s.left, s.right))
+    n, m = (side.groupBy(*s.keys).agg(F.count("*").alias(c)) for side, c in zip(sides, "nm", strict=True))
+    return share * (n.join(m, s.keys).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
+
+
+class _Squares:
+    """Operands whose contract keys, and whose cells of the result, are each packed to one long.
+
+    Columns are packed from their least value on, and a free coordinate of null has the number behind the largest.
+    """
+
+    def __init__(self, s: _Sides):
+        self.s = s
+        stat = lambda c: F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c)
+        left, right = (
+            side.dropna(subset=s.keys).agg(F.count("*").alias("n"), F.count(value).alias("some"), *(stat(c) for c in (*s.keys, *free))).first()
+            for side, free, value in ((s.left, s.fx, "a"), (s.right, s.fy, "b"))
+        )
+        self.entries, self.nulls = (left["n"], right["n"]), (left["n"] - left["some"]) + (right["n"] - right["some"])
+        if not all(self.entries):
+            return
+        ends = {z: tuple(v or 0 for v in side[z]) for side, free in ((left, s.fx), (right, s.fy)) for z in free}
+        ends |= {k: (min(left[k]["low"], right[k]["low"]), max(left[k]["high"], right[k]["high"])) for k in s.keys}
+        self.low = {c: low for c, (low, _) in ends.items()}
+        self.none = {c: high - low + 1 for c, (low, high) in ends.items()}
+        self.widths = {c: bits.width(n + (c not in s.keys)) for c, n in self.none.items()}
+
+    def width(self, cols: Sequence[str]) -> int:
+        return sum(self.widths[c] for c in cols)
+
+    @property
+    def fit(self) -> bool:
+        """Whether both take 62 bits at most; values of null have no place in arrays."""
+        return all(self.entries) and not self.nulls and self.width(self.s.keys) <= 62 and self.width(self.s.out) <= 62
+
+    def packed(self, side: DataFrame, free: list[str], value: str) -> DataFrame:
+        """(key, cell, value), the cell by the side's free coordinates alone."""
+        numbers = side.dropna(subset=self.s.keys).select(*(F.coalesce(F.col(c) - F.lit(self.low[c]), F.lit(self.none[c])).alias(c) for c in (*self.s.keys, *free)), F.col(value).alias("value"))
+        linear = lambda cols: bits.linearize(cols, [self.widths[c] for c in cols])
+        return numbers.select(linear(self.s.keys).alias("key"), linear(free).alias("cell"), "value")
+
+    def unpacked(self, cells: DataFrame) -> DataFrame:
+        """(cell, v) with the coordinates that the cell stands for."""
+        numbers = bits.delinearize("cell", [self.widths[z] for z in self.s.out])
+        return cells.select(*(F.when(n != F.lit(self.none[z]), n + F.lit(self.low[z])).alias(z) for z, n in zip(self.s.out, numbers, strict=True)), "v")
+
+
+class _Sums:
+    """The cells of a square with their sums, in order of cells."""
+
+    def __init__(self):
+        self.cells, self.values = np.empty(0, np.int64), np.empty(0)
+        self.waiting, self.n = [], 0
+
+    def add(self, cells: np.ndarray, values: np.ndarray) -> None:
+        self.waiting.append((cells, values))
+        self.n += len(cells)
+        if self.n >= PRODUCTS_HELD:
+            self.add_up()
+
+    def add_up(self) -> None:
+        if not self.n:
+            return
+        cells, values = (np.concatenate(c) for c in zip(*self.waiting, strict=True))
+        self.waiting, self.n = [], 0
+        order = np.argsort(cells)
+        cells, values = cells[order], values[order]
+        starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        cells, values = cells[starts], np.add.reduceat(values, starts)
+        at = np.searchsorted(self.cells, cells)
+        known = np.zeros(len(cells), bool)
+        inside = np.flatnonzero(at < len(self.cells))
+        known[inside] = self.cells[at[inside]] == cells[inside]
+        self.values[at[known]] += values[known]
+        if not known.all():
+            self.cells, self.values = np.insert(self.cells, at[~known], cells[~known]), np.insert(self.values, at[~known], values[~known])
+
+
+#: Entries by ranges of cells: arrays of one part of the keys, in order of keys, which count from the part's first.
+PIECES = "range int, part long, keys binary, cells binary, values binary"
+
+
+def _narrow(width: int) -> type:
+    return np.int32 if width < 32 else np.int64
+
+
+def _pieces(packed: DataFrame, ranges: int, part_bits: int, cell_bits: int) -> str:
+    """Path of PIECES, with a file for each range."""
+    types = _narrow(part_bits), _narrow(cell_bits), np.float64
+    rows = packed.repartitionByRange(ranges, "cell").sortWithinPartitions("key", "cell").withColumn("range", F.spark_partition_id())
+
+    def pack(batches):
+        held, n, of = [], 0, 0
+
+        def rows_of(last: bool):
+            nonlocal held, n
+            key, cell, value = (np.concatenate(c) for c in zip(*held, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+            key, cell, value = key[starts], cell[starts], np.add.reduceat(value, starts)
+            part = key >> part_bits
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(key)]
+            held, n = [], 0
+            if not last and cuts[-1] - cuts[-2] < PIECE_ENTRIES:  # the open part waits for more
+                at = cuts.pop(-2)
+                held, n, cuts[-1] = [(key[at:], cell[at:], value[at:])], len(key) - at, at
+            whole = [(a, min(a + PIECE_ENTRIES, b)) for start, b in zip(cuts, cuts[1:], strict=False) for a in range(start, b, PIECE_ENTRIES)]
+            for a, b in whole:
+                arrays = [pa.array([c.astype(t).tobytes()], pa.binary()) for c, t in zip((key[a:b] - (part[a] << part_bits), cell[a:b], value[a:b]), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([int(part[a])], pa.int64()), *arrays], ["range", "part", "keys", "cells", "values"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = batch.column(3)[0].as_py()
+            held.append(tuple(batch.column(c).to_numpy() for c in range(3)))
+            n += batch.num_rows
+            if n >= 2 * PIECE_ENTRIES:
+                yield from rows_of(False)
+        if held:
+            yield from rows_of(True)
+
+    return written(rows.mapInArrow(pack, PIECES), maxRecordsPerFile=0)
+
+
+def contract_squares(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_modes: Sequence[int], square_products: int = SQUARE_PRODUCTS, drop_zeros: bool = False) -> SparseTensor:
+    """Contraction that moves no product: each side is dealt once, by ranges of its free keys, and a task makes the cells of one range of x by one of y.
+
+    What is shuffled and written is the entries, once; what grows with the products is how often they are
+    read: by the root of the number of squares. A range lies in one file, as arrays of one part of
+    the contract keys each, so that a task holds two arrays, the other range of y and the cells of its
+    square. Sums need no merge. Where coordinates don't pack or a value is null, ``contract_neighbours`` does the job.
+    """
+    s = _Sides(x, y, x_modes, y_modes)
+    spark, q = x.df.sparkSession, _Squares(s)
+    if not q.fit:
+        return contract_neighbours(x, y, x_modes, y_modes, drop_zeros=drop_zeros)
+    ranges = max(1, round((_estimated_products(s, max(q.entries)) / square_products) ** 0.5), -(-max(q.entries) // RANGE_ENTRIES))
+    parts = max(1, max(q.entries) // (ranges * PIECE_ENTRIES))
+    part_bits = max(0, q.width(s.keys) - parts.bit_length() + 1)
+    # Files are read as this session says, whichever one runs the query: a task for each pair of files, none of which is cut.
+    other = spark.newSession()
+    for name, value in (("files.maxPartitionBytes", 1 << 40), ("files.openCostInBytes", 1 << 40), ("parquet.columnarReaderBatchSize", 4)):
+        other.conf.set(f"spark.sql.{name}", str(value))
+    sides = []
+    for name, side, free, value in (("a", s.left, s.fx, "a"), ("b", s.right, s.fy, "b")):
+        pieces = other.read.schema(PIECES).parquet(_pieces(q.packed(side, free, value), ranges, part_bits, q.width(free)))
+        sides.append(pieces.select(*(F.col(c).alias(f"{name}_{c}") for c in pieces.columns)))
+    # Parts meet while files are walked through, not by a shuffle of their arrays.
+    met = sides[0].hint("shuffle_replicate_nl").join(sides[1], F.col("a_part") - F.col("b_part") == 0)
+    rows = met.select("a_range", "a_keys", "a_cells", "a_values", "b_range", "b_keys", "b_cells", "b_values")
+    types = [t for free in (s.fx, s.fy) for t in (_narrow(part_bits), _narrow(q.width(free)), np.float64)]
+    shift = q.width(s.fy)
+
+    def multiply(batches):
+        held: dict[int, _Sums] = {}  # by ranges of y
+        now = None
+
+        def passed_on():
+            for j in list(held):
+                one = held.pop(j)
+                one.add_up()
+                for at in range(0, len(one.cells), PIECE_ENTRIES):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + PIECE_ENTRIES]) for c in (one.cells, one.values)], ["cell", "v"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i, j = batch.column(0)[row].as_py(), batch.column(4)[row].as_py()
+                if i != now:
+                    yield from passed_on()
+                    now = i
+                key, cell, value, keys, cells, values = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in zip((1, 2, 3, 5, 6, 7), types, strict=True))
+                first = np.searchsorted(keys, key, "left")
+                n = np.searchsorted(keys, key, "right") - first
+                some = np.flatnonzero(n)
+                first, n, cell, value = first[some], n[some], cell[some].astype(np.int64) << shift, value[some]
+                ends, at = np.cumsum(n), 0
+                while at < len(n):
+                    # Some PRODUCTS_HELD at once, and those of one entry at least.
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS_HELD, "right")))
+                    m = n[at:to]
+                    theirs = np.arange(m.sum()) + np.repeat(first[at:to] - (np.cumsum(m) - m), m)
+                    held.setdefault(j, _Sums()).add(np.repeat(cell[at:to], m) | cells[theirs], np.repeat(value[at:to], m) * values[theirs])
+                    at = to
+        yield from passed_on()
+
+    products = spark.createDataFrame([], "cell long, v double").unionByName(rows.mapInArrow(multiply, "cell long, v double"))  # in the caller's session
+    z = s.tensor(q.unpacked(products))
+    return z.drop_zeros() if drop_zeros else z
+
+
+def contract_by_products(x: SparseTensor, y: SparseTensor, x_modes: Sequence[int], y_modes: Sequence[int], pre_sum: bool = False, drop_zeros: bool = False) -> SparseTensor:
+    """``contract_neighbours`` as long as products are few enough to move, ``contract_squares`` beyond."""
+    s = _Sides(x, y, x_modes, y_modes)
+    rows = max(s.left.count(), s.right.count())
+    if _estimated_products(s, rows) > max(MOVED_PRODUCTS, MOVED_EACH * rows):
+        return contract_squares(x, y, x_modes, y_modes, drop_zeros=drop_zeros)
+    return contract_neighbours(x, y, x_modes, y_modes, pre_sum, drop_zeros=drop_zeros)
+
+
 # Dense results: tiles are multiplied as arrays.
 #: Indices of a tile's side are 2^8; a full tile takes 512 kB.
 TILE_BITS = 8

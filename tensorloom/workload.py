@@ -15,7 +15,7 @@ from tensorloom.functions.running import numbered
 from tensorloom.functions.storage import shared_dir
 from tensorloom.operators import contract as ct
 from tensorloom.operators import cpd, dense, elementwise, layout, products
-from tensorloom.operators.contract_plans import contract_neighbours
+from tensorloom.operators.contract_plans import contract_by_products
 from tensorloom.plans.einsum import einsum
 from tensorloom.sources import files
 from tensorloom.tensor import SparseTensor
@@ -108,7 +108,7 @@ def query(name: str, sql: str | None = None):
 query("sptc_2mode", "SELECT a.i2 i0, b.i2 i1, SUM(a.v * b.v) v FROM l3 a JOIN l3 b USING (i0, i1) GROUP BY ALL")(lambda t: ct.contract(t.l3(), t.l3(), (0, 1), (0, 1)))
 query("sptc_2mode_pre_sum", "SELECT a.i2 i0, b.i2 i1, SUM(a.v * b.v) v FROM l3 a JOIN l3 b USING (i0, i1) GROUP BY ALL")(lambda t: ct.contract(t.l3(), t.l3(), (0, 1), (0, 1), pre_sum=True))
 query("sptc_1mode", "SELECT a.i1 i0, b.i1 i1, SUM(a.v * b.v) v FROM l3 a JOIN l3 b USING (i0) GROUP BY ALL")(
-    lambda t: contract_neighbours(*(t.lineitem("l_partkey", "l_suppkey"),) * 2, (0,), (0,), pre_sum=True)
+    lambda t: contract_by_products(*(t.lineitem("l_partkey", "l_suppkey"),) * 2, (0,), (0,), pre_sum=True)
 )
 query("sptc_asym", "SELECT a.i1 i0, b.i1 i1, SUM(a.v * b.v) v FROM oc a JOIN os b USING (i0) GROUP BY ALL")(lambda t: ct.contract(t.oc(), t.os(), (0,), (0,)))
 query("sptc_crossed_modes", "SELECT a.i2 i0, b.i2 i1, SUM(a.v * b.v) v FROM l3 a JOIN l3 b ON a.i0 = b.i1 AND a.i1 = b.i0 GROUP BY ALL")(lambda t: ct.contract(t.l3(), t.l3(), (0, 1), (1, 0)))
